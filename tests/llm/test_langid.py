@@ -1,0 +1,44 @@
+import random
+import zlib
+
+import numpy as np
+from tidemark.llm import langid
+
+PARTS = {"aa": ["the", "ing", "tion", "er", "wh"], "bb": ["ción", "ado", "ñ", "que", "os"], "cc": ["ung", "sch", "ä", "keit", "ß"]}
+
+
+def corpus(n=400, seed=1):
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        lang = r.choice(list(PARTS))
+        rows.append((i, " ".join("".join(r.choice(PARTS[lang]) for _ in range(r.randint(1, 3))) for _ in range(r.randint(3, 60))), lang, 5))
+    return rows
+
+
+def test_held_out_accuracy_and_edges(spark):
+    rows = corpus()
+    extra = [(1000, None, "aa", 1), (1001, "", None, 1), (1002, "12 %% --", "bb", 1), (1003, "the ing " * 50000, None, 1), (1003, "the ing " * 50000, None, 1), (1004, "漢字" * 500, None, 1)]
+    df = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string, score int")
+    got = [r.asDict() for r in langid.detect(df).collect()]
+    assert len(got) == len(rows) + len(extra)
+    own = {i: lang for i, _, lang, _ in rows}
+    held = [r for r in got if r["held_out"] and r["doc_id"] in own]
+    assert held and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    assert np.mean([r["lang_pred"] == own[r["doc_id"]] for r in held]) > 0.95
+    by = {r["doc_id"]: r for r in got}
+    assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (1000, 1001, 1002))
+    assert by[1003]["lang_pred"] == "aa" and by[1004]["rejected"]
+    assert all(0 <= r["score"] <= 1 for r in got)
+    kept = {r.doc_id: r for r in langid.keep_known(df).collect()}
+    assert kept[1003].lang == "aa" and not {1000, 1001, 1002, 1004} & set(kept) and len(set(own) - set(kept)) <= 4
+    assert langid.detect(df.limit(0)).count() == 0
+    assert {r.lang_pred for r in langid.detect(df.where("lang IS NULL")).collect()} == {"und"}
+
+
+def test_counts_do_not_depend_on_the_span(monkeypatch):
+    text = "Añb cd, éf gh1 i " * 40
+    whole = langid.gram_counts(text)
+    for span in (7, 16, 100):
+        monkeypatch.setattr(langid, "SPAN", span)
+        assert (langid.gram_counts(text) == whole).all()

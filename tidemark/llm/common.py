@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows per Arrow batch handed to Python. Texts may be long, so batches stay small.
 ARROW_ROWS = 500
@@ -51,17 +53,14 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], list]], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], list]], schema: str | StructType) -> DataFrame:
     """Run a batch function over (columns of df) -> (columns of schema), Arrow batch by Arrow batch.
 
     make() runs once per task on the executor and returns the function, which gets
     the batch as a dict of Python lists and returns a list of columns.
     """
     tune(df.sparkSession)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema) if hasattr(StructType, "fromDDL") else df.sparkSession.createDataFrame([], schema).schema)
+    arrow = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
