@@ -66,3 +66,43 @@ def test_edge_cases(spark):
     assert {f for i, f, _ in got if i < 4} == {"0" * 16}
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [1, 5, 9, 9]
+
+
+def shingles(text, words=5):
+    w = text.encode().lower().split()
+    return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+
+def test_similar_finds_the_similar_and_no_others(spark):
+    r = random.Random(8)
+    rows = []
+    for c in range(40):
+        w = [f"w{r.randrange(3000)}" for _ in range(r.choice([30, 90, 400, 900]))]
+        for _ in range(r.choice([1, 2, 5])):
+            v = list(w)
+            for _ in range(r.choice([0, 1, len(w) // 90, len(w) // 12])):
+                v[r.randrange(len(v))] = f"x{r.randrange(9999)}"
+            rows.append((len(rows), " ".join(v)))
+    rows += [(len(rows) + i, " ".join(f"w{r.randrange(3000)}" for _ in range(60)) + " one passage that many of the documents here share word for word") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+    sure = list(range(len(rows)))
+
+    def find(u, x):
+        while u[x] != x:
+            x = u[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            for u, least in ((up, 0.72), (sure, 0.88)):  # sketches estimate: judged a little off the threshold
+                if s >= least:
+                    a, b = sorted((find(u, i), find(u, j)))
+                    u[b] = a
+    for group in (4096, 16):
+        got = {x.doc_id: x.component_id for x in simhash.similar(df, group=group).collect()}
+        assert all(got[i] == got[find(sure, i)] for i in got)
+        assert all(find(up, i) == find(up, got[i]) for i in got)
+    assert len({got[i] for i in got}) < len(rows)

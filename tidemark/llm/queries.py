@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,7 +48,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_simhash, op3_packing, op5_toxicity, op6_quality, op7_exact_dedup, op9_langid, op10_licenses)}
+    own = (op1_bpe, op2_simhash, op3_packing, op5_toxicity, op6_quality, op7_exact_dedup, op9_langid, op10_licenses)
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

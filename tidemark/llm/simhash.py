@@ -14,6 +14,14 @@ exceeds the radius is discarded, and the survivors are verified. A group keeps a
 spanning forest of its links, never all pairs. Groups over `GROUP` rows are dealt
 out as pairs of chunks, so that no task holds more than two chunks of a group.
 
+With a similarity instead of a radius (`similar`), pairs link if the Jaccard
+similarity of their shingle sets reaches it. At 0.8 fingerprints differ in up to
+some 18 bits, which no exact blocking of 64 bits reaches. There the candidates meet
+under their smallest shingle hashes (a pair of similarity s shares none of four with
+a chance of about (1 - s)^4), the pivot table discards at WIDE bits, and survivors
+are verified on sketches of their SKETCH smallest shingle hashes: exact up to that
+many shingles, an unbiased estimate above.
+
 Null and empty texts have no words: fingerprint zero, linked like any other. A
 repeated doc_id gives a repeated row. An empty table gives an empty result.
 """
@@ -34,6 +42,9 @@ from .common import map_texts, materialize, whole_texts
 from .components import components, labels_of
 
 RADIUS = 4
+#: Bits within which similar texts are compared further, keys each text stands under, hashes of a sketch.
+WIDE, ANCHORS, SKETCH = 20, 4, 128
+PAD = np.uint32(0xFFFFFFFF)
 #: Reference fingerprints of the pivot table, drawn once from a fixed seed.
 PIVOTS = 24
 #: Rows of a block group that one task compares; larger groups are split into chunks of half as many.
@@ -42,20 +53,29 @@ GROUP = 4096
 SPAN = 1 << 16
 
 
-def fingerprint(text: str, words: int = 4) -> int:
-    """The majority bits over the shingle hashes of one whole text."""
+def hashes(text: str, words: int) -> Iterator[np.ndarray]:
+    """Spans of the shingle hashes of one whole text, in order; nothing without words."""
     w = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and ASCII white space only
-    if not w:
-        return 0
     n = max(1, len(w) - words + 1)
-    hashed = map(partial(xxhash.xxh64_intdigest, seed=42), map(b" ".join, zip(*(w[i : i + n] for i in range(words))) if len(w) >= words else [w]))
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, SPAN):
-        h = np.fromiter(hashed, np.uint64, min(SPAN, n - at))
+    shingles = map(b" ".join, zip(*(w[i : i + n] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
+    hashed = map(partial(xxhash.xxh64_intdigest, seed=42), shingles)
+    for at in range(0, n if w else 0, SPAN):
+        yield np.fromiter(hashed, np.uint64, min(SPAN, n - at))
+
+
+def majority(spans: Iterator[np.ndarray]) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for h in spans:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str, words: int = 4) -> int:
+    """The majority bits over the shingle hashes of one whole text."""
+    return majority(hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """doc_id, fp: the fingerprint as a signed 64-bit integer."""
 
@@ -84,86 +104,105 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def linked(group: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity of pairs of sketches (rows of ascending hashes padded with the largest value)."""
+    k = a.shape[1]
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    real = both != PAD
+    twin = np.zeros_like(real)
+    twin[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    fresh = real & ~twin
+    rank = np.cumsum(fresh, axis=1)
+    full = (a[:, -1] != PAD) | (b[:, -1] != PAD)
+    limit = np.where(full, k, 2 * k)[:, None]  # unions of whole sets count whole
+    return (twin & (rank <= limit)).sum(axis=1) / np.maximum(1, (fresh & (rank <= limit)).sum(axis=1))
+
+
+def linked(group: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """(row, row) of a spanning forest of the links within equal, adjacent group values."""
     refs = pivots()
     table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
     label = np.arange(len(fp))
     held: list[tuple[np.ndarray, np.ndarray]] = []
     count, shift = 0, 1
-
-    def fold() -> None:
-        nonlocal label, count
-        if held:
-            a, b = (np.concatenate(x) for x in zip(*held))
-            label = labels_of(len(fp), np.concatenate([a, np.arange(len(fp))]), np.concatenate([b, label]))
-            held.clear()
-            count = 0
-
     at = np.arange(len(fp))
     while True:
         at = at[at + shift < len(fp)]
         at = at[group[at] == group[at + shift]]
         if not len(at):
             break
-        a, b = at, at + shift
+        pair = at[label[at] != label[at + shift]]  # what is connected already needs no further link
+        a, b = pair, pair + shift
         for p in range(len(refs)):
-            near = np.abs(table[a, p] - table[b, p]) <= radius
-            a, b = a[near], b[near]
             if len(a) < 64:
                 break
+            near = np.abs(table[a, p] - table[b, p]) <= radius
+            a, b = a[near], b[near]
         near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-        if near.any():
-            held.append((a[near], b[near]))
-            count += int(near.sum())
-            if count > 500_000:
-                fold()
+        a, b = a[near], b[near]
+        if sketch is not None and len(a):
+            near = np.concatenate([jaccard(sketch[a[i : i + 4096]], sketch[b[i : i + 4096]]) for i in range(0, len(a), 4096)]) >= similarity
+            a, b = a[near], b[near]
+        if len(a):
+            held.append((a, b))
+            count += len(a)
+        if held and (count > len(fp) // 2 or shift & (shift - 1) == 0):
+            a, b = (np.concatenate(x) for x in zip(*held))
+            label = labels_of(len(fp), np.concatenate([a, np.arange(len(fp))]), np.concatenate([b, label]))
+            held.clear()
+            count = 0
         shift += 1
-    fold()
+    if held:
+        a, b = (np.concatenate(x) for x in zip(*held))
+        label = labels_of(len(fp), np.concatenate([a, np.arange(len(fp))]), np.concatenate([b, label]))
     own = np.nonzero(label != np.arange(len(fp)))[0]
     return own, label[own]
 
 
-def _links(radius: int):
+def _links(radius: int, similarity: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches come sorted by group; the last group of a batch waits for the next."""
-        rest = None
+        rest: list[np.ndarray] | None = None
         for batch in batches:
             rows = [batch.column(i).to_numpy() for i in range(3)]
+            if similarity is not None:
+                rows.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, SKETCH))
             if rest is not None:
                 rows = [np.concatenate(x) for x in zip(rest, rows)]
-            group = rows[0]
-            whole = int(np.searchsorted(group, group[-1])) if len(group) else 0
+            whole = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
             rest = [x[whole:] for x in rows]
             if whole:
                 yield solve(*(x[:whole] for x in rows))
         if rest is not None and len(rest[0]):
             yield solve(*rest)
 
-    def solve(group, fp, rep) -> pa.RecordBatch:
-        a, b = linked(group, fp.view(np.uint64), radius)
+    def solve(group, fp, rep, sketch=None) -> pa.RecordBatch:
+        a, b = linked(group, fp.view(np.uint64), radius, sketch, similarity or 0.0)
         return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["a", "b"])
 
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
-    """a, b: links between representatives of distinct(fp, rep), enough to span every component."""
-    keyed = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(mask)))) for mask, i in block_masks(radius)]
-    tables = distinct.select("fp", "rep", F.explode(F.array(*keyed)).alias("key"))
+def deal(tables: DataFrame, group: int) -> DataFrame:
+    """tables(key, fp, rep) as (group, fp, rep): keys with one row left out, large ones as pairs of chunks."""
     sizes = tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.when(F.col("n") > group, F.ceil(2 * F.col("n") / group)).otherwise(1).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    dealt = (
+    return (
         tables.join(sizes, "key")
         .withColumn("chunks", chunks)
-        .withColumn("own", own)
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .where("chunks = 1 OR own <> other")
         .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "fp", "rep")
     )
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
+    """a, b: links between representatives of distinct(fp, rep), enough to span every component."""
+    keyed = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(mask)))) for mask, i in block_masks(radius)]
+    dealt = deal(distinct.select("fp", "rep", F.explode(F.array(*keyed)).alias("key")), group)
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_links(radius), "a long, b long")
+    return dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_links(radius, None), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:
@@ -175,8 +214,43 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> Da
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS) -> DataFrame:
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, fp, anchors (smallest shingle hashes), sketch (SKETCH smallest, upper halves) of whole texts."""
+
+    def make():
+        def run(batch):
+            fps, anchors, sketches = [], [], []
+            for text in batch["text"]:
+                spans = list(hashes(text, words))
+                fps.append(majority(spans))
+                low = np.unique(np.concatenate([np.unique(h)[: SKETCH + 1] for h in spans] or [np.zeros(1, np.uint64)]))
+                anchors.append(low[:ANCHORS].view(np.int64).tolist())
+                row = np.full(SKETCH, PAD, np.uint32)
+                kept = np.unique((low >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+                row[: len(kept)] = kept
+                sketches.append(row.tobytes())
+            return [batch["doc_id"], np.array(fps, np.uint64).view(np.int64), anchors, sketches]
+
+        return run
+
+    return map_texts(whole_texts(docs), make, "doc_id long, fp long, anchors array<long>, sketch binary")
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
+    """doc_id, fingerprint, component_id: classes linked by shingle similarity."""
+    signed = materialize(signatures(docs, words).withColumn("own", F.xxhash64("sketch")), "signatures")
+    firsts = [F.min("doc_id").alias("rep"), F.first("anchors").alias("anchors"), F.first("sketch").alias("sketch")]
+    distinct = materialize(signed.groupBy("fp", "own").agg(*firsts), "distinct")
+    known = distinct.where("rep IS NOT NULL")
+    dealt = deal(known.select("fp", "rep", F.explode("anchors").alias("key")), group).join(known.select("rep", "sketch"), "rep")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = dealt.select("group", "fp", "rep", "sketch").repartition(parts, "group").sortWithinPartitions("group")
+    found = components(grouped.mapInArrow(_links(WIDE, similarity), "a long, b long"))
+    classes = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", "own", F.coalesce("component", "rep").alias("component_id"))
+    return signed.join(classes, ["fp", "own"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay, all columns untouched: of each class the smallest doc_id; rows without an id stay."""
-    found = near_duplicates(docs, words, radius)
-    dropped = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")), "dropped")
+    dropped = materialize(similar(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")), "dropped")
     return docs.join(dropped, docs["doc_id"].cast("long") == dropped["_dropped"], "left_anti")
