@@ -7,8 +7,10 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, licenses, packing, quality, simhash, toxicity
+from . import bpe, exact_dedup, langid, licenses, packing, quality, simhash, token_counts, toxicity
+from .common import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, read back from flat files of the whole table: shard, document, start, n_tokens."""
+    path = scratch_path(spark, "tokens")
+    token_counts.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    shard = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    roll = F.regexp_extract("file", r"c(\d+)\.txt$", 1).cast("long")
+    return token_counts.count_tokens(spark, path).select(shard.alias("shard"), roll.alias("roll"), "document", "start", "n_tokens", "closed")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +59,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_simhash, op3_packing, op5_toxicity, op6_quality, op7_exact_dedup, op9_langid, op10_licenses)
+    own = (op1_bpe, op2_simhash, op3_packing, op4_token_counts, op5_toxicity, op6_quality, op7_exact_dedup, op9_langid, op10_licenses)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
