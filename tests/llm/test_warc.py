@@ -1,0 +1,52 @@
+import random
+
+from pyspark.sql import functions as F
+from tidemark.llm import warc
+
+SCHEMA = "record_id long, kind string, url string, ts long, status int, etag string, last_modified string, headers map<string,string>, source string"
+
+
+def brute(records):
+    out = []
+    for i, kind, url, ts, _, etag, lm, headers, _ in records:
+        if kind != "revisit":
+            continue
+        prior = [r for r in records if r[1] == "response" and r[4] == 200 and url and r[2] == url and ts is not None and (r[3] is None or r[3] < ts)]
+        if not prior:
+            out.append((i, None, "no_response", None))
+            continue
+        s = max(prior, key=lambda r: (r[3] is not None, r[3] or 0, r[0]))
+        if etag and s[5]:
+            v = "resolved" if etag.removeprefix("W/") == s[5].removeprefix("W/") else "etag_mismatch"
+        elif lm and s[6]:
+            v = "resolved" if lm == s[6] else "modified"
+        else:
+            v = "unvalidated"
+        merged = {k.lower(): x for k, x in (s[7] or {}).items()} | {k.lower(): x for k, x in (headers or {}).items() if k.lower() in warc.PERMITTED}
+        out.append((i, s[0], v, merged if v == "resolved" else None))
+    return out
+
+
+def test_resolves_as_brute_force(spark):
+    r = random.Random(3)
+    records = []
+    for i in range(1500):
+        kind = r.choice(["response", "revisit"])
+        url = "hot.example/a" if r.random() < 0.4 else r.choice([None, *(f"h{k}.example/p" for k in range(60))])
+        tag = lambda: r.choice([None, "t1", "t2", "W/t1"])
+        lm = lambda: r.choice([None, "m1", "m2"])
+        headers = r.choice([None, {}, {"Date": f"d{i}", "Server": "s", "ETag": "x"}, {"date": f"d{i}", "content-length": "0", "Vary": "a"}])
+        records.append((i, kind, url, r.choice([None, *range(200)]) if r.random() < 0.1 else r.randrange(400), r.choice([200, 200, 404]) if kind == "response" else 304, tag(), lm(), headers, "x"))
+    df = spark.createDataFrame(records, SCHEMA)
+    got = sorted((x.record_id, x.source_id, x.verdict, x.headers) for x in warc.resolve(df).collect())
+    assert got == sorted(brute(records))
+    assert {x[2] for x in got} == {"no_response", "resolved", "etag_mismatch", "modified", "unvalidated"}
+    assert warc.resolve(df.limit(0)).count() == 0
+    twice = df.where("record_id < 50").union(df.where("record_id < 50 AND kind = 'revisit'"))
+    assert warc.resolve(twice).count() == 2 * df.where("record_id < 50 AND kind = 'revisit'").count()
+
+
+def test_canonical_urls(spark):
+    same = ["http://www.Ex.com:80/a/?b=2&a=1&utm_source=x#f", "https://ex.com/a?a=1&b=2", "EX.com:443/a/?ref=q&b=2&a=1&"]
+    rows = spark.createDataFrame([(u,) for u in [*same, "https://ex.com", "", None]], "u string").select(warc.canonical_url(F.col("u"))).collect()
+    assert [x[0] for x in rows] == ["ex.com/a?a=1&b=2"] * 3 + ["ex.com", "", None]

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, licenses, packing, quality, simhash, token_counts, toxicity
+from . import bpe, exact_dedup, langid, licenses, packing, quality, simhash, token_counts, toxicity, warc
 from .common import scratch_path
 
 
@@ -50,6 +50,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of a crawl of the pages table, resolved."""
+    found = warc.resolve(warc.crawl_records(table(spark, sf_dir, "pages")))
+    merged = [F.col("headers")[name].alias(name.replace("-", "_")) for name in ("date", "etag", "server", "cache-control")]
+    return found.select(F.col("record_id").alias("page_id"), "canonical_url", "source_id", "verdict", *merged)
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect(table(spark, sf_dir, "documents"))
 
@@ -59,7 +66,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_simhash, op3_packing, op4_token_counts, op5_toxicity, op6_quality, op7_exact_dedup, op9_langid, op10_licenses)
+    own = (op1_bpe, op2_simhash, op3_packing, op4_token_counts, op5_toxicity, op6_quality, op7_exact_dedup, op8_warc, op9_langid, op10_licenses)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -69,4 +76,29 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                    doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
             FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+        "op8_warc": """
+            WITH p AS (
+                SELECT page_id, md5(coalesce(html, '')) AS digest, page_id * 60 AS ts, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
+                FROM pages),
+            q AS (
+                SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|gclid|fbclid|ref)(=|$)'))) AS kept,
+                    regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS place
+                FROM p),
+            c AS (
+                SELECT *, place || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url, strftime(make_timestamp((ts - ts % 86400) * 1000000), '%Y-%m-%d %H:%M:%S') AS made
+                FROM q),
+            j AS (
+                SELECT r.page_id, r.canonical_url, r.ts + 604800 AS again, r.digest AS own, r.made AS own_made, s.page_id AS source_id, s.digest, s.made
+                FROM c r ASOF LEFT JOIN c s ON r.canonical_url = s.canonical_url AND r.ts + 604800 > s.ts),
+            t AS (
+                SELECT *, CASE left(own, 1) WHEN '0' THEN reverse(own) WHEN '1' THEN NULL ELSE own END AS tag FROM j),
+            v AS (
+                SELECT *, CASE WHEN source_id IS NULL THEN 'no_response' WHEN tag IS NOT NULL THEN CASE WHEN tag = digest THEN 'resolved' ELSE 'etag_mismatch' END
+                    ELSE CASE WHEN own_made = made THEN 'resolved' ELSE 'modified' END END AS verdict FROM t)
+            SELECT page_id, canonical_url, source_id, verdict,
+                CASE WHEN verdict = 'resolved' THEN strftime(make_timestamp(again * 1000000), '%Y-%m-%d %H:%M:%S') END AS date,
+                CASE WHEN verdict = 'resolved' THEN digest END AS etag,
+                CASE WHEN verdict = 'resolved' THEN 'origin' END AS server,
+                CASE WHEN verdict = 'resolved' THEN 'max-age=3600' END AS cache_control
+            FROM v""",
     }
