@@ -23,7 +23,7 @@ def order_statistic(df: DataFrame, group: str, value: str, index: Column) -> Dat
     bases = totals.select(group, "part", (F.sum("c").over(whole.orderBy("part")) - F.col("c")).alias("base"), F.sum("c").over(whole).alias("n"), F.col("c").alias("own"))
     hit = bases.withColumn("at", F.least(index, F.col("n") - 1).cast("long")).where("at >= base AND at < base + own").drop("own", "n")
     run = F.sum("c").over(Window.partitionBy(group, "part").orderBy(value))
-    ranked = dealt.join(small(hit), [group, "part"]).withColumn("end", F.col("base") + run)
+    ranked = dealt.join(hit, [group, "part"]).withColumn("end", F.col("base") + run)
     return ranked.where("end > at AND end - c <= at").select(group, value)
 
 
@@ -51,12 +51,12 @@ def search_logs(logs: DataFrame, start: Column, end: Column, topic: str | None =
 def match_topics(topics: DataFrame, asked: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Topics for each row of asked(service_name, region_code): fuzzy matches if either name holds the
     other, case aside; a missing or empty region admits all."""
-    t, a = topics.alias("t"), small(asked).alias("a")
+    t, a = small(topics).alias("t"), asked.alias("a")
     mine, theirs = F.col("a.service_name"), F.col("t.service_name")
     low, other = F.lower(mine), F.lower(theirs)
     same = (F.contains(other, low) | F.contains(low, other)) if fuzzy else (mine == theirs)
     region = F.coalesce(F.col("a.region_code"), F.lit("")).isin("") | (F.col("a.region_code") == F.col("t.region_code"))
-    return t.join(a, same & region).select(mine.alias("asked"), F.col("a.region_code").alias("asked_region"), "t.topic_id", "t.topic_name", "t.service_name", "t.region_code")
+    return a.join(t, same & region).select(mine.alias("asked"), F.col("a.region_code").alias("asked_region"), "t.topic_id", "t.topic_name", "t.service_name", "t.region_code")
 
 
 def find_topic(topics: DataFrame, asked: DataFrame) -> DataFrame:

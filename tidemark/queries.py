@@ -7,6 +7,7 @@ conversations for sessions, events for metrics and logs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -265,8 +266,8 @@ CONFIDENCE = f"""{RERANK},
             CASE WHEN top1 >= 0.78 AND support >= 2 AND avg3 >= 0.55 THEN 'high' WHEN top1 >= 0.45 AND support >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM benchmark LEFT JOIN c0 ON query_id = item_id)"""
 
 
-def _confidence(spark, d) -> DataFrame:
-    return ranking.confidence(questions(spark, d), _ranked(spark, d).where(F.col("position") <= DEFAULTS.final_k))
+def _confidence(spark, d, settings=DEFAULTS) -> DataFrame:
+    return ranking.confidence(questions(spark, d), _ranked(spark, d).where(F.col("position") <= settings.final_k), settings)
 
 
 @register(f"WITH {CONFIDENCE} SELECT query_id, confidence, support, strong AS strong_support, round(avg3, 6) AS avg_top3 FROM cf")
@@ -335,12 +336,16 @@ def fingerprint_top(spark, d):
     return governance.fingerprint_groups(_events(spark, d)).select("query_fingerprint", "event_count", F.unix_seconds("last_seen").alias("last_seen"))
 
 
+#: The questions are easy; a stricter threshold has some answers of low confidence.
+STRICT = replace(DEFAULTS, overall_low=0.65)
+
+
 def _low(spark, d) -> DataFrame:
     asked = query.with_fingerprint(query.understand(questions(spark, d)))
-    return governance.low_confidence_events(_confidence(spark, d), asked, F.timestamp_seconds(F.col("query_id")))
+    return governance.low_confidence_events(_confidence(spark, d, STRICT), asked, F.timestamp_seconds(F.col("query_id")))
 
 
-LOW = f"{CONFIDENCE}, {FINGER.replace('{}', 'q2')}, lo AS (SELECT * FROM cf JOIN fp USING (query_id) WHERE confidence = 'low')"
+LOW = f"{CONFIDENCE.replace('WHEN top1 >= 0.45', 'WHEN top1 >= 0.65')}, {FINGER.replace('{}', 'q2')}, lo AS (SELECT * FROM cf JOIN fp USING (query_id) WHERE confidence = 'low')"
 
 
 @register(f"WITH {LOW} SELECT query_id AS event_id, query_fingerprint, round(top1, 4)::DOUBLE AS top1_score, round(avg3, 4)::DOUBLE AS avg_top3_score FROM lo")
