@@ -29,7 +29,7 @@ from .token_bytes import token_bytes
 
 CAPACITY = 1024
 #: Rows in a bucket of one length, about; ranks are numbered bucket by bucket.
-BUCKET = 20_000
+BUCKET = 1_000
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -105,10 +105,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return slots
 
 
-def ranked(cuts: DataFrame, total: int) -> DataFrame:
-    """cuts with rank: gapless from 0 within each length."""
-    buckets = max(1, -(-total // BUCKET))
-    salted = cuts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)))
+def ranked(cuts: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """cuts with rank: gapless from 0 within each length. A length has as many buckets as its count needs."""
+    # one row per length, capacity rows at most
+    buckets = cuts.sparkSession.createDataFrame([(n, 1 + many // BUCKET) for n, many in counts.items()], "length long, buckets long")
+    salted = cuts.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), "buckets")).drop("buckets")
     sizes = salted.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")
     bases = sizes.select("length", "bucket", before.alias("base"))
@@ -132,5 +133,5 @@ def pack(docs: DataFrame, vocabulary: str, separator: int = 2, capacity: int = C
             rows = targets.value[np.searchsorted(starts.value, length << 40 | rank, "right") - 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows[:, 1] + rank - rows[:, 0]), pa.array(rows[:, 2])], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    rows = ranked(cuts, sum(counts.values())).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
+    rows = ranked(cuts, counts).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return rows.mapInArrow(take, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
