@@ -66,6 +66,8 @@ def test_edge_cases(spark):
     assert {f for i, f, _ in got if i < 4} == {"0" * 16}
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [1, 5, 9, 9]
+    shared = spark.createDataFrame([(4, "a text that stands alone here"), (2, "one two three four five six"), (4, "one two three four five six")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[:3]) for r in simhash.keep_one(shared).collect()) == [(2, "one"), (4, "a t")]
 
 
 def shingles(text, words=5):

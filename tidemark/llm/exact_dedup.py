@@ -28,8 +28,12 @@ COUNTERS = 256
 FAN_IN = 32
 
 
+def digest(text) -> F.Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    return whole_texts(docs).select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    return whole_texts(docs).select("doc_id", digest(F.col("text")).alias("digest"))
 
 
 def _shrink(counts: Counter, counters: int) -> Counter:
@@ -84,6 +88,7 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The rows of docs that stay, all columns untouched. Only ids are shuffled beside the texts."""
-    dropped = materialize(classes(docs, counters).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_dropped")), "dropped")
-    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["_dropped"]), "left_anti")
+    """The rows of docs that stay, all columns untouched. Only ids and digests are shuffled beside the texts."""
+    gone = classes(docs, counters).where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    dropped = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")), "dropped")
+    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["_id"]) & (digest(docs["text"]) == dropped["_digest"]), "left_anti")

@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> Da
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, fp, anchors (smallest shingle hashes), sketch (SKETCH smallest, upper halves) of whole texts."""
+    """doc_id, text_key, fp, anchors (smallest shingle hashes), sketch (SKETCH smallest, upper halves) of whole texts."""
 
     def make():
         def run(batch):
@@ -229,15 +229,16 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 kept = np.unique((low >> np.uint64(32)).astype(np.uint32))[:SKETCH]
                 row[: len(kept)] = kept
                 sketches.append(row.tobytes())
-            return [batch["doc_id"], np.array(fps, np.uint64).view(np.int64), anchors, sketches]
+            return [batch["doc_id"], batch["text_key"], np.array(fps, np.uint64).view(np.int64), anchors, sketches]
 
         return run
 
-    return map_texts(whole_texts(docs), make, "doc_id long, fp long, anchors array<long>, sketch binary")
+    texts = whole_texts(docs).withColumn("text_key", F.xxhash64("text"))
+    return map_texts(texts, make, "doc_id long, text_key long, fp long, anchors array<long>, sketch binary")
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
-    """doc_id, fingerprint, component_id: classes linked by shingle similarity."""
+    """doc_id, text_key (hash of the text), fingerprint, component_id: classes linked by shingle similarity."""
     signed = materialize(signatures(docs, words).withColumn("own", F.xxhash64("sketch")), "signatures")
     firsts = [F.min("doc_id").alias("rep"), F.first("anchors").alias("anchors"), F.first("sketch").alias("sketch")]
     distinct = materialize(signed.groupBy("fp", "own").agg(*firsts), "distinct")
@@ -247,10 +248,13 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int
     grouped = dealt.select("group", "fp", "rep", "sketch").repartition(parts, "group").sortWithinPartitions("group")
     found = components(grouped.mapInArrow(_links(WIDE, similarity), "a long, b long"))
     classes = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", "own", F.coalesce("component", "rep").alias("component_id"))
-    return signed.join(classes, ["fp", "own"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return signed.join(classes, ["fp", "own"]).select("doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that stay, all columns untouched: of each class the smallest doc_id; rows without an id stay."""
-    dropped = materialize(similar(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")), "dropped")
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["_dropped"], "left_anti")
+    gone = similar(docs, words, similarity).where("doc_id <> component_id")
+    dropped = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "dropped")
+    # rows that share an id but not the text are told apart by the text's hash
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(dropped, (docs["doc_id"].cast("long") == dropped["_id"]) & (own == dropped["_key"]), "left_anti")
