@@ -1,20 +1,21 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
 Tokens are runs of letters, lower-cased. The chain has the states clean and toxic, a
-weight per word of a learned lexicon, one for all other words, and transitions. Its
-token labels come from document labels: in a toxic document the words are marked
-that occur in many toxic documents and hardly in clean ones. A document vouches for
-a word by the neighbours of the word's first place, and equal neighbours count once,
-so a text copied a thousand times vouches for its words once.
+weight per stem of a learned lexicon (a word, or a beginning of words, of which a
+token takes the longest it has), one for all other words, and transitions. Its token
+labels come from document labels: in a toxic document the stems are marked that are
+RATIO times as frequent in toxic documents as in clean ones. Near copies of a toxic
+document count once, however many they are.
 
 Forward-backward marginals are exact for whole texts: stretches of other words are
 powers of one 2x2 matrix, so only lexicon words cost a step. A document's score
-rests on the chance that one of them is toxic, taken from their marginals, and is
-calibrated on the learning rows. Offending words come with their offsets.
+weighs the sum of its marginals, the toxic words to expect, against its length, as
+stems also occur by chance; the weights are fitted on the learning rows. Offending
+words come with their offsets.
 
 Learning uses labelled rows whose crc32 of the id mod 4 is not 2, about SAMPLE of
 them, chosen by a hash of the id; lang, source and doc_id are no inputs. Null and
-empty texts score as texts without toxic words. Without toxic labels every score is
+empty texts score as texts without words. Without toxic labels every score is
 near 0. Contradicting labels of one id count as toxic if any does. Repeated rows are
 scored each; an empty table gives an empty result.
 """
@@ -30,14 +31,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts, materialize, whole_texts
+from .common import TwoAges, held_out, map_texts, materialize, whole_texts
 
 #: Learning rows, about; at most twice as many are read.
 SAMPLE = 20_000
 #: Sequences of each kind, and the words of each, that the field is fitted on, at most.
 SEQUENCES, WINDOW = 1000, 48
-#: Distinct vouching documents a lexicon word needs, the least share of them among all its documents, and the most words.
-VOUCHERS, PURITY, MAX_LEXICON = 6, 0.8, 5000
+#: Toxic documents that a stem needs, near copies aside; how much more frequent it must be there; a longer stem
+#: must be so much purer than the one it begins with; letters of stems; the most stems.
+VOUCHERS, RATIO, PURER, STEMS, MAX_LEXICON = 6, 8.0, 2.0, range(3, 9), 5000
+#: Agreeing minima of 16 that make two toxic documents near copies.
+NEAR = 5
 THRESHOLD = 0.3
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -47,11 +51,13 @@ class Field:
     """Weights of the chain. Word 0 is any word outside the lexicon; the clean state's word weights are 0."""
 
     def __init__(self, lexicon: list[str]):
+        """Stems; a whole word stands with a closing full stop."""
         self.lexicon = {w: i + 1 for i, w in enumerate(lexicon)}
+        self.lengths = sorted({len(w) for w in lexicon if w[-1] != "."}, reverse=True)
         self.word = np.zeros(len(lexicon) + 1)
         self.step = np.zeros((2, 2))
         self.start = np.zeros(2)
-        self.low, self.high = 0.0, 1.0
+        self.weights = np.array([-3.0, 0, 0, 0, 0])
 
     def fit(self, rows: np.ndarray, marks: np.ndarray, rounds: int = 200, rate: float = 0.2, decay: float = 1e-3) -> None:
         """Maximum likelihood by Adam; rows and marks are (sequences, time), -1 pads."""
@@ -108,8 +114,17 @@ class Field:
 
         return power
 
+    @functools.cached_property
+    def _ids(self) -> TwoAges:
+        return TwoAges(self.stem)
+
+    def stem(self, word: str) -> int:
+        """The number of the whole word, or of its longest stem; 0 without one."""
+        own = self.lexicon.get(word + ".")
+        return own or next((i for n in self.lengths if (i := self.lexicon.get(word[:n], 0))), 0)
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_gap"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_gap", "_ids")}
 
     def marginals(self, ids: list[int], places: list[int], length: int) -> np.ndarray:
         """P(toxic) at the lexicon words: ids[i] stands at token places[i] of a text of `length` tokens."""
@@ -131,25 +146,46 @@ class Field:
         p = forward * backward
         return p[:, 1] / p.sum(axis=1)
 
-    def tag(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """(chance that a word is toxic, (start, end, marginal) of each lexicon word)."""
-        if not self.lexicon or self.lexicon.keys().isdisjoint(_WORDS.findall(text.lower())):
-            return 0.0, []
+    def tag(self, text: str) -> tuple[float, int, list[tuple[int, int, float]]]:
+        """(toxic words to expect, words, (start, end, marginal) of each lexicon word)."""
+        words = _WORDS.findall(text.lower())
+        if not self.lexicon or not any(map(self._ids.__getitem__, words)):
+            return 0.0, len(words), []
         ids, places, spans, length = [], [], [], 0
         for m in _WORDS.finditer(text):
-            own = self.lexicon.get(m[0].lower())
+            own = self._ids[m[0].lower()]
             if own:
                 ids.append(own)
                 places.append(length)
                 spans.append(m.span())
             length += 1
         if not ids:
-            return 0.0, []
+            return 0.0, length, []
         p = self.marginals(ids, places, length)
-        return float(1 - np.prod(1 - p)), [(a, b, float(x)) for (a, b), x in zip(spans, p)]
+        return float(p.sum()), length, [(a, b, float(x)) for (a, b), x in zip(spans, p)]
+
+    def score(self, expected: float, length: int) -> float:
+        z = float(evidence(np.array([expected]), np.array([length]))[0] @ self.weights)
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
+def evidence(expected: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """What a document's score weighs: toxic words and all words, as rates of rare events have it, and their share."""
+    share = np.minimum(1, 20 * expected / np.maximum(length, 1))
+    return np.stack([np.ones(len(expected)), np.minimum(expected, 50), np.minimum(length / 100, 50), np.log1p(expected), share], axis=1)
+
 
-    def score(self, chance: float) -> float:
-        return self.low + (self.high - self.low) * chance
+def logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.1) -> np.ndarray:
+    """Weights by damped Newton steps; the first column is the constant."""
+    w = np.zeros(x.shape[1])
+    keep = np.diag([1e-6, *[decay] * (x.shape[1] - 1)])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (p - y) + keep @ w)
+        w -= step * min(1, 5 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -166,56 +202,104 @@ def learning_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return materialize(whole_texts(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "toxic"), "learning")
 
 
-def vouching(rows: DataFrame) -> DataFrame:
-    """word, context of the first place of each word of each text; once per task."""
+def clusters(rows: DataFrame) -> dict[int, int]:
+    """Text hash -> cluster of near copies among rows(text): texts that agree in NEAR of 16 minima over
+    hashed word pairs. The learning sample bounds what the driver holds, 17 numbers a text."""
 
     def make():
-        seen = set()
+        own = np.random.default_rng(5)
+        a, b = own.integers(1, 2**31, 16, np.uint64) * 2 + 1, own.integers(0, 2**32, 16, np.uint64)
 
         def run(batch):
             out = []
             for text in batch["text"]:
                 w = ["", *_WORDS.findall(text.lower()), ""]
-                first: dict[str, int] = {}
-                for i in range(1, len(w) - 1):
-                    first.setdefault(w[i], i)
-                for word, i in first.items():
-                    key = (word, zlib.crc32(f"{w[i - 1]} {w[i + 1]}".encode("utf-8", "surrogatepass")))
-                    if key not in seen:
-                        if len(seen) < 1_000_000:
-                            seen.add(key)
-                        out.append(key)
-            return list(zip(*out)) if out else [[], []]
+                h = np.array([zlib.crc32(f"{x} {y}".encode("utf-8", "surrogatepass")) for x, y in zip(w, w[1:])], np.uint64)
+                out.append(((h[:, None] * a + b) % np.uint64(2**32)).min(axis=0).astype(np.int64).tolist())
+            return [batch["key"], out]
 
         return run
 
-    return map_texts(rows.select("text"), make, "word string, context long")
+    found = sorted((r["key"], r["minima"]) for r in map_texts(rows.select("text", F.xxhash64("text").alias("key")), make, "key long, minima array<long>").collect())
+    up = {key: key for key, _ in found}
 
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Lexicon, chain weights and calibration from docs(doc_id, text) and labels(doc_id, toxic)."""
-    rows = learning_rows(docs, labels, sample)
-    vouched = vouching(rows.where("toxic = 1")).groupBy("word").agg(F.count_distinct("context").alias("n")).where(F.col("n") >= VOUCHERS)
-    vouchers = {r["word"]: r["n"] for r in vouched.collect()}  # bounded by the sample
+    seen: dict[tuple[int, int], tuple[int, list[int]]] = {}
+    for key, minima in found:
+        for place in enumerate(minima):
+            other, its = seen.setdefault(place, (key, minima))
+            if other != key and sum(x == y for x, y in zip(minima, its)) >= NEAR:
+                low, high = sorted((top(key), top(other)))
+                up[high] = low
+    return {key: top(key) for key in up}
+
+
+def stems(word: str) -> list[str]:
+    return [word + ".", *(word[:n] for n in STEMS if n <= len(word))]
+
+
+def stem_counts(rows: DataFrame, keys: set[int] | None, wanted: dict | None) -> DataFrame:
+    """stem, docs, places, over the texts of rows whose hash is in keys (None: all) and the stems in wanted
+    (None: all); the stem '' counts texts and words."""
+    shared = rows.sparkSession.sparkContext.broadcast((keys, None if wanted is None else set(wanted)))  # bounded by the learning sample
+
+    def make():
+        own, asked = shared.value
 
-    def make_counts():
         def run(batch):
-            n = Counter()
-            for text in batch["text"]:
-                n.update(vouchers.keys() & set(_WORDS.findall(text.lower())))
-            return [list(n), list(n.values())]
+            docs, places = Counter(), Counter()
+            for text, key in zip(batch["text"], batch["key"]):
+                if own is None or key in own:
+                    words = Counter(_WORDS.findall(text.lower()))
+                    here = Counter()
+                    for word, n in words.items():
+                        for x in stems(word):
+                            if asked is None or x in asked:
+                                here[x] += n
+                    places.update(here)
+                    docs.update(here.keys())
+                    docs[""] += 1
+                    places[""] += words.total()
+            return [list(docs), list(docs.values()), [places[x] for x in docs]]
 
         return run
 
-    clean = {r["word"]: r["n"] for r in map_texts(rows.where("toxic = 0").select("text"), make_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    pure = [(n, w) for w, n in vouchers.items() if n >= PURITY * (n + clean.get(w, 0))]
-    field = Field(sorted(w for _, w in sorted(pure, reverse=True)[:MAX_LEXICON]))
+    counted = map_texts(rows.select("text", F.xxhash64("text").alias("key")), make, "stem string, docs long, places long")
+    return counted.groupBy("stem").agg(F.sum("docs").alias("docs"), F.sum("places").alias("places"))
+
+
+def choose(toxic: dict[str, tuple[int, int]], clean: dict[str, tuple[int, int]]) -> list[str]:
+    """Stems frequent in toxic texts only, shorter ones first; a longer one only if it is much purer."""
+    all_toxic, all_clean = toxic.get("", (0, 1))[1], clean.get("", (0, 1))[1]
+    pure: dict[str, float] = {}
+    for x in sorted(toxic, key=lambda k: (len(k), k)):
+        ratio = (toxic[x][1] + 0.5) / (all_toxic + 1) / ((clean.get(x, (0, 0))[1] + 0.5) / (all_clean + 1))
+        if x and toxic[x][0] >= VOUCHERS and ratio >= RATIO:
+            shorter = [pure[x[:n]] for n in range(min(STEMS), len(x)) if x[:n] in pure]
+            if not shorter or ratio >= PURER * max(shorter):
+                pure[x] = ratio
+    return sorted(sorted(pure, key=lambda k: (-toxic[k][1], k))[:MAX_LEXICON])
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
+    """Lexicon, chain weights and calibration from docs(doc_id, text) and labels(doc_id, toxic)."""
+    rows = learning_rows(docs, labels, sample)
+    bad, good = rows.where("toxic = 1"), rows.where("toxic = 0")
+    firsts = set(clusters(bad).values())  # of near copies one
+    rest = F.col("docs") >= VOUCHERS
+    toxic = {r["stem"]: (r["docs"], r["places"]) for r in stem_counts(bad, firsts, None).where(rest | (F.col("stem") == "")).collect()}
+    clean = {r["stem"]: (r["docs"], r["places"]) for r in stem_counts(good, None, toxic).collect()}
+    field = Field(choose(toxic, clean))
 
     def make_rows():
         def run(batch):
             out = []
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                ids = [field.lexicon.get(w, 0) for w in _WORDS.findall(text.lower())]
+                ids = list(map(field.stem, _WORDS.findall(text.lower())))
                 hit = next((i for i, x in enumerate(ids) if x), -1)
                 if ids and (hit >= 0 or not toxic):
                     out.append((toxic, ids[max(0, hit - WINDOW // 2) :][:WINDOW]))
@@ -231,16 +315,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
             table[i, : len(r["ids"])] = r["ids"]
         field.fit(table, ((table > 0) & np.array([[r["toxic"]] for r in drawn], bool)).astype(int))
 
-    def make_chances():
+    def make_evidence():
         def run(batch):
-            n = Counter((int(field.tag(text)[0] > 0.5), toxic) for text, toxic in zip(batch["text"], batch["toxic"]))
-            return [[k[0] for k in n], [k[1] for k in n], list(n.values())]
+            found = [field.tag(text) for text in batch["text"]]
+            return [[x[0] for x in found], [x[1] for x in found], batch["toxic"]]
 
         return run
 
-    n = {(r["hit"], r["toxic"]): r["n"] for r in map_texts(rows, make_chances, "hit int, toxic int, n long").groupBy("hit", "toxic").agg(F.sum("n").alias("n")).collect()}
-    rate = lambda hit: (n.get((hit, 1), 0) + 0.5 * hit) / (n.get((hit, 0), 0) + n.get((hit, 1), 0) + 1)
-    field.low, field.high = rate(0), max(rate(0), rate(1))
+    seen = map_texts(rows, make_evidence, "expected double, length long, toxic int").collect()  # three numbers a learning row
+    if seen:
+        expected, length, marked = (np.array(x, float) for x in zip(*seen))
+        field.weights = logistic(evidence(expected, length), marked)
     return field
 
 
@@ -253,8 +338,8 @@ def tag(docs: DataFrame, field: Field) -> DataFrame:
 
         def run(batch):
             found = [own.tag(t) for t in batch["text"]]
-            score = [own.score(c) for c, _ in found]
-            return [batch["doc_id"], score, [int(x >= THRESHOLD) for x in score], [[dict(zip(("start", "end", "p"), s)) for s in spans] for _, spans in found]]
+            score = [own.score(c, n) for c, n, _ in found]
+            return [batch["doc_id"], score, [int(x >= THRESHOLD) for x in score], [[dict(zip(("start", "end", "p"), s)) for s in spans] for *_, spans in found]]
 
         return run
 
@@ -275,7 +360,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         own = shared.value
 
         def run(batch):
-            keep = [i for i, t in enumerate(batch["text"]) if own.score(own.tag(t or "")[0]) < THRESHOLD]
+            keep = [i for i, t in enumerate(batch["text"]) if own.score(*own.tag(t or "")[:2]) < THRESHOLD]
             return [[batch[n][i] for i in keep] for n in names]
 
         return run
