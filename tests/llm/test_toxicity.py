@@ -58,3 +58,31 @@ def test_held_out_documents_and_edges(spark):
     assert kept == sorted(r.doc_id for r in got if not r.predicted)
     assert toxicity.detect(d.limit(0), lab).count() == 0
     assert {r.predicted for r in toxicity.detect(d, lab.limit(0)).collect()} == {0}
+
+
+def test_stems_are_chosen_short_unless_longer_ones_are_purer():
+    toxic = {"": (50, 10_000), "bad": (40, 400), "bada": (20, 200), "badly.": (30, 190), "the": (50, 900), "rare": (3, 90)}
+    clean = {"": (500, 100_000), "bad": (90, 100), "bada": (50, 50), "the": (500, 9000)}
+    assert toxicity.choose(toxic, clean) == ["bad", "badly."]
+    field = toxicity.Field(["bad", "badly.", "badl"])
+    assert [field.stem(w) for w in ("badly", "badlyish", "badge", "ba", "good")] == [2, 3, 1, 0, 0]
+
+
+def test_near_copies_share_a_cluster(spark):
+    r = random.Random(2)
+    base = [f"{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}word" for _ in range(200)]
+    texts = []
+    for _ in range(8):
+        w = list(base)
+        w[r.randrange(200)] = "other"
+        texts.append(" ".join(w))
+    texts += [" ".join(r.choice(base) + "x" for _ in range(100)) for _ in range(5)] + [""]
+    found = toxicity.clusters(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert len(set(found.values())) == 7
+
+
+def test_logistic_follows_the_odds():
+    x = np.stack([np.ones(400), np.repeat([0.0, 1.0], 200)], axis=1)
+    y = np.array([1] * 20 + [0] * 180 + [1] * 180 + [0] * 20, float)
+    w = toxicity.logistic(x, y)
+    assert np.allclose(1 / (1 + np.exp(-(np.unique(x, axis=0) @ w))), [0.1, 0.9], atol=0.01)
