@@ -31,7 +31,7 @@ class TokenBytes:
         self.dtype = np.dtype(dtype)
         self.chunks = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
         self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
-        self.memo = TwoAges(self.pack)
+        self.memo = TwoAges(self.pack, 150_000)
 
     def pack(self, chunk: str) -> bytes:
         return np.array(self.coder.encode_ordinary(chunk), self.dtype).tobytes()
