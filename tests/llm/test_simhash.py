@@ -108,3 +108,33 @@ def test_similar_finds_the_similar_and_no_others(spark):
         assert all(got[i] == got[find(sure, i)] for i in got)
         assert all(find(up, i) == find(up, got[i]) for i in got)
     assert len({got[i] for i in got}) < len(rows)
+
+
+def test_similar_decides_at_the_threshold_on_whole_sets(spark):
+    r = random.Random(4)
+    rows, linked = [], []
+    for n in (454, 453, 1354, 1353):  # n - 4 shingles; every changed word costs both texts five: 0.8 itself, and just below
+        for _ in range(15):
+            w = [f"w{r.getrandbits(40)}" for _ in range(n)]
+            v = list(w)
+            for at in range(8, 8 + 9 * (n // 45), 9):
+                v[at] = f"x{r.getrandbits(40)}"
+            a, b = shingles(" ".join(w)), shingles(" ".join(v))
+            linked.append(len(a & b) / len(a | b) >= 0.8)
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    assert sum(linked) == 30
+    line = " ".join(f"v{r.getrandbits(40)}" for _ in range(12))
+    rest = " ".join(f"u{r.getrandbits(40)}" for _ in range(200))
+    rows += [(len(rows), f"{rest} {line}"), (len(rows) + 1, f"{rest} {' '.join([line] * 400)}")]  # one line again and again
+    linked.append(True)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for group in (4096, 16):
+        got = {x.doc_id: x.component_id for x in simhash.similar(df, group=group).collect()}
+        assert [got[2 * i + 1] == got[2 * i] for i in range(len(linked))] == linked
+
+
+def test_similar_keeps_texts_apart_that_share_an_id(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(4, "quite another text that has nothing in common"), (3, " ".join(words)), (4, " ".join([*words[:-1], "end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[:2]) for r in simhash.keep_one(df).collect()) == [(3, "w0"), (4, "qu")]

@@ -18,9 +18,10 @@ With a similarity instead of a radius (`similar`), pairs link if the Jaccard
 similarity of their shingle sets reaches it. At 0.8 fingerprints differ in up to
 some 18 bits, which no exact blocking of 64 bits reaches. There the candidates meet
 under their smallest shingle hashes (a pair of similarity s shares none of four with
-a chance of about (1 - s)^4), the pivot table discards at WIDE bits, and survivors
-are verified on sketches of their SKETCH smallest shingle hashes: exact up to that
-many shingles, an unbiased estimate above.
+a chance of less than (1 - s)^4), and the pivot table discards at WIDE bits between
+fingerprints over distinct shingles. Sketches of the SKETCH smallest hashes only
+gather suspects, at MARGIN below the similarity. The suspects' texts are read once
+more, and every link is decided on the whole sets of 64-bit shingle hashes.
 
 Null and empty texts have no words: fingerprint zero, linked like any other. A
 repeated doc_id gives a repeated row. An empty table gives an empty result.
@@ -43,12 +44,16 @@ from .components import components, labels_of
 
 RADIUS = 4
 #: Bits within which similar texts are compared further, keys each text stands under, hashes of a sketch.
-WIDE, ANCHORS, SKETCH = 20, 4, 128
+WIDE, ANCHORS, SKETCH = 24, 4, 128
+#: How far below the similarity a sketch's estimate still makes suspects: over five standard errors at 0.8.
+MARGIN = 0.2
 PAD = np.uint32(0xFFFFFFFF)
 #: Reference fingerprints of the pivot table, drawn once from a fixed seed.
 PIVOTS = 24
 #: Rows of a block group that one task compares; larger groups are split into chunks of half as many.
 GROUP = 4096
+#: Rows and shingles of a group of whole sets that one task compares.
+SUSPECTS, SHINGLES = 1024, 1 << 22
 #: Shingles hashed at a time, which bounds memory for very long texts.
 SPAN = 1 << 16
 
@@ -118,7 +123,37 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (twin & (rank <= limit)).sum(axis=1) / np.maximum(1, (fresh & (rank <= limit)).sum(axis=1))
 
 
-def linked(group: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def sketched(columns: list[np.ndarray], similarity: float):
+    """Of pairs of rows (shingles, sketch): may their sets reach the similarity?"""
+    size, sketch = columns[0], np.frombuffer(b"".join(columns[1]), np.uint32).reshape(-1, SKETCH)
+
+    def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.minimum(size[a], size[b]) / np.maximum(size[a], size[b]) >= similarity  # bounds the similarity
+        at = np.nonzero(out)[0]
+        for i in range(0, len(at), 4096):
+            part = at[i : i + 4096]
+            out[part] = jaccard(sketch[a[part]], sketch[b[part]]) >= similarity - MARGIN
+        return out
+
+    return alike
+
+
+def whole(columns: list[np.ndarray], similarity: float):
+    """Of pairs of rows (shingles, whole set): do their sets reach the similarity?"""
+    size, sets = columns[0], [np.frombuffer(x, np.uint64) for x in columns[1]]
+
+    def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.minimum(size[a], size[b]) / np.maximum(size[a], size[b]) >= similarity
+        for i in np.nonzero(out)[0]:
+            x, y = sets[a[i]], sets[b[i]]
+            common = int((x[np.searchsorted(x, y) % len(x)] == y).sum())
+            out[i] = common / (len(x) + len(y) - common) >= similarity
+        return out
+
+    return alike
+
+
+def linked(group: np.ndarray, fp: np.ndarray, radius: int, alike=None) -> tuple[np.ndarray, np.ndarray]:
     """(row, row) of a spanning forest of the links within equal, adjacent group values."""
     refs = pivots()
     table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
@@ -140,8 +175,8 @@ def linked(group: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray |
             a, b = a[near], b[near]
         near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
         a, b = a[near], b[near]
-        if sketch is not None and len(a):
-            near = np.concatenate([jaccard(sketch[a[i : i + 4096]], sketch[b[i : i + 4096]]) for i in range(0, len(a), 4096)]) >= similarity
+        if alike is not None and len(a):
+            near = alike(a, b)
             a, b = a[near], b[near]
         if len(a):
             held.append((a, b))
@@ -159,14 +194,12 @@ def linked(group: np.ndarray, fp: np.ndarray, radius: int, sketch: np.ndarray |
     return own, label[own]
 
 
-def _links(radius: int, similarity: float | None):
+def _links(radius: int, judge=None, similarity: float = 0.0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches come sorted by group; the last group of a batch waits for the next."""
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            rows = [batch.column(i).to_numpy() for i in range(3)]
-            if similarity is not None:
-                rows.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, SKETCH))
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if rest is not None:
                 rows = [np.concatenate(x) for x in zip(rest, rows)]
             whole = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
@@ -176,33 +209,32 @@ def _links(radius: int, similarity: float | None):
         if rest is not None and len(rest[0]):
             yield solve(*rest)
 
-    def solve(group, fp, rep, sketch=None) -> pa.RecordBatch:
-        a, b = linked(group, fp.view(np.uint64), radius, sketch, similarity or 0.0)
+    def solve(group, fp, rep, *columns) -> pa.RecordBatch:
+        a, b = linked(group, fp.view(np.uint64), radius, judge(columns, similarity) if judge else None)
         return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], names=["a", "b"])
 
     return run
 
 
-def deal(tables: DataFrame, group: int) -> DataFrame:
-    """tables(key, fp, rep) as (group, fp, rep): keys with one row left out, large ones as pairs of chunks."""
-    sizes = tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.when(F.col("n") > group, F.ceil(2 * F.col("n") / group)).otherwise(1).cast("int")
+def deal(tables: DataFrame, load: F.Column) -> DataFrame:
+    """tables(key, fp, rep, ...) with a group for the key: keys with one row left out, those whose loads sum to over 1 as pairs of chunks."""
+    sizes = tables.groupBy("key").agg(F.count("*").alias("n"), F.sum(load).alias("load")).where("n > 1")
+    chunks = F.when(F.col("load") > 1, F.ceil(2 * F.col("load"))).otherwise(1).cast("int")
     return (
-        tables.join(sizes, "key")
-        .withColumn("chunks", chunks)
+        tables.join(sizes.select("key", chunks.alias("chunks")), "key")
         .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .where("chunks = 1 OR own <> other")
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "fp", "rep")
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), *(c for c in tables.columns if c != "key"))
     )
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
     """a, b: links between representatives of distinct(fp, rep), enough to span every component."""
     keyed = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(mask)))) for mask, i in block_masks(radius)]
-    dealt = deal(distinct.select("fp", "rep", F.explode(F.array(*keyed)).alias("key")), group)
+    dealt = deal(distinct.select("fp", "rep", F.explode(F.array(*keyed)).alias("key")), F.lit(1 / group))
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_links(radius, None), "a long, b long")
+    return dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_links(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:
@@ -214,41 +246,76 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> Da
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct shingle hashes of one whole text, ascending; a text without words has the hash 0."""
+    return np.unique(np.concatenate([np.unique(h) for h in hashes(text, words)] or [np.zeros(1, np.uint64)]))
+
+
+def marks(own: np.ndarray) -> tuple[int, int]:
+    """(fingerprint over the distinct shingles, hash of the whole set), both as signed integers."""
+    return _signed(majority(own[i : i + SPAN] for i in range(0, len(own), SPAN))), _signed(xxhash.xxh64_intdigest(own.tobytes()))
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_key, fp, anchors (smallest shingle hashes), sketch (SKETCH smallest, upper halves) of whole texts."""
+    """doc_id, text_key, fp, own (hash of the whole set), size, anchors (smallest shingle hashes), sketch (SKETCH smallest, upper halves)."""
 
     def make():
         def run(batch):
-            fps, anchors, sketches = [], [], []
-            for text in batch["text"]:
-                spans = list(hashes(text, words))
-                fps.append(majority(spans))
-                low = np.unique(np.concatenate([np.unique(h)[: SKETCH + 1] for h in spans] or [np.zeros(1, np.uint64)]))
-                anchors.append(low[:ANCHORS].view(np.int64).tolist())
+            out = []
+            for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"]):
+                own = shingle_set(text, words)
                 row = np.full(SKETCH, PAD, np.uint32)
-                kept = np.unique((low >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+                kept = np.unique((own[: SKETCH + 1] >> np.uint64(32)).astype(np.uint32))[:SKETCH]
                 row[: len(kept)] = kept
-                sketches.append(row.tobytes())
-            return [batch["doc_id"], batch["text_key"], np.array(fps, np.uint64).view(np.int64), anchors, sketches]
+                out.append((doc_id, key, *marks(own), len(own), own[:ANCHORS].view(np.int64).tolist(), row.tobytes()))
+            return list(zip(*out))
 
         return run
 
     texts = whole_texts(docs).withColumn("text_key", F.xxhash64("text"))
-    return map_texts(texts, make, "doc_id long, text_key long, fp long, anchors array<long>, sketch binary")
+    return map_texts(texts, make, "doc_id long, text_key long, fp long, own long, size long, anchors array<long>, sketch binary")
+
+
+def whole_sets(docs: DataFrame, words: int) -> DataFrame:
+    """own, fp, size, shingles: the whole sets of docs."""
+
+    def make():
+        def run(batch):
+            sets = [shingle_set(t, words) for t in batch["text"]]
+            return [*zip(*((*marks(s)[::-1], len(s), s.tobytes()) for s in sets))]
+
+        return run
+
+    return map_texts(docs, make, "own long, fp long, size long, shingles binary")
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
     """doc_id, text_key (hash of the text), fingerprint, component_id: classes linked by shingle similarity."""
-    signed = materialize(signatures(docs, words).withColumn("own", F.xxhash64("sketch")), "signatures")
-    firsts = [F.min("doc_id").alias("rep"), F.first("anchors").alias("anchors"), F.first("sketch").alias("sketch")]
-    distinct = materialize(signed.groupBy("fp", "own").agg(*firsts), "distinct")
-    known = distinct.where("rep IS NOT NULL")
-    dealt = deal(known.select("fp", "rep", F.explode("anchors").alias("key")), group).join(known.select("rep", "sketch"), "rep")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = dealt.select("group", "fp", "rep", "sketch").repartition(parts, "group").sortWithinPartitions("group")
-    found = components(grouped.mapInArrow(_links(WIDE, similarity), "a long, b long"))
-    classes = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", "own", F.coalesce("component", "rep").alias("component_id"))
-    return signed.join(classes, ["fp", "own"]).select("doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+    def compare(dealt: DataFrame, judge, column: str) -> DataFrame:
+        grouped = dealt.select("group", "fp", "rep", "size", column).repartition(parts, "group").sortWithinPartitions("group")
+        return components(grouped.mapInArrow(_links(WIDE, judge, similarity), "a long, b long"))
+
+    signed = materialize(signatures(docs, words), "signatures")
+    firsts = [F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "size", "anchors", "sketch"))]
+    distinct = materialize(signed.groupBy("own").agg(*firsts), "distinct")
+    # classes of equal sets go by the set's hash, as rows with other texts may share a doc_id
+    known = distinct.where("rep IS NOT NULL").withColumnsRenamed({"rep": "least", "own": "rep"})
+    dealt = deal(known.select("fp", "rep", F.explode("anchors").alias("key")), F.lit(1 / group)).join(known.select("rep", "size", "sketch"), "rep")
+    clusters = compare(dealt, sketched, "sketch")
+    suspects = materialize(clusters.join(known.select(F.col("rep").alias("node"), "least"), "node"), "suspects")
+    # a true pair of suspects lies within one cluster; only their texts are read again
+    texts = whole_texts(docs).join(suspects.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").distinct()
+    own = suspects.select(F.col("node").alias("own"), F.col("component").alias("key"))
+    sets = materialize(whole_sets(texts, words).join(own, "own").withColumnRenamed("own", "rep"), "sets")
+    found = compare(deal(sets, F.greatest(F.lit(1 / min(group, SUSPECTS)), F.col("size") / SHINGLES)), whole, "shingles")
+    named = found.join(suspects.select("node", "least"), "node")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = distinct.join(named.join(least, "component").select(F.col("node").alias("own"), "component_id"), "own", "left")
+    return signed.join(classes.select("own", F.coalesce("component_id", "rep").alias("component_id")), "own").select(
+        "doc_id", "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
