@@ -42,3 +42,25 @@ def test_counts_do_not_depend_on_the_span(monkeypatch):
     for span in (7, 16, 100):
         monkeypatch.setattr(langid, "SPAN", span)
         assert (langid.gram_counts(text) == whole).all()
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    r = random.Random(2)
+    rows = []
+    for i in range(230):  # each with letters of its own; the last ones with the fewest rows
+        own = [chr(0x4E00 + 12 * i + j) for j in range(12)]
+        rows += [(len(rows) + j, " ".join("".join(r.choice(own) for _ in range(4)) for _ in range(30)), f"l{i:03}") for j in range(8 if i < 200 else 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {i: lang for i, _, lang in rows}
+    for block in (2000, 100):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        got = {x.doc_id: x.lang_pred for x in langid.detect(df).collect()}
+        assert {want[i] for i in want if got[i] == want[i]} == set(want.values())
+        assert np.mean([got[i] == want[i] for i in want]) > 0.95
+
+
+def test_one_repeated_id_does_not_crowd_out_a_language(spark):
+    rows = [(4, f"the wher tioning {'er' * (i % 7)} ing {i}", "aa") for i in range(4000)] + [(i, "que cion ado os " * 5, "bb") for i in range(10, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.detect(df.repartition(3)).collect()
+    assert {(x.doc_id == 4, x.lang_pred) for x in got} == {(True, "aa"), (False, "bb")}

@@ -7,9 +7,9 @@ language. A text whose nearest centroid is farther than its language's learned
 reach is rejected.
 
 Learning: document frequencies and language counts cover every learning row (text
-and lang not null, crc32 of the id mod 4 not 2). Centroids and reaches are fitted on
-about SAMPLE rows per language, chosen by a hash of the id and collected by the
-driver; languages are at most MAX_LANGUAGES, the most frequent ones.
+and lang not null, crc32 of the id mod 4 not 2). Every language is fitted, on an
+executor, on the SAMPLE rows with the smallest hashes of id and text. Centroids reach
+the tasks in blocks of BLOCK languages; with more, a text takes the best of all blocks.
 
 Texts that are null or have no letter: lang_pred 'und', score 0, rejected. Long texts
 count whole. Without any learning row every text is 'und'. Repeated rows are judged
@@ -19,17 +19,21 @@ each; an empty table gives an empty result. lang, source and doc_id are not inpu
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import held_out, map_texts
+from .common import held_out, map_texts, materialize
 
 BINS = 4096
-#: Rows per language that the centroids are fitted on, about; bounded by twice as many.
+#: Rows per language that the centroids are fitted on, at most.
 SAMPLE = 400
-MAX_LANGUAGES = 200
+#: Languages whose centroids a task holds at a time.
+BLOCK = 2000
 CENTROIDS = 4
 #: Code points turned into grams at a time, which bounds memory for very long texts.
 SPAN = 1 << 20
@@ -92,107 +96,115 @@ def cluster(rows: np.ndarray, k: int, seed: int = 11) -> np.ndarray:
 
 
 class Model:
+    """A block of languages with their centroids and reaches."""
+
     def __init__(self, languages: list[str], idf: np.ndarray, centroids: np.ndarray, of: np.ndarray, reach: np.ndarray):
         self.languages, self.idf, self.centroids, self.of, self.reach = languages, idf, centroids, of, reach
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(language or 'und', cosine to its nearest centroid, rejected)."""
+        """(language or 'und', cosine to its nearest centroid, least cosine that is not rejected)."""
         rows, grams = vectors(texts, self.idf)
         ok = grams > 0
         if not len(self.centroids):
-            return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+            return ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.inf)
         cosine = rows @ self.centroids.T
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(texts)), best], 0, 1).astype(float)
         lang = self.of[best]
-        return [self.languages[x] if y else "und" for x, y in zip(lang, ok)], np.where(ok, score, 0.0), ~ok | (score < self.reach[lang] * np.sqrt(np.minimum(1, grams / LONG)))
+        least = np.where(ok, self.reach[lang] * np.sqrt(np.minimum(1, grams / LONG)), np.inf)
+        return [self.languages[x] if y else "und" for x, y in zip(lang, ok)], np.where(ok, score, 0.0), least
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
-    """Learn from the rows of docs(doc_id, text, lang) that are not held out."""
+def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Iterator[Model]:
+    """Learn from the rows of docs(doc_id, text, lang) that are not held out; one block at least."""
     rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
 
     def make():
         def run(batch):
-            """Bins with the texts that have them; the texts of each language stand at bins from BINS on."""
-            df, n = np.zeros(BINS, np.int64), 0
-            for text in batch["text"]:
+            """Bins with the texts that have them, and all texts at bin -1; the hash of each text with letters under its language."""
+            df, lettered = np.zeros(BINS, np.int64), []
+            for lang, text, key in zip(batch["lang"], batch["text"], batch["hash"]):
                 counts = gram_counts(text)
                 if counts is not None:
                     df += counts > 0
-                    n += 1
+                    lettered.append((lang, None, 1, key))
             at = np.nonzero(df)[0]
-            return [[*at.tolist(), -1], [*df[at].tolist(), n]]
+            return list(zip(*lettered, *((None, b, n, None) for b, n in zip(at.tolist(), df[at].tolist())), (None, -1, len(lettered), None)))
 
         return run
 
+    found = map_texts(rows, make, "lang string, bin int, n long, hash long")
+    counted = materialize(found.groupBy("lang", "bin").agg(F.sum("n").alias("n"), F.approx_count_distinct("hash").alias("texts")), "grams")
     df, n = np.zeros(BINS), 0
-    for r in map_texts(rows.select("text"), make, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS + 1 rows at most
+    for r in counted.where("bin IS NOT NULL").select("bin", "n").collect():  # BINS + 1 rows at most
         if r["bin"] < 0:
             n = r["n"]
         else:
             df[r["bin"]] = r["n"]
     idf = np.log((1 + n) / (1 + df)) + 1
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    languages = sorted(sizes)
-    share = F.lit(0.0)
-    for lang in languages:
-        share = F.when(F.col("lang") == lang, min(1.0, sample / sizes[lang])).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30))
+    # thinned to some three samples a language first, so that no task ranks a whole language
+    share = F.least(F.lit(1.0), F.lit(3.0 * sample) / F.col("texts"))
+    sizes = counted.where("bin IS NULL").select("lang", share.alias("share"))
+    thin = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("hash", F.lit("sample")), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text", "hash")
 
     def make_rows():
         def run(batch):
             out, grams = vectors(batch["text"], idf)
-            ok = grams > 0
-            return [[x for x, y in zip(batch["lang"], ok) if y], [r.astype(np.float16).tobytes() for r in out[ok]]]
+            ok = np.nonzero(grams > 0)[0]
+            return [[batch["lang"][i] for i in ok], [batch["hash"][i] for i in ok], [out[i].astype(np.float16).tobytes() for i in ok]]
 
         return run
 
-    drawn: dict[str, list[bytes]] = {lang: [] for lang in languages}
-    for r in map_texts(chosen.select("text", "lang"), make_rows, "lang string, row binary").limit(2 * sample * max(1, len(languages))).collect():
-        drawn[r["lang"]].append(r["row"])
-    centres, of, reach = [], [], np.zeros(len(languages))
-    for i, lang in enumerate(languages):
-        if drawn[lang]:
-            own = np.array([np.frombuffer(b, np.float16) for b in sorted(drawn[lang])], np.float32)
-            found = cluster(own, centroids)
-            centres.append(found)
-            of += [i] * len(found)
-            reach[i] = REACH * np.quantile((own @ found.T).max(axis=1), 0.005)
-    return Model(languages, idf, np.concatenate(centres) if centres else np.zeros((0, BINS), np.float32), np.array(of, int), reach)
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, rejected for every row of docs(doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred vectors of BINS numbers
-
-    def make():
-        def run(batch):
-            return [batch["doc_id"], *shared.value.judge(batch["text"])]
-
-        return run
-
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, lang_pred string, score double, rejected boolean")
+    def fit_one(table: pa.Table) -> pa.Table:
+        own = np.array([np.frombuffer(b, np.float16) for b in sorted(table.column("row").to_pylist())], np.float32)
+        centres = cluster(own, centroids)
+        reach = REACH * np.quantile((own @ centres.T).max(axis=1), 0.005)
+        return pa.table({"lang": pa.array(table.column("lang").to_pylist()[:1], pa.string()), "reach": pa.array([float(reach)]), "centres": pa.array([centres.astype(np.float32).tobytes()], pa.binary())})
+
+    drawn = map_texts(thin.dropDuplicates(["lang", "hash"]), make_rows, "lang string, hash long, row binary")
+    first = drawn.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("at") <= sample)
+    learned = materialize(first.select("lang", "row").groupBy("lang").applyInArrow(fit_one, "lang string, reach double, centres binary"), "centroids")
+    fitted = learned.orderBy("lang").toLocalIterator()
+    made = False
+    while (block := [r for _, r in zip(range(BLOCK), fitted)]) or not made:
+        made = True
+        centres = [np.frombuffer(r["centres"], np.float32).reshape(-1, BINS) for r in block]
+        of = np.repeat(np.arange(len(block)), [len(c) for c in centres])
+        yield Model([r["lang"] for r in block], idf, np.concatenate(centres) if block else np.zeros((0, BINS), np.float32), of, np.array([r["reach"] for r in block]))
+
+
+def judged(docs: DataFrame, models: Iterator[Model]) -> DataFrame:
+    """docs with lang_pred_, score_ and least_: the best over all blocks."""
+    out = docs.withColumns({"lang_pred_": F.lit("und"), "score_": F.lit(-1.0), "least_": F.lit(0.0)})
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL("lang_pred_ string, score_ double, least_ double").fields])
+    for at, model in enumerate(models):
+        if at:
+            out = materialize(out, "judged")  # one block of centroids in a task
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def make(shared=shared):
+            def run(batch):
+                lang, score, least = shared.value.judge(batch["text"])
+                better = score > np.array(batch["score_"])
+                batch["lang_pred_"] = [x if y else z for x, y, z in zip(lang, better, batch["lang_pred_"])]
+                batch["least_"] = np.where(better, least, np.array(batch["least_"]))
+                batch["score_"] = np.where(better, score, np.array(batch["score_"]))
+                return [batch[f.name] for f in schema.fields]
+
+            return run
+
+        out = map_texts(out, make, schema)
+    return out
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected: fit on the learning rows, judge all."""
-    return identify(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+    rows = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("lang_pred_").alias("lang_pred"), F.col("score_").alias("score"), (F.col("score_") < F.col("least_")).alias("rejected"))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected, all columns; a null lang takes the prediction."""
-    model = fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-
-    def make():
-        def run(batch):
-            lang, _, rejected = shared.value.judge(batch["text"])
-            own = [x if x is not None else y for x, y in zip(batch["lang"], lang)]
-            keep = np.nonzero(~rejected)[0]
-            return [[(own if n == "lang" else batch[n])[i] for i in keep] for n in names]
-
-        return run
-
-    return map_texts(docs, make, docs.schema)
+    rows = judged(docs, fit(docs)).where("score_ >= least_")
+    return rows.select(*(F.coalesce("lang", "lang_pred_").alias("lang") if n == "lang" else n for n in docs.columns))
