@@ -47,3 +47,18 @@ def test_digests(spark):
     wide = {r.doc_id: r for r in bpe.encode_texts(df.where("doc_id < 5"), path).collect()}
     assert wide[0].ids == library.encode("Hello, WORLD", add_special_tokens=False).ids and wide[1].ids == [] and wide[1].decoded == ""
     assert bpe.encode_digests(df.limit(0), path).count() == 0
+
+
+def test_digests_equal_the_library(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    r = random.Random(5)
+    texts = ["-", "---", "- -", " -\n", "\u2001", "\u2003\u2009", "\u2000\u200a", "\u2005-\u2006", "\u2028\u2029", "\u200b"]
+    texts += ["".join(r.choice([*BITS, "-", "\u2003", "\u2009"]) for _ in range(r.randint(0, 14))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = bpe.encode_digests(df, path).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        ids = library.encode(texts[row.doc_id], add_special_tokens=False).ids
+        assert row.n_tokens == len(ids) and row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()

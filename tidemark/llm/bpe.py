@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from .common import TwoAges, map_texts, whole_texts
 
-#: White space as the tokenizers' regular expressions see it.
+#: White space as the tokenizers' regular expressions see it, a class body (it holds a range).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 
@@ -182,7 +182,8 @@ def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                     all_ids = own.encode(text)
                     a, b = " ".join(map(str, all_ids)).encode(), own.decode(all_ids).encode()
                 else:
-                    a, b = map(b" ".join, zip(*map(look_up, chunks(text)))) if text.strip(SPACE) else (b"", b"")
+                    found = chunks(text)
+                    a, b = map(b" ".join, zip(*map(look_up, found))) if found else (b"", b"")
                 n.append(a.count(b" ") + bool(a))
                 ids.append(hashlib.sha256(a).hexdigest())
                 decoded.append(hashlib.sha256(b).hexdigest())
