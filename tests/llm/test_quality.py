@@ -43,3 +43,13 @@ def test_verdicts_and_edges(spark):
     assert sum(got[i].kept for i in range(300)) == sum(not got[i].base_failed for i in range(300))
     assert not got[903].kept and "byte_share" in got[903].reasons and got[905].kept
     assert quality.judge(df.limit(0), VOCABULARY).count() == 0
+
+
+def test_short_texts_are_judged_too(spark):
+    r = random.Random(6)
+    words = ["the", "report", "states", "that", "rivers", "flow", "under", "stone", "bridges", "while", "children", "play", "music", "every", "evening", "near", "old", "harbour", "walls", "quietly"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(20, 200))), "en") for i in range(300)]
+    rows += [(900 + i, " ".join("".join(r.choice("qxzjkvw") for _ in range(4)) for _ in range(21)), "en") for i in range(5)]
+    got = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), VOCABULARY).collect()}
+    assert all(got[i].n_tokens < 100 and "chars_per_token" in got[i].reasons and not got[i].kept for i in range(900, 905))
+    assert all(got[i].kept != got[i].base_failed for i in range(300))

@@ -4,8 +4,10 @@ Per text, a public sentence-piece vocabulary gives characters per token, the sha
 byte-fallback tokens, and the entropy of the token distribution as a share of the
 most that so many tokens can have. For each language (the lang column, else the
 script of most letters) bands are laid over the whole corpus: quartiles widened by
-FENCE times their distance, and at least by the margins below. Texts outside their
-band are rejected, as are texts that fail the base rules.
+FENCE times their distance, and at least by the margins below. For texts under FULL
+tokens the widening of characters per token and of entropy grows as one over the root
+of their number. Texts outside their band are rejected, as are texts that fail the
+base rules.
 
 Null and empty texts: no words, all counts 0, failed. Texts are measured whole.
 Tokens are taken word by word (white space never lies within a piece). Repeated rows
@@ -30,8 +32,8 @@ WINDOW = 8
 FENCE = 3.0
 #: Least half-widths of a band around its quartiles: characters per token, byte share, relative entropy.
 MARGINS = {"chars_per_token": 0.2, "byte_share": 0.05, "entropy": 0.2}
-#: Texts with fewer tokens vary too much to be held against the bands of characters per token and of entropy.
-FEW_TOKENS = 100
+#: Tokens from which a band holds as it is; measures of fewer vary more.
+FULL = 100
 MAX_BANDS = 1000
 
 _SPACES = " \t\n\x0b\x0c\r"
@@ -133,13 +135,13 @@ def measure(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """Per band and measure the least and largest value that is accepted, from quartiles over all rows."""
+    """Per band and measure the quartiles over all rows with tokens, and how far beyond them is accepted."""
     columns = []
     for name, margin in MARGINS.items():
-        rows = F.when(F.col("n_tokens") >= (1 if name == "byte_share" else FEW_TOKENS), F.col(name))
+        rows = F.when(F.col("n_tokens") >= 1, F.col(name))
         q = F.percentile_approx(rows, [0.25, 0.75], 2000)
         spread = F.greatest(F.lit(FENCE) * (q[1] - q[0]), F.lit(margin))
-        columns += [(q[0] - spread).alias(f"{name}_low"), (q[1] + spread).alias(f"{name}_high")]
+        columns += [q[0].alias(f"{name}_low"), q[1].alias(f"{name}_high"), spread.alias(f"{name}_spread")]
     return measured.groupBy("band").agg(F.count("*").alias("band_rows"), *columns)
 
 
@@ -153,11 +155,13 @@ def judge(docs: DataFrame, vocabulary: str) -> DataFrame:
     rest = measured.join(F.broadcast(common.select("band")), "band", "left_anti").join(limits, "band")
     rows = hits.unionByName(rest)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    wider = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(FULL)) / F.col("n_tokens")))
     outside = [
-        F.when(F.col("n_tokens") >= FEW_TOKENS, F.when((F.col("chars_per_token") < F.col("chars_per_token_low")) | (F.col("chars_per_token") > F.col("chars_per_token_high")), "chars_per_token")),
-        F.when(F.col("byte_share") > F.col("byte_share_high"), "byte_share"),
-        F.when((F.col("n_tokens") >= FEW_TOKENS) & (F.col("entropy") < F.col("entropy_low")), "entropy"),
+        F.when((F.col("chars_per_token") < F.col("chars_per_token_low") - wider * F.col("chars_per_token_spread")) | (F.col("chars_per_token") > F.col("chars_per_token_high") + wider * F.col("chars_per_token_spread")), "chars_per_token"),
+        F.when(F.col("byte_share") > F.col("byte_share_high") + F.col("byte_share_spread"), "byte_share"),
+        F.when(F.col("entropy") < F.col("entropy_low") - wider * F.col("entropy_spread"), "entropy"),
     ]
+    outside = [F.when(F.col("n_tokens") >= 1, x) for x in outside]
     reasons = F.array_compact(F.array(*outside))
     out = rows.withColumn("base_failed", failed).withColumn("reasons", reasons).withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons", "n_tokens", "chars_per_token", "byte_share", "entropy")
