@@ -53,3 +53,10 @@ def test_short_texts_are_judged_too(spark):
     got = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), VOCABULARY).collect()}
     assert all(got[i].n_tokens < 100 and "chars_per_token" in got[i].reasons and not got[i].kept for i in range(900, 905))
     assert all(got[i].kept != got[i].base_failed for i in range(300))
+
+
+def test_script_counts_all_letters():
+    assert quality.script("a слово " * 300) == "cyrillic"  # even words are Latin, as are half of the first letters
+    assert quality.script(" ".join(["word", "слово"] * 300)) == "cyrillic"
+    assert quality.script('"слово" (слово) a') == "cyrillic"
+    assert quality.script("") == quality.script("12 %") == "none"

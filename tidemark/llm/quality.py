@@ -35,6 +35,8 @@ MARGINS = {"chars_per_token": 0.2, "byte_share": 0.05, "entropy": 0.2}
 #: Tokens from which a band holds as it is; measures of fewer vary more.
 FULL = 100
 MAX_BANDS = 1000
+#: Code points looked up at a time, which bounds memory for very long texts.
+SPAN = 1 << 20
 
 _SPACES = " \t\n\x0b\x0c\r"
 _FOLD = str.maketrans("\t\n\x0b\x0c\r", "     ")
@@ -107,10 +109,22 @@ def fertility(path: str) -> Fertility:
     return Fertility(path)
 
 
-def script(words: list[str]) -> str:
-    """The script of most letters among the first letters of up to 200 evenly spread words."""
-    names = Counter(unicodedata.name(w[0], "none").split(" ")[0].lower() for w in words[:: len(words) // 200 + 1] if w[0].isalpha())
-    return min(names, key=lambda k: (-names[k], k)) if names else "none"
+@functools.cache
+def scripts() -> tuple[np.ndarray, list[str]]:
+    """Of each code point the number of its script if a letter, else 0; the scripts' names."""
+    names: dict[str, int] = {"none": 0}
+    of = np.array([names.setdefault(unicodedata.name(chr(c), "none").split(" ")[0].lower(), len(names)) if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint16)
+    return of, list(names)
+
+
+def script(text: str) -> str:
+    """The script of most letters of the whole text."""
+    of, names = scripts()
+    total = np.zeros(len(names), np.int64)
+    for at in range(0, len(text), SPAN):
+        total += np.bincount(of[np.frombuffer(text[at : at + SPAN].encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=len(names))
+    total[0] = 0
+    return min((names[i] for i in np.nonzero(total == total.max())[0])) if total.any() else "none"
 
 
 def measure(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -125,7 +139,7 @@ def measure(docs: DataFrame, vocabulary: str) -> DataFrame:
             for doc_id, text, own in zip(batch["doc_id"], batch["text"], batch["lang"]):
                 words, chars, symbols, dup, repeat = base_counts(text)
                 n, n_bytes, entropy = tokens(words)
-                out.append((doc_id, len(words), chars, symbols, dup, repeat, own if own is not None else f"script:{script(words)}", n, chars / n if n else 0.0, n_bytes / n if n else 0.0, entropy))
+                out.append((doc_id, len(words), chars, symbols, dup, repeat, own if own is not None else f"script:{script(text)}", n, chars / n if n else 0.0, n_bytes / n if n else 0.0, entropy))
             return list(zip(*out))
 
         return run
