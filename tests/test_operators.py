@@ -224,3 +224,15 @@ def test_scalars(spark):
     assert one(spark, text.optional_int(F.lit("x"))) is None and one(spark, text.optional_double(F.lit("1.5"))) == 1.5
     assert one(spark, scores.label(F.lit(0.45), 0.75, 0.45)) == "medium"
     assert [one(spark, files.upload_errors(F.lit(n), F.lit(s))) for n, s in [("a.md", 5), ("a.exe", 5), ("", 5), ("a.txt", 1 << 30)]] == [None, "extension", "no name", "size"]
+
+
+def test_nearest_ties_go_to_the_smaller_id(spark):
+    ids = [(i * 37) % 101 for i in range(101)]  # copies of one vector, far more than k, in no order
+    rows = [(i, [0.6, 0.8, 0.1]) for i in ids] + [(500 + i, [0.5, 0.8, 0.1]) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, 0, [0.5, 0.8, 0.1]), (2, 0, [0.6, 0.9, 0.1])], "query_id long, ix int, embedding array<double>")
+    for parts in (1, 4):
+        got = {}
+        for x in vector.nearest(df.coalesce(1) if parts == 1 else df.repartition(parts), asked, 6).orderBy("query_id", "rank").collect():
+            got.setdefault(x.query_id, []).append(x.id)
+        assert got == {1: [500, 501, 502, 0, 1, 2], 2: [0, 1, 2, 3, 4, 5]}
