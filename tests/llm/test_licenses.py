@@ -52,3 +52,74 @@ def test_expressions(text, names, verdict):
 def test_tags_add_labels():
     row = licenses.scan("x\n// SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\ny\n# spdx-license-identifier: (MIT AND Zlib)\n")
     assert row[4] == "" and row[5] == "gpl,mit,zlib" and row[8] is False
+
+
+@pytest.mark.parametrize(
+    ("text", "expression"),
+    [
+        ("# SPDX-License-Identifier: see LICENSE file", ""),
+        ("<!-- SPDX-License-Identifier: MIT -->", "MIT"),
+        ("/* SPDX-License-Identifier: MIT*/", "MIT"),
+        ("SPDX-License-Identifier: Apache-2.0 OR MIT. Then text continues here", "Apache-2.0 OR MIT"),
+        ("// SPDX-License-Identifier: (MIT OR\n//   Apache-2.0) AND ISC\ncode", "( MIT OR Apache-2.0 ) AND ISC"),
+        (" * SPDX-License-Identifier: GPL-2.0-only WITH\r\n * Linux-syscall-note\n */", "GPL-2.0-only WITH Linux-syscall-note"),
+        ("SPDX-License-Identifier: MIT\nISC AND Zlib", "MIT"),
+        ("SPDX-License-Identifier: (MIT OR\n\nISC)", "( MIT OR"),
+        ("SPDX-License-Identifier: LicenseRef-Own.1 AND MPL-2.0+", "LicenseRef-Own.1 AND MPL-2.0+"),
+        ("SPDX-License-Identifier: Unheard-1.0 OR MIT", ""),
+        ("spdx license identifier: MIT", ""),
+        ("SPDX-License-Identifier MIT", ""),
+        ("SPDX-License-Identifier: MIT) or (ISC", "MIT"),
+        ("é SPDX-License-Identifier : mit", "mit"),
+    ],
+)
+def test_expressions_end_where_they_should(text, expression):
+    assert licenses.scan(text)[7] == ([expression] if expression else [])
+
+
+def brute_labels(text):
+    """Labels of one-line tags and of notices, by plain loops and recursive descent."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    labels = set()
+    for i in range(len(words)):
+        labels |= {label for p, label in licenses.BASE.items() if words[i : i + len(p.split())] == p.split()}
+        longest = max((p for p in licenses.NOTICES if words[i : i + len(p.split())] == p.split()), key=lambda p: len(p.split()), default=None)
+        labels |= {licenses.NOTICES[longest]} if longest else set()
+    for rest in re.findall(r"spdx-license-identifier: (?=([^\n]*))", low):
+        tokens = re.findall(r"\(|\)|[a-z0-9.+-]+|.", rest)
+        tokens = [t for t in tokens if t != " "]
+        names, at = [], 0
+
+        def operand(at):
+            if at < len(tokens) and tokens[at] == "(":
+                at, ok = expression(at + 1)
+                return (at + 1, True) if ok and at < len(tokens) and tokens[at] == ")" else (at, False)
+            if at < len(tokens) and licenses.known(tokens[at]):
+                names.append(tokens[at])
+                if at + 1 < len(tokens) and tokens[at + 1] == "with":
+                    return (at + 3, True) if at + 2 < len(tokens) and tokens[at + 2] in licenses.EXCEPTIONS else (at + 2, False)
+                return at + 1, True
+            return at, False
+
+        def expression(at):
+            at, ok = operand(at)
+            while ok and at < len(tokens) and tokens[at] in ("and", "or"):
+                at, ok = operand(at + 1)
+            return at, ok
+
+        expression(at)
+        labels |= {licenses.family(n.rstrip("+")) for n in names}
+    return ",".join(sorted(labels))
+
+
+def test_labels_equal_brute_force(spark):
+    r = random.Random(7)
+    bits = ["MIT", "license", "Apache-2.0", "GPL-2.0-only", "(", ")", "OR", "and", "WITH", "LLVM-exception", "ISC", "Foo-1.0", "see", "\n", "SPDX-License-Identifier:", "\nSPDX-License-Identifier:", "cc by", "nc 4.0", "all rights reserved", "LicenseRef-x", "zlib+", "é"]
+    texts = [" ".join(r.choice(bits) for _ in range(r.randint(0, 25))) for _ in range(1500)]
+    texts = [re.sub(r"(?i)(\(|or|and|with)(\s*)\n", r"\1 Foo-1.0\n", t) for t in texts]  # line ends within open expressions have their own test
+    texts = [t for t in texts if not any(x.count("(") > x.count(")") for x in t.lower().split("spdx-license-identifier:"))]
+    assert len(texts) > 500
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in licenses.scan_licenses(df).collect():
+        assert row.labels == brute_labels(texts[row.doc_id]), texts[row.doc_id]
