@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 
 import public_tokenizers
 import pytest
@@ -62,3 +63,19 @@ def test_digests_equal_the_library(spark):
         ids = library.encode(texts[row.doc_id], add_special_tokens=False).ids
         assert row.n_tokens == len(ids) and row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_code_point_and_random_neighbours_equal_the_library(name):
+    path = public_tokenizers.path(name)
+    library, own = Tokenizer.from_file(path), bpe.Codec(path)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"xa{chr(c)}b1" for c in points[i : i + 400]) for i in range(0, len(points), 400)]
+    r = random.Random(3)
+    marks = [c for c in points if unicodedata.combining(chr(c)) or unicodedata.category(chr(c))[0] == "M" or unicodedata.decomposition(chr(c))]
+    pools = [points, range(0x20, 0x3000), marks, marks]
+    pairs = ["".join(map(chr, r.choices(pools[i % 4], k=r.randint(2, 4)))) for i in range(100_000)]
+    texts += [p for p in pairs if not any(0xD800 <= ord(c) < 0xE000 for c in p)]
+    for at in range(0, len(texts), 2000):
+        for text, want in zip(texts[at : at + 2000], library.encode_batch(texts[at : at + 2000], add_special_tokens=False)):
+            assert own.encode(text) == want.ids, [hex(ord(c)) for c in text][:8]

@@ -6,10 +6,10 @@ entry whose symbols have meanwhile changed is stale and skipped. Decoding
 concatenates the vocabulary's strings.
 
 Null texts count as empty: no tokens. Long texts are encoded whole; a bounded
-memo of white-space-delimited chunks spares repeated words the merging. Letters
-and digits are those of the installed regex module's Unicode version; code points
-that another library's version does not know yet are classed as it would class
-them only after its update.
+memo of white-space-delimited chunks spares repeated words the merging. Letters,
+numbers, case pairs and the normal form are those of the library's Unicode version:
+the tables below hold what the installed Python modules see otherwise. Other columns
+of the table are never read, so their names may clash with the result's.
 """
 
 from __future__ import annotations
@@ -27,7 +27,40 @@ from pyspark.sql import DataFrame
 from .common import TwoAges, map_texts, whole_texts
 
 #: White space as the tokenizers' regular expressions see it, a class body (it holds a range).
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters and numbers of newer Unicode versions, which are neither to the library (class bodies).
+LATER_LETTERS = (
+    "\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011df1"
+    "\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2\U00016ff3\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    "\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24"
+    "\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4\U0001e6e5"
+    "\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
+    "\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+LATER_NUMBERS = "\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
+#: Marks and parts of later Unicode versions that the library's normal form neither reorders nor joins (a class body).
+INERT = (
+    "\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c"
+    "\U00010d24-\U00010d27\U00010eab\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b"
+    "\U0001145e\U00011839\U0001183a\U00011930\U0001193d\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42"
+    "\U00011d44\U00011d45\U00011d97\U00011f41\U00011f42\U00016ff0\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae"
+    "\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef"
+)
+#: Fixed values: (first, last, first of the lower-case forms, distance between capitals) of case pairs that the library has and Python 3.13 has not.
+LATER_CASES = [
+    (0x1C89, 0x1C89, 0x1C8A, 1),
+    (0xA7CB, 0xA7CB, 0x0264, 1),
+    (0xA7CC, 0xA7CE, 0xA7CD, 2),
+    (0xA7D2, 0xA7D4, 0xA7D3, 2),
+    (0xA7DA, 0xA7DA, 0xA7DB, 1),
+    (0xA7DC, 0xA7DC, 0x019B, 1),
+    (0x10D50, 0x10D65, 0x10D70, 1),
+    (0x16EA0, 0x16EB8, 0x16EBB, 1),
+]
+_LOWER = {c: low + c - first for first, last, low, step in LATER_CASES for c in range(first, last + 1, step)}
+_INERT = re.compile(f"([{INERT}])")
+_RARE = re.compile(f"[{INERT}{''.join(map(chr, _LOWER))}]")
 
 
 def byte_symbols() -> list[str]:
@@ -56,11 +89,13 @@ class Codec:
         stand_in = byte_symbols()
         self.inner = [self.vocab[c] for c in stand_in]
         self.final = [self.vocab[c + self.suffix] for c in stand_in]
+        letter, number = rf"[\p{{L}}--[{LATER_LETTERS}]]", rf"[\p{{N}}--[{LATER_NUMBERS}]]"
+        other = rf"[[^{SPACE}\p{{L}}\p{{N}}]||[{LATER_LETTERS}{LATER_NUMBERS}]]"
         if self.lower:
-            self.pre = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+")
+            self.pre = regex.compile(f"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|{other}+")
             self.chunks = re.compile(f"[^{SPACE}]+")
         else:
-            self.pre = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+|[" + SPACE + r"]+(?![^" + SPACE + r"])|[" + SPACE + "]+")
+            self.pre = regex.compile(f"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
             self.chunks = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in self.specials) + ")")
         self.words: dict[str, list[int]] = TwoAges(self.merge, memo)
@@ -101,8 +136,12 @@ class Codec:
             return chunk
         if chunk.isascii():
             return chunk.lower()
+        if _RARE.search(chunk):
+            parts = [p if i % 2 else unicodedata.normalize("NFC", p) for i, p in enumerate(_INERT.split(chunk))]
+            chunk = "".join(parts).translate(_LOWER)
+        else:
+            chunk = unicodedata.normalize("NFC", chunk)
         # lower-case character by character: no rule looks at a character's neighbours
-        chunk = unicodedata.normalize("NFC", chunk)
         return "".join(map(str.lower, chunk)) if "Σ" in chunk else chunk.lower()
 
     def chunk_ids(self, chunk: str) -> list[int]:
