@@ -1,23 +1,24 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
-Tokens are runs of letters, lower-cased. The chain has the states clean and toxic, a
-weight per stem of a learned lexicon (a word, or a beginning of words, of which a
-token takes the longest it has), one for all other words, and transitions. Its token
-labels come from document labels: in a toxic document the stems are marked that are
-RATIO times as frequent in toxic documents as in clean ones. Near copies of a toxic
-document count once, however many they are.
-
-Forward-backward marginals are exact for whole texts: stretches of other words are
-powers of one 2x2 matrix, so only lexicon words cost a step. A document's score
-weighs the sum of its marginals, the toxic words to expect, against its length, as
-stems also occur by chance; the weights are fitted on the learning rows. Offending
-words come with their offsets.
-
-Learning uses labelled rows whose crc32 of the id mod 4 is not 2, about SAMPLE of
-them, chosen by a hash of the id; lang, source and doc_id are no inputs. Null and
-empty texts score as texts without words. Without toxic labels every score is
-near 0. Contradicting labels of one id count as toxic if any does. Repeated rows are
-scored each; an empty table gives an empty result.
+Tokens are runs of letters, lower-cased. The chain has the states clean and toxic. Words
+of a learned lexicon of stems (a word, or a beginning of words, of which a token takes the
+longest it has) carry features: the stem, the shape of the word, and its context, which is
+the distances to the lexicon words before and after it and the room between these or the
+text's ends. All other words share one weight. Token labels come from document labels: in
+a toxic document the stems are marked that are RATIO times as frequent in toxic documents
+as in clean ones. Near copies of a toxic document count once there, however many they are.
+
+Fit and marginals are exact over whole texts: stretches of other words are powers of one
+2x2 matrix, so only lexicon words cost a step. A document's score is the noisy-or of its
+marginals, the chance that any word is toxic, brought to the labels by a rising logistic
+curve. Spans are the words with a marginal of MARK or more, neighbours joined.
+
+Learning uses labelled rows whose crc32 of the id mod 4 is not 2: about SAMPLE of them, at
+most twice as many, those with the smallest hashes of the id, so that the model does not
+depend on partitions; lang, source and doc_id are no inputs. Null and empty texts score as
+texts without lexicon words. Without toxic labels every score is near 0. Contradicting
+labels of one id count as toxic if any does. Repeated rows are scored each; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,77 +33,177 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import TwoAges, held_out, map_texts, materialize, whole_texts
+from .components import labels_of
 
 #: Learning rows, about; at most twice as many are read.
 SAMPLE = 20_000
-#: Sequences of each kind, and the words of each, that the field is fitted on, at most.
-SEQUENCES, WINDOW = 1000, 48
 #: Toxic documents that a stem needs, near copies aside; how much more frequent it must be there; a longer stem
-#: must be so much purer than the one it begins with; letters of stems; the most stems.
-VOUCHERS, RATIO, PURER, STEMS, MAX_LEXICON = 6, 8.0, 2.0, range(3, 9), 5000
+#: must be so much purer than the one it begins with; letters of stems.
+VOUCHERS, RATIO, PURER, STEMS = 6, 8.0, 2.0, range(3, 9)
 #: Agreeing minima of 16 that make two toxic documents near copies.
 NEAR = 5
-THRESHOLD = 0.3
+#: Score of a toxic document, marginal of a toxic word.
+THRESHOLD, MARK = 0.3, 0.5
+#: Doublings that distances are told apart by.
+STEPS = 16
+#: Features besides the stems: shapes, distances before and after, the room between.
+CONTEXT = 3 + 3 * STEPS
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
+def doublings(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.frexp(n.astype(float))[1], STEPS - 1)
+
+
+def shape(word: str) -> int:
+    return 2 if word.isupper() and len(word) > 1 else int(word[:1].isupper())
+
+
+def context(places: np.ndarray, shapes: np.ndarray, length: int) -> np.ndarray:
+    """Features of the lexicon words at these places of a text: (words, 4) numbers below CONTEXT."""
+    gaps = np.diff(places)
+    before, after = np.concatenate([[0], gaps]), np.concatenate([gaps, [0]])  # 0: none
+    room = np.concatenate([places[1:], [length]]) - np.concatenate([[-1], places[:-1]])
+    return np.stack([shapes, 3 + doublings(before), 3 + STEPS + doublings(after), 3 + 2 * STEPS + doublings(room)], axis=1)
+
+
+def powers(matrix: np.ndarray, exponents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(normalised powers of a positive 2x2 matrix, logarithms of what they were divided by)."""
+    out, logs = np.tile(np.eye(2), (len(exponents), 1, 1)), np.zeros(len(exponents))
+    base, log = matrix / matrix.sum(), np.log(matrix.sum())
+    left = exponents.copy()
+    while left.any():
+        odd = left % 2 == 1
+        out[odd] = out[odd] @ base
+        total = out.sum(axis=(1, 2))
+        out /= total[:, None, None]
+        logs += np.log(total) + np.where(odd, log, 0.0)
+        base, log, left = base @ base, 2 * log, left // 2
+        log, base = log + np.log(base.sum()), base / base.sum()
+    return out, logs
+
+
+class Sequences:
+    """Learning texts that have lexicon words, longest first, as arrays over all their lexicon words."""
+
+    def __init__(self, rows: list[tuple[int, list[int], list[int], list[int], int]]):
+        """(toxic, stems, places, shapes, words) of each text."""
+        rows = sorted(rows, key=lambda r: (-len(r[1]), r))
+        self.toxic = np.array([r[0] for r in rows])
+        self.many = np.array([len(r[1]) for r in rows])
+        self.first = np.concatenate([[0], np.cumsum(self.many)[:-1]]).astype(int)
+        self.stems = np.concatenate([r[1] for r in rows])
+        self.features = np.concatenate([context(np.array(r[2]), np.array(r[3]), r[4]) for r in rows])
+        self.marks = np.repeat(self.toxic, self.many)
+        places, lengths = np.concatenate([r[2] for r in rows]), np.array([r[4] for r in rows])
+        starts = np.zeros(len(places), bool)
+        starts[self.first] = True
+        self.gap = places - np.where(starts, 0, np.concatenate([[-1], places[:-1]]) + 1)  # other words before each
+        self.tail = lengths - places[self.first + self.many - 1] - 1
+        self.exponents, self.of = np.unique(np.concatenate([self.gap, self.gap[starts] - 1, self.tail]).clip(0), return_inverse=True)
+        close = np.concatenate([[False], (self.marks[:-1] == 1) & (np.diff(places) == 1)]) & ~starts & (self.marks == 1)
+        last = np.zeros(len(places), bool)
+        last[self.first + self.many - 1] = self.tail == 0
+        n = self.marks.sum()
+        leading = (starts & (self.gap == 0) & (self.marks == 1)).sum()
+        #: Uses of start, clean to toxic, toxic to clean, toxic to toxic and of other words in the toxic state.
+        self.used = np.array([leading, n - close.sum() - leading, n - close.sum() - (last & (self.marks == 1)).sum(), close.sum(), 0], float)
+
+
+def chain(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of (start, steps, other words) of the five weights of the chain; what is clean weighs 0."""
+    return np.exp([0.0, theta[0]]), np.exp([[0.0, theta[1]], [theta[2], theta[3]]]), np.exp([0.0, theta[4]])
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 2x2 matrices, (2, 2, n) each."""
+    return a[:, 0, None] * b[None, 0] + a[:, 1, None] * b[None, 1]
+
+
+def scan(matrices: np.ndarray, room: np.ndarray, ahead: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(normalised products, logarithms of what they were divided by) of each of n matrices (2, 2, n) with the
+    `room` ones before it (ahead) or after it, by doubling."""
+    out, logs = matrices.copy(), np.zeros(matrices.shape[2])
+    shift, at = 1, np.arange(len(room))
+    while (at := at[room[at] >= shift]).size:
+        other = at - shift if ahead else at + shift
+        both = product(out[..., other], out[..., at]) if ahead else product(out[..., at], out[..., other])
+        total = both.sum(axis=(0, 1))
+        log = logs[other] + logs[at] + np.log(total)
+        out[..., at], logs[at] = both / total, log
+        shift *= 2
+    return out, logs
+
+
+def forward_backward(s: Sequences, theta: np.ndarray, node: np.ndarray, backward: bool = True) -> tuple[float, np.ndarray | None]:
+    """(sum of log partition functions, P(toxic) of every lexicon word) for the words' weights node."""
+    start, edge, other = chain(theta)
+    power, logs = powers(edge * other, s.exponents)
+    n = len(s.gap)
+    gap, lead, tail = s.of[:n], s.of[n : n + len(s.many)], s.of[n + len(s.many) :]
+    at_once = s.gap[s.first] == 0
+    steps = np.moveaxis(power @ edge, 0, -1)[..., gap]
+    steps[..., s.first] = 0.0
+    steps[0][:, s.first] = np.where(at_once, start[:, None], ((start * other) @ power @ edge).T[:, lead])
+    steps[:, 1] *= np.exp(np.minimum(node, 30))
+    scale = steps.sum(axis=(0, 1))
+    steps /= scale
+    before = np.arange(n) - np.repeat(s.first, s.many)
+    ends = s.first + s.many - 1
+    closing = power.sum(axis=2).T[:, tail]
+    ahead, held = scan(steps, before, True)
+    inner = np.ones(n, bool)
+    inner[s.first] = False
+    total = np.log(scale).sum() + logs[gap[inner]].sum() + logs[lead[~at_once]].sum() + held[ends].sum() + logs[tail].sum()
+    total += np.log((ahead[0][:, ends] * closing).sum(axis=0)).sum()
+    if not backward:
+        return total, None
+    after, _ = scan(steps, np.repeat(s.many, s.many) - 1 - before, False)
+    behind = np.empty((2, n))
+    at = np.setdiff1d(np.arange(n), ends)
+    behind[:, at] = (after[..., at + 1] * np.repeat(closing, s.many, axis=1)[None, :, at]).sum(axis=1)
+    behind[:, ends] = closing
+    p = ahead[0] * behind
+    return total, p[1] / p.sum(axis=0)
+
+
 class Field:
-    """Weights of the chain. Word 0 is any word outside the lexicon; the clean state's word weights are 0."""
+    """Weights of the chain over a lexicon of stems."""
 
     def __init__(self, lexicon: list[str]):
         """Stems; a whole word stands with a closing full stop."""
-        self.lexicon = {w: i + 1 for i, w in enumerate(lexicon)}
+        self.lexicon = {w: i for i, w in enumerate(lexicon)}
         self.lengths = sorted({len(w) for w in lexicon if w[-1] != "."}, reverse=True)
-        self.word = np.zeros(len(lexicon) + 1)
-        self.step = np.zeros((2, 2))
-        self.start = np.zeros(2)
-        self.weights = np.array([-3.0, 0, 0, 0, 0])
-
-    def fit(self, rows: np.ndarray, marks: np.ndarray, rounds: int = 200, rate: float = 0.2, decay: float = 1e-3) -> None:
-        """Maximum likelihood by Adam; rows and marks are (sequences, time), -1 pads."""
-        s, t = rows.shape
-        live = rows >= 0
-        at = np.where(live, rows, 0)
-        lengths = live.sum(axis=1)
-        seen_word = np.bincount(at[live & (marks == 1)], minlength=len(self.word))
-        seen_step = np.array([[(live[:, 1:] & (marks[:, :-1] == a) & (marks[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)])
-        seen_start = np.bincount(marks[:, 0], minlength=2)
-        theta = np.zeros(len(self.word) + 6)
+        self.chain = np.zeros(5)
+        self.word = np.zeros(len(lexicon))
+        self.near = np.zeros(CONTEXT)
+        self.curve = np.array([-3.0, 0.0])
+
+    def fit(self, s: Sequences, rounds: int = 60, rate: float = 0.3, decay: float = 1.0) -> None:
+        """Maximum likelihood with a Gaussian prior by Adam; the chain's five weights by differences."""
+        k = len(self.word)
+        theta = np.concatenate([[-2.0, -2.0, 0.0, 0.0, -4.0], np.zeros(k + CONTEXT)])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
+        small = 1e-4
         for n in range(1, rounds + 1):
-            self.word, self.step, self.start = theta[:-6], theta[-6:-2].reshape(2, 2), theta[-2:]
-            node = np.exp(np.stack([np.zeros_like(at, float), self.word[at]], axis=2))
-            edge = np.exp(self.step)
-            forward, backward = np.zeros((s, t, 2)), np.ones((s, t, 2))
-            forward[:, 0] = node[:, 0] * np.exp(self.start)
-            forward[:, 0] /= forward[:, 0].sum(axis=1, keepdims=True)
-            for i in range(1, t):
-                x = (forward[:, i - 1] @ edge) * node[:, i]
-                forward[:, i] = np.where(live[:, i, None], x / x.sum(axis=1, keepdims=True), forward[:, i - 1])
-            for i in range(t - 2, -1, -1):
-                x = (node[:, i + 1] * backward[:, i + 1]) @ edge.T
-                backward[:, i] = np.where(live[:, i + 1, None], x / x.sum(axis=1, keepdims=True), 1.0)
-            p = forward * backward
-            p /= p.sum(axis=2, keepdims=True)
-            pair = forward[:, :-1, :, None] * edge * (node * backward)[:, 1:, None, :]
-            pair /= pair.sum(axis=(2, 3), keepdims=True)
-            gradient = np.concatenate(
-                [
-                    seen_word - np.bincount(at[live], weights=p[..., 1][live], minlength=len(self.word)),
-                    (seen_step - pair[live[:, 1:]].sum(axis=0)).ravel(),
-                    seen_start - p[:, 0].sum(axis=0),
-                ]
-            ) / max(1, lengths.sum()) * t - decay * theta
+            node = theta[5 : 5 + k][s.stems] + theta[5 + k :][s.features].sum(axis=1)
+            total, p = forward_backward(s, theta[:5], node)
+            if n % 5 == 1:  # five weights behind all the others move slowly
+                slope = [(forward_backward(s, theta[:5] + small * np.eye(5)[i], node, False)[0] - total) / small for i in range(5)]
+            left = s.marks - p
+            near = np.bincount(s.features.ravel(), weights=np.repeat(left, s.features.shape[1]), minlength=CONTEXT)
+            gradient = np.concatenate([s.used - slope, np.bincount(s.stems, weights=left, minlength=k), near]) - decay * theta
+            gradient /= len(s.stems)
             m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
             theta = theta + rate * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.99**n)) + 1e-8)
-        self.word, self.step, self.start = theta[:-6], theta[-6:-2].reshape(2, 2), theta[-2:]
+        self.chain, self.word, self.near = theta[:5], theta[5 : 5 + k], theta[5 + k :]
 
     @functools.cached_property
     def _gap(self):
         """Normalised transfer matrix over g other words, memoised; long gaps by squaring."""
-        one = np.exp(self.step) * np.exp([0.0, self.word[0]])
-        one = one / one.sum()
+        _, edge, other = chain(self.chain)
+        one = edge * other / (edge * other).sum()
 
         @functools.lru_cache(100_000)
         def power(g: int) -> np.ndarray:
@@ -119,73 +220,91 @@ class Field:
         return TwoAges(self.stem)
 
     def stem(self, word: str) -> int:
-        """The number of the whole word, or of its longest stem; 0 without one."""
+        """The number of the whole word, or of its longest stem; -1 without one."""
         own = self.lexicon.get(word + ".")
-        return own or next((i for n in self.lengths if (i := self.lexicon.get(word[:n], 0))), 0)
+        return own if own is not None else next((i for n in self.lengths if (i := self.lexicon.get(word[:n], -1)) >= 0), -1)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("_gap", "_ids")}
 
-    def marginals(self, ids: list[int], places: list[int], length: int) -> np.ndarray:
-        """P(toxic) at the lexicon words: ids[i] stands at token places[i] of a text of `length` tokens."""
-        power, edge, n = self._gap, np.exp(self.step), len(ids)
-        node = np.exp(np.stack([np.zeros(n), self.word[ids]], axis=1))
-        other = np.exp([0.0, self.word[0]])
+    def found(self, text: str) -> tuple[list[int], list[int], list[int], list[tuple[int, int]], int]:
+        """(stems, places, shapes, spans of characters) of the lexicon words, and the number of words."""
+        words = _WORDS.findall(text.lower())
+        if not self.lexicon or max(map(self._ids.__getitem__, words), default=-1) < 0:
+            return [], [], [], [], len(words)
+        stems, places, shapes, spans, length = [], [], [], [], 0
+        for m in _WORDS.finditer(text):
+            own = self._ids[m[0].lower()]
+            if own >= 0:
+                stems.append(own)
+                places.append(length)
+                shapes.append(shape(m[0]))
+                spans.append(m.span())
+            length += 1
+        return stems, places, shapes, spans, length
+
+    def nodes(self, stems: list[int], places: list[int], shapes: list[int], length: int) -> np.ndarray:
+        return self.word[stems] + self.near[context(np.array(places), np.array(shapes), length)].sum(axis=1)
+
+    def marginals(self, nodes: np.ndarray, places: list[int], length: int) -> np.ndarray:
+        """P(toxic) at the lexicon words, of weights nodes, at these places of a text of `length` words."""
+        start, edge, other = chain(self.chain)
+        power, n = self._gap, len(nodes)
+        weight = np.exp(np.stack([np.zeros(n), np.minimum(nodes, 30)], axis=1))
         forward, backward = np.zeros((n, 2)), np.ones((n, 2))
         # the state before a lexicon word: the start, or what the gap before it leaves
-        x = np.exp(self.start) if places[0] == 0 else ((np.exp(self.start) * other) @ power(places[0] - 1)) @ edge
+        x = start if places[0] == 0 else ((start * other) @ power(places[0] - 1)) @ edge
         for i in range(n):
             if i:
                 x = (forward[i - 1] @ power(places[i] - places[i - 1] - 1)) @ edge
-            x = x * node[i]
+            x = x * weight[i]
             forward[i] = x / x.sum()
         backward[n - 1] = power(length - places[n - 1] - 1) @ np.ones(2)
         for i in range(n - 2, -1, -1):
-            x = power(places[i + 1] - places[i] - 1) @ (edge @ (node[i + 1] * backward[i + 1]))
+            x = power(places[i + 1] - places[i] - 1) @ (edge @ (weight[i + 1] * backward[i + 1]))
             backward[i] = x / x.sum()
         p = forward * backward
         return p[:, 1] / p.sum(axis=1)
 
-    def tag(self, text: str) -> tuple[float, int, list[tuple[int, int, float]]]:
-        """(toxic words to expect, words, (start, end, marginal) of each lexicon word)."""
-        words = _WORDS.findall(text.lower())
-        if not self.lexicon or not any(map(self._ids.__getitem__, words)):
-            return 0.0, len(words), []
-        ids, places, spans, length = [], [], [], 0
-        for m in _WORDS.finditer(text):
-            own = self._ids[m[0].lower()]
-            if own:
-                ids.append(own)
-                places.append(length)
-                spans.append(m.span())
-            length += 1
-        if not ids:
-            return 0.0, length, []
-        p = self.marginals(ids, places, length)
-        return float(p.sum()), length, [(a, b, float(x)) for (a, b), x in zip(spans, p)]
-
-    def score(self, expected: float, length: int) -> float:
-        z = float(evidence(np.array([expected]), np.array([length]))[0] @ self.weights)
+    def score(self, p: np.ndarray) -> float:
+        z = float(self.curve @ [1.0, either(p)])
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-
-def evidence(expected: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """What a document's score weighs: toxic words and all words, as rates of rare events have it, and their share."""
-    share = np.minimum(1, 20 * expected / np.maximum(length, 1))
-    return np.stack([np.ones(len(expected)), np.minimum(expected, 50), np.minimum(length / 100, 50), np.log1p(expected), share], axis=1)
+    def tag(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
+        """(score, (start, end, largest marginal) of each toxic span) of one whole text."""
+        stems, places, shapes, spans, length = self.found(text)
+        if not stems:
+            return self.score(np.zeros(0)), []
+        p = self.marginals(self.nodes(stems, places, shapes, length), places, length)
+        out: list[tuple[int, int, float]] = []
+        before = -2
+        for at, (a, b), x in zip(places, spans, p.tolist()):
+            if x >= MARK:
+                if at == before + 1:
+                    out[-1] = (out[-1][0], b, max(out[-1][2], x))
+                else:
+                    out.append((a, b, x))
+                before = at
+        return self.score(p), out
+
+
+def either(p: np.ndarray) -> float:
+    """The noisy-or of the marginals, that any of the words is toxic, as the negative logarithm of the chance of none."""
+    return min(30.0, -float(np.log1p(-np.minimum(p, 1 - 1e-9)).sum()))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.1) -> np.ndarray:
-    """Weights by damped Newton steps; the first column is the constant."""
-    w = np.zeros(x.shape[1])
-    keep = np.diag([1e-6, *[decay] * (x.shape[1] - 1)])
+    """Constant and rising slope by damped Newton steps."""
+    x = np.stack([np.ones(len(x)), x], axis=1)
+    w = np.zeros(2)
+    keep = np.diag([1e-6, decay])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (p - y) + keep @ w)
         w -= step * min(1, 5 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:
             break
-    return w
+    return w if w[1] >= 0 else np.array([np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0])
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -194,12 +313,12 @@ def learning_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     share = min(1.0, sample / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("labels")), F.lit(1 << 30)) < share * (1 << 30))
-    kept: dict[int, int] = {}
-    for r in drawn.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).limit(2 * sample).collect():
-        kept[r[0]] = max(kept.get(r[0], 0), int(r[1] > 0))
-    ids = spark.createDataFrame(list(kept.items()), "_id long, toxic int")
-    # at most 2 * sample rows of two numbers
-    return materialize(whole_texts(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "toxic"), "learning")
+    one = drawn.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    first = one.orderBy(F.xxhash64("_id", F.lit("labels")), "_id").limit(2 * sample).collect()
+    ids = spark.createDataFrame([tuple(r) for r in first], "_id long, toxic int")
+    # at most 2 * sample rows of two numbers; of rows that repeat an id one text is learned, so that no id crowds out others
+    texts = whole_texts(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("_id", "toxic").agg(F.min("text").alias("text"))
+    return materialize(texts.select("text", "toxic"), "learning")
 
 
 def clusters(rows: DataFrame) -> dict[int, int]:
@@ -220,22 +339,26 @@ def clusters(rows: DataFrame) -> dict[int, int]:
 
         return run
 
-    found = sorted((r["key"], r["minima"]) for r in map_texts(rows.select("text", F.xxhash64("text").alias("key")), make, "key long, minima array<long>").collect())
-    up = {key: key for key, _ in found}
-
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        return x
-
-    seen: dict[tuple[int, int], tuple[int, list[int]]] = {}
-    for key, minima in found:
-        for place in enumerate(minima):
-            other, its = seen.setdefault(place, (key, minima))
-            if other != key and sum(x == y for x, y in zip(minima, its)) >= NEAR:
-                low, high = sorted((top(key), top(other)))
-                up[high] = low
-    return {key: top(key) for key in up}
+    found = dict(sorted((r["key"], tuple(r["minima"])) for r in map_texts(rows.select("text", F.xxhash64("text").alias("key")), make, "key long, minima array<long>").collect()))
+    if not found:
+        return {}
+    keys = list(found)
+    minima, label = np.array([found[k] for k in keys]), np.arange(len(keys))
+    for place in range(16):  # texts that agree in any minimum are compared, all with all
+        order = np.argsort(minima[:, place], kind="stable")
+        same = minima[order, place]
+        for shift in range(1, len(keys)):
+            at = np.nonzero(same[shift:] == same[:-shift])[0]
+            if not len(at):
+                break
+            a, b = order[at], order[at + shift]
+            apart = label[a] != label[b]  # what is connected already needs no further link
+            a, b = a[apart], b[apart]
+            near = (minima[a] == minima[b]).sum(axis=1) >= NEAR
+            if near.any():
+                own = np.arange(len(keys))
+                label = labels_of(len(keys), np.concatenate([a[near], own]), np.concatenate([b[near], label]))
+    return {k: keys[x] for k, x in zip(keys, label)}
 
 
 def stems(word: str) -> list[str]:
@@ -282,7 +405,7 @@ def choose(toxic: dict[str, tuple[int, int]], clean: dict[str, tuple[int, int]])
             shorter = [pure[x[:n]] for n in range(min(STEMS), len(x)) if x[:n] in pure]
             if not shorter or ratio >= PURER * max(shorter):
                 pure[x] = ratio
-    return sorted(sorted(pure, key=lambda k: (-toxic[k][1], k))[:MAX_LEXICON])
+    return sorted(pure)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
@@ -295,51 +418,39 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     clean = {r["stem"]: (r["docs"], r["places"]) for r in stem_counts(good, None, toxic).collect()}
     field = Field(choose(toxic, clean))
 
-    def make_rows():
-        def run(batch):
-            out = []
-            for text, toxic in zip(batch["text"], batch["toxic"]):
-                ids = list(map(field.stem, _WORDS.findall(text.lower())))
-                hit = next((i for i, x in enumerate(ids) if x), -1)
-                if ids and (hit >= 0 or not toxic):
-                    out.append((toxic, ids[max(0, hit - WINDOW // 2) :][:WINDOW]))
-            return list(zip(*out)) if out else [[], []]
-
-        return run
-
-    windows = map_texts(rows, make_rows, "toxic int, ids array<int>")
-    drawn = [r for toxic in (1, 0) for r in windows.where(F.col("toxic") == toxic).limit(SEQUENCES).collect()]
-    if field.lexicon and drawn:
-        table = np.full((len(drawn), WINDOW), -1)
-        for i, r in enumerate(drawn):
-            table[i, : len(r["ids"])] = r["ids"]
-        field.fit(table, ((table > 0) & np.array([[r["toxic"]] for r in drawn], bool)).astype(int))
+    if not field.lexicon:
+        return field
 
-    def make_evidence():
+    def make_rows():
         def run(batch):
-            found = [field.tag(text) for text in batch["text"]]
-            return [[x[0] for x in found], [x[1] for x in found], batch["toxic"]]
+            found = [field.found(text) for text in batch["text"]]
+            return [batch["toxic"], *([x[i] for x in found] for i in (0, 1, 2, 4))]
 
         return run
 
-    seen = map_texts(rows, make_evidence, "expected double, length long, toxic int").collect()  # three numbers a learning row
-    if seen:
-        expected, length, marked = (np.array(x, float) for x in zip(*seen))
-        field.weights = logistic(evidence(expected, length), marked)
+    schema = "toxic int, stems array<int>, places array<int>, shapes array<int>, length long"
+    drawn = sorted(tuple(r) for r in map_texts(rows, make_rows, schema).collect())  # lexicon words of the learning rows
+    sequences = Sequences([r for r in drawn if r[1]])
+    field.fit(sequences)
+    node = field.word[sequences.stems] + field.near[sequences.features].sum(axis=1)
+    p = forward_backward(sequences, field.chain, node)[1]
+    seen = [either(p[a : a + n]) for a, n in zip(sequences.first, sequences.many)]
+    rest = [r[0] for r in drawn if not r[1]]
+    field.curve = logistic(np.array(seen + [either(np.zeros(0))] * len(rest)), np.array([*sequences.toxic, *rest], float))
     return field
 
 
 def tag(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, score, predicted, spans(start, end, p) for every row of docs(doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # MAX_LEXICON words at most
+    shared = docs.sparkSession.sparkContext.broadcast(field)  # bounded by the learning sample
 
     def make():
         own = shared.value
 
         def run(batch):
             found = [own.tag(t) for t in batch["text"]]
-            score = [own.score(c, n) for c, n, _ in found]
-            return [batch["doc_id"], score, [int(x >= THRESHOLD) for x in score], [[dict(zip(("start", "end", "p"), s)) for s in spans] for *_, spans in found]]
+            spans = [[dict(zip(("start", "end", "p"), x)) for x in own_spans] for _, own_spans in found]
+            return [batch["doc_id"], [x for x, _ in found], [int(x >= THRESHOLD) for x, _ in found], spans]
 
         return run
 
@@ -360,7 +471,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         own = shared.value
 
         def run(batch):
-            keep = [i for i, t in enumerate(batch["text"]) if own.score(*own.tag(t or "")[:2]) < THRESHOLD]
+            keep = [i for i, t in enumerate(batch["text"]) if own.tag(t or "")[0] < THRESHOLD]
             return [[batch[n][i] for i in keep] for n in names]
 
         return run
