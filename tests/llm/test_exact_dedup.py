@@ -27,7 +27,7 @@ def test_equals_brute_force(spark):
         got = sorted((tuple(x) for x in exact_dedup.exact_dedup(df.repartition(5), counters).collect()), key=str)
         assert got == brute(rows)
     kept = exact_dedup.keep_one(df)
-    assert kept.columns == df.columns and sorted(x.doc_id for x in kept.where("doc_id IS NOT NULL").collect()) == sorted(i for i, k, _, own, _ in brute(rows) if own and i is not None)
+    assert kept.columns == df.columns and sorted(x.doc_id for x in kept.where("doc_id IS NOT NULL").collect()) == sorted({i for i, k, _, own, _ in brute(rows) if own and i is not None})
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
 
 
@@ -39,3 +39,10 @@ def test_summary_finds_every_heavy_digest(spark):
     found = {bytes(x.digest).decode(): x.n for x in exact_dedup.heavy_candidates(df, 7).collect()}
     assert len(found) <= 7 and {"a", "b"} <= set(found)
     assert all(found[v] <= n for v, n in Counter(values).items() if v in found)
+
+
+def test_keep_one_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "a", "x"), (1, "a", "w"), (2, "b", None), (None, "c", "n"), (None, "c", "m"), (3, "b", "y"), (3, None, "z"), (3, "", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, once string").repartition(4)
+    kept = sorted((str(r.doc_id), r.text or "", r.once) for r in exact_dedup.keep_one(df).collect())
+    assert kept == [("1", "a", "w"), ("3", "", "z"), ("3", "b", "y"), ("None", "c", "m")]

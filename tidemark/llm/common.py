@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,27 +15,52 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows per Arrow batch handed to Python. Texts may be long, so batches stay small.
+#: Rows turned into Python objects at a time. Spark bounds the bytes of an Arrow batch; texts may be long, so slices stay small.
 ARROW_ROWS = 500
 
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
-def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for tables of long texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+@functools.cache
+def _local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="scratch-")
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of this machine only where none is set."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset, a folder of this machine
+    stands in for local sessions; on a cluster executors would not see it, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _local_root()
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if (own := _tables.get()) is not None:
+        own.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table, in whatever store it is."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made within are removed at the end: what needs them must have been written by then."""
+    own: list[str] = []
+    token = _tables.set(own)
+    try:
+        yield
+    finally:
+        _tables.reset(token)
+        for path in own:
+            remove(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -54,24 +82,55 @@ def held_out(doc_id) -> F.Column:
 
 
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], list]], schema: str | StructType) -> DataFrame:
-    """Run a batch function over (columns of df) -> (columns of schema), Arrow batch by Arrow batch.
+    """Run a batch function over (columns of df) -> (columns of schema), some rows of an Arrow batch at a time.
 
     make() runs once per task on the executor and returns the function, which gets
-    the batch as a dict of Python lists and returns a list of columns.
+    the rows as a dict of Python lists and returns a list of columns.
     """
-    tune(df.sparkSession)
     arrow = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            if batch.num_rows:
-                columns = f({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
+            for at in range(0, batch.num_rows, ARROW_ROWS):
+                part = batch.slice(at, ARROW_ROWS)
+                columns = f({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(columns, arrow)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+#: Bits of the map-side filter of `without`: 4096 bitmaps of 4 KB whatever the input.
+FILTER_BITS = 1 << 27
+
+
+def without(docs: DataFrame, keys: list[F.Column], gone: DataFrame) -> DataFrame:
+    """docs without the rows whose keys (expressions over docs) stand in gone(<keys>, once); where `once`
+    is true, one row of each key stays, the first by its other columns.
+
+    A bitmap of the hashes of gone's keys, 16 MB whatever the input, is broadcast and lets all
+    other rows pass on the map side. Only the rows that it hits, those that go and few others,
+    meet gone itself, so texts that stay are not shuffled. Nulls are equal to nulls. gone is read
+    several times and should be a table.
+    """
+    names = [c for c in gone.columns if c != "once"]
+    place = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    filled = gone.groupBy(F.bitmap_bucket_number(place(names)).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(names))).alias("_bits"))
+    own = [f"_own{i}" for i in range(len(keys))]
+    rows = docs.select("*", *(k.alias(n) for k, n in zip(keys, own)))
+    rows = rows.withColumn("_at", F.bitmap_bit_position(place(own))).join(F.broadcast(filled), F.bitmap_bucket_number(place(own)) == F.col("_bucket"), "left")
+    bit = F.expr("coalesce(getbit(cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)), 0)")
+    same = [F.col(n).eqNullSafe(F.col(f"_gone.{k}")) for n, k in zip(own, names)]
+    hits = rows.where(bit == 1).drop("_at", "_bucket", "_bits")
+    stay = rows.where(bit == 0).select(docs.columns).unionByName(hits.join(gone.alias("_gone"), same, "left_anti").select(docs.columns))
+    once = gone.where("once")
+    if once.isEmpty():
+        return stay
+    rest = F.to_json(F.struct(*docs.columns))
+    firsts = hits.join(once.alias("_gone"), same, "left_semi").groupBy(*own).agg(F.min_by(F.struct(*docs.columns), rest).alias("_row"))
+    return stay.unionByName(firsts.select("_row.*"))
+
+
 class TwoAges(dict):
     """A bounded memo: misses are computed by `fill`; two generations of `limit` entries at most.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import remove, scratch_path
 
 
 def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -49,8 +49,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges are ignored; no edges give no rows.
     """
     spark = edges.sparkSession
+
+    def written(df: DataFrame) -> tuple[DataFrame, str]:
+        path = scratch_path(spark, "stars")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
     stars = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u <> v").mapInArrow(_contract, "u long, v long").distinct()
-    stars = materialize(stars, "edges")
+    stars, path = written(stars)
     before = None
     while True:
         # large-star: every larger neighbour of u moves to u's smallest neighbour
@@ -60,7 +66,9 @@ def components(edges: DataFrame) -> DataFrame:
         # small-star: u and its smaller neighbours move to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        stars = materialize(small, "stars")
+        last = path
+        stars, path = written(small)
+        remove(spark, last)
         now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or now[0] == 0:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

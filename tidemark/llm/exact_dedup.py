@@ -8,7 +8,8 @@ no key holds more than that share.
 
 Null texts count as empty and equal to empty texts. Of equal texts the row with the
 largest doc_id stays; null ids lose to any other. Rows that repeat the winner's
-doc_id as well as its text all count as staying. An empty table gives an empty result.
+doc_id as well as its text all count as staying; keep_one keeps one of them. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_texts
+from .common import materialize, whole_texts, without
 
 #: Counters of the Misra-Gries summary: bounds what is broadcast and the share of rows a shuffled key may hold.
 COUNTERS = 256
@@ -88,12 +89,9 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The rows of docs that stay, all columns untouched.
-
-    Rows that go are told by one 64-bit hash of id and digest, which keeps their table small enough to be
-    broadcast for longer; beyond that the texts are shuffled once.
-    """
-    key = lambda doc_id, of: F.xxhash64(doc_id.cast("long"), of)
-    gone = classes(docs, counters).where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    dropped = materialize(gone.select(key(F.col("doc_id"), F.col("digest")).alias("_gone")), "dropped")
-    return docs.join(dropped, key(docs["doc_id"], digest(docs["text"])) == dropped["_gone"], "left_anti")
+    """The rows of docs that stay, all columns untouched; of rows that repeat id and text, one."""
+    named = classes(docs, counters).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    # a row of another id goes; one that stays is listed only where it is repeated
+    keyed = named.groupBy("doc_id", "digest").agg(F.first("stays").alias("once"), F.count("*").alias("n")).where("NOT once OR n > 1")
+    gone = materialize(keyed.select("doc_id", "digest", "once"), "dropped")
+    return without(docs, [docs["doc_id"].cast("long"), digest(docs["text"])], gone)

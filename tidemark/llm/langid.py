@@ -200,11 +200,14 @@ def judged(docs: DataFrame, models: Iterator[Model]) -> DataFrame:
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected: fit on the learning rows, judge all."""
-    rows = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs))
+    known = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
+    rows = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(known))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("lang_pred_").alias("lang_pred"), F.col("score_").alias("score"), (F.col("score_") < F.col("least_")).alias("rejected"))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are not rejected, all columns; a null lang takes the prediction."""
-    rows = judged(docs, fit(docs)).where("score_ >= least_")
+    """The rows of docs that are not rejected, all columns; a null lang takes the prediction. Without a lang
+    column nothing is learned, so no text has a known language."""
+    known = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
+    rows = judged(docs, fit(known)).where("score_ >= least_")
     return rows.select(*(F.coalesce("lang", "lang_pred_").alias("lang") if n == "lang" else n for n in docs.columns))

@@ -14,14 +14,17 @@ exceeds the radius is discarded, and the survivors are verified. A group keeps a
 spanning forest of its links, never all pairs. Groups over `GROUP` rows are dealt
 out as pairs of chunks, so that no task holds more than two chunks of a group.
 
-With a similarity instead of a radius (`similar`), pairs link if the Jaccard
-similarity of their shingle sets reaches it. At 0.8 fingerprints differ in up to
-some 18 bits, which no exact blocking of 64 bits reaches. There the candidates meet
-under their smallest shingle hashes (a pair of similarity s shares none of four with
-a chance of less than (1 - s)^4), and the pivot table discards at WIDE bits between
-fingerprints over distinct shingles. Sketches of the SKETCH smallest hashes only
-gather suspects, at MARGIN below the similarity. The suspects' texts are read once
-more, and every link is decided on the whole sets of 64-bit shingle hashes.
+With a similarity instead of a radius (`similar`), pairs link if the cosine of their
+shingle sets, common shingles over the root of the product of their numbers, reaches
+it: the angle whose share of a half turn is what a fingerprint's differing bits
+estimate. At 0.8 fingerprints differ in up to some 22 bits, which no exact blocking of
+64 bits reaches. There the candidates meet under their smallest shingle hashes (a pair
+whose sets share a part s of their union shares none of six with a chance of less than
+(1 - s)^6, and a cosine of 0.8 means s of 0.64 or more), and the pivot table discards at
+WIDE bits between fingerprints over distinct shingles. Sketches of the SKETCH smallest
+hashes only gather suspects, at MARGIN below the part that the sizes ask for. The
+suspects' texts are read once more, and every link is decided on the whole sets of
+64-bit shingle hashes.
 
 Null and empty texts have no words: fingerprint zero, linked like any other. A
 repeated doc_id gives a repeated row. An empty table gives an empty result.
@@ -39,19 +42,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, whole_texts
+from .common import map_texts, materialize, whole_texts, without
 from .components import components, labels_of
 
 RADIUS = 4
 #: Bits within which similar texts are compared further, keys each text stands under, hashes of a sketch.
-WIDE, ANCHORS, SKETCH = 24, 4, 128
-#: How far below the similarity a sketch's estimate still makes suspects: over five standard errors at 0.8.
+WIDE, ANCHORS, SKETCH = 24, 6, 128
+#: How far below the needed part a sketch's estimate still makes suspects: over four standard errors at 0.64.
 MARGIN = 0.2
 PAD = np.uint32(0xFFFFFFFF)
 #: Reference fingerprints of the pivot table, drawn once from a fixed seed.
 PIVOTS = 24
 #: Rows of a block group that one task compares; larger groups are split into chunks of half as many.
 GROUP = 4096
+#: The same where rows carry sketches.
+SIMILAR_GROUP = 1024
 #: Rows and shingles of a group of whole sets that one task compares.
 SUSPECTS, SHINGLES = 1024, 1 << 22
 #: Shingles hashed at a time, which bounds memory for very long texts.
@@ -123,16 +128,23 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (twin & (rank <= limit)).sum(axis=1) / np.maximum(1, (fresh & (rank <= limit)).sum(axis=1))
 
 
+def comparable(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """May sets of these sizes have a cosine of the similarity at all?"""
+    return np.minimum(a, b) >= similarity**2 * np.maximum(a, b) - 1e-9
+
+
 def sketched(columns: list[np.ndarray], similarity: float):
     """Of pairs of rows (shingles, sketch): may their sets reach the similarity?"""
     size, sketch = columns[0], np.frombuffer(b"".join(columns[1]), np.uint32).reshape(-1, SKETCH)
 
     def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.minimum(size[a], size[b]) / np.maximum(size[a], size[b]) >= similarity  # bounds the similarity
+        out = comparable(size[a], size[b], similarity)
         at = np.nonzero(out)[0]
         for i in range(0, len(at), 4096):
             part = at[i : i + 4096]
-            out[part] = jaccard(sketch[a[part]], sketch[b[part]]) >= similarity - MARGIN
+            x, y = size[a[part]], size[b[part]]
+            common = similarity * np.sqrt(x * y)
+            out[part] = jaccard(sketch[a[part]], sketch[b[part]]) >= common / (x + y - common) - MARGIN
         return out
 
     return alike
@@ -143,11 +155,11 @@ def whole(columns: list[np.ndarray], similarity: float):
     size, sets = columns[0], [np.frombuffer(x, np.uint64) for x in columns[1]]
 
     def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.minimum(size[a], size[b]) / np.maximum(size[a], size[b]) >= similarity
+        out = comparable(size[a], size[b], similarity)
         for i in np.nonzero(out)[0]:
             x, y = sets[a[i]], sets[b[i]]
             common = int((x[np.searchsorted(x, y) % len(x)] == y).sum())
-            out[i] = common / (len(x) + len(y) - common) >= similarity
+            out[i] = common >= similarity * np.sqrt(len(x) * len(y)) - 1e-9
         return out
 
     return alike
@@ -289,7 +301,7 @@ def whole_sets(docs: DataFrame, words: int) -> DataFrame:
     return map_texts(docs, make, "own long, fp long, size long, shingles binary")
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = SIMILAR_GROUP) -> DataFrame:
     """doc_id, text_key (hash of the text), fingerprint, component_id: classes linked by shingle similarity."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -319,9 +331,11 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs that stay, all columns untouched: of each class the smallest doc_id; rows without an id stay."""
-    gone = similar(docs, words, similarity).where("doc_id <> component_id")
-    dropped = materialize(gone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "dropped")
+    """The rows of docs that stay, all columns untouched: of each class one with the smallest doc_id; rows without an id stay."""
+    keys = materialize(similar(docs, words, similarity).where("doc_id IS NOT NULL").groupBy("component_id", "doc_id", "text_key").agg(F.count("*").alias("n")), "classes")
+    firsts = keys.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    once = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    marked = keys.join(firsts, "component_id").select("doc_id", "text_key", once.alias("once"), "n")
+    gone = materialize(marked.where("NOT once OR n > 1").drop("n"), "dropped")
     # rows that share an id but not the text are told apart by the text's hash
-    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(dropped, (docs["doc_id"].cast("long") == dropped["_id"]) & (own == dropped["_key"]), "left_anti")
+    return without(docs, [docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit("")))], gone)
