@@ -1,40 +1,48 @@
-"""Quality rules: plain counts, and the fertility of a public tokeniser.
-
-Per text, a public sentence-piece vocabulary gives characters per token, the share of
-byte-fallback tokens, and the entropy of the token distribution as a share of the
-most that so many tokens can have. For each language (the lang column, else the
-script of most letters) bands are laid over the whole corpus: quartiles widened by
-FENCE times their distance, and at least by the margins below. For texts under FULL
-tokens the widening of characters per token and of entropy grows as one over the root
-of their number. Texts outside their band are rejected, as are texts that fail the
-base rules.
+"""Quality rules: plain counts, and the fertility of public tokenisers.
+
+Per text, a public sentence-piece vocabulary and two byte-level ones give characters per
+token; the pieces also give the share of byte-fallback tokens, and the entropy of their
+distribution as a share of the most that so many tokens can have. For each language (the
+lang column, else the script of most letters) bands are laid over the whole corpus:
+quartiles widened by FENCE times their distance, and at least by the margins below. For
+texts under FULL tokens the widening of characters per token and of entropy grows as one
+over the root of their number. Texts outside their band are rejected: by characters per
+token if most vocabularies say so, by byte share or entropy each alone. So are texts that
+fail the base rules.
 
 Null and empty texts: no words, all counts 0, failed. Texts are measured whole.
-Tokens are taken word by word (white space never lies within a piece). Repeated rows
-are judged each; an empty table gives an empty result.
+Tokens are taken word by word, each with the space before it (white space never lies
+within a token). Repeated rows are judged each; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
 
+import base64
 import functools
 import unicodedata
 from collections import Counter
 
 import numpy as np
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoAges, map_texts, materialize
+from .common import map_texts, materialize
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 FENCE = 3.0
 #: Least half-widths of a band around its quartiles: characters per token, byte share, relative entropy.
-MARGINS = {"chars_per_token": 0.2, "byte_share": 0.05, "entropy": 0.2}
+MARGINS = {"chars_per_token": 0.2, "chars_per_byte_token": 0.2, "chars_per_multi_token": 0.2, "byte_share": 0.05, "entropy": 0.2}
+#: The measures that vote on characters per token.
+VOTERS = ("chars_per_token", "chars_per_byte_token", "chars_per_multi_token")
 #: Tokens from which a band holds as it is; measures of fewer vary more.
 FULL = 100
 MAX_BANDS = 1000
+#: Words whose tokens a worker remembers.
+MEMO = 300_000
 #: Code points looked up at a time, which bounds memory for very long texts.
 SPAN = 1 << 20
 
@@ -42,16 +50,14 @@ _SPACES = " \t\n\x0b\x0c\r"
 _FOLD = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
-def repeated_words(words: list[str], width: int = WINDOW) -> int:
-    """Words inside windows of `width` words that occur twice or more in the list."""
-    n = len(words) - width + 1
+def repeated_words(code: np.ndarray, width: int = WINDOW) -> int:
+    """Words inside windows of `width` words that occur twice or more in a text; equal words have equal codes."""
+    n = len(code) - width + 1
     if n < 2:
         return 0
-    ids: dict[str, int] = {}
-    code = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.uint64, len(words))
     rolled = np.zeros(n, np.uint64)
     for i in range(width):
-        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + code[i : i + n] + np.uint64(1)
+        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + code[i : i + n].astype(np.uint64) + np.uint64(1)
     order = np.argsort(rolled, kind="stable")
     ordered = rolled[order]
     same = ordered[1:] == ordered[:-1]
@@ -70,43 +76,92 @@ def repeated_words(words: list[str], width: int = WINDOW) -> int:
     else:
         seen = Counter(tuple(code[a : a + width].tolist()) for a in at)
         starts = np.array([a for a in at if seen[tuple(code[a : a + width].tolist())] > 1], int)
-    covered = np.zeros(len(words) + 1, np.int64)
+    covered = np.zeros(len(code) + 1, np.int64)
     np.add.at(covered, starts, 1)
-    np.add.at(covered, np.minimum(starts + width, len(words)), -1)
+    np.add.at(covered, np.minimum(starts + width, len(code)), -1)
     return int((np.cumsum(covered[:-1]) > 0).sum())
 
 
-def base_counts(text: str) -> tuple[list[str], int, int, int, int]:
-    """words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one whole text."""
-    words = [w for w in text.translate(_FOLD).split(" ") if w] if not text.isascii() or any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+def words_of(text: str) -> list[str]:
+    """Runs of other characters than ASCII white space."""
+    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return text.split()
+    return [w for w in text.translate(_FOLD).split(" ") if w]
+
+
+def line_counts(text: str) -> tuple[int, int]:
+    """n_symbols, n_dup_lines of one whole text."""
     lines = [x for x in text.split("\n") if x.strip(_SPACES)]
-    return words, sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
+    return sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines))
 
 
 class Fertility:
-    def __init__(self, path: str):
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = self.model.get_piece_size()
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(n)])
-        self.memo = TwoAges(lambda w: np.array(self.model.encode(w), np.uint16 if n < 65536 else np.uint32).tobytes())
-        self.dtype = np.uint16 if n < 65536 else np.uint32
-
-    def __call__(self, words: list[str]) -> tuple[int, int, float]:
-        """(tokens, byte-fallback tokens, entropy in bits over log2 of the number of tokens)."""
-        ids = np.frombuffer(b"".join(map(self.memo.__getitem__, words)), self.dtype)
-        n = len(ids)
+    """Numbers the words that it meets and remembers their lengths and tokens."""
+
+    def __init__(self, pieces: str, byte_level: tuple[str, ...], pattern: str):
+        self.model = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
+        self.coders = [byte_coder(p, pattern) for p in byte_level]
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.counts = np.zeros((4, 1024), np.int64)  # characters, pieces, tokens of the byte-level vocabularies
+        self.starts = np.zeros(1024, np.int64)
+        self.pieces, self.used = np.zeros(8192, np.int32), 0
+
+    def learn(self, words: list[str]) -> None:
+        """Number new words."""
+        first, n = len(self.number), len(words)
+        while first + n > self.counts.shape[1]:
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)], axis=1)
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        found = self.model.encode(words, num_threads=1)
+        many = np.fromiter(map(len, found), np.int64, n)
+        flat = np.fromiter((i for x in found for i in x), np.int32, int(many.sum()))
+        while self.used + len(flat) > len(self.pieces):
+            self.pieces = np.concatenate([self.pieces, np.zeros_like(self.pieces)])
+        self.pieces[self.used : self.used + len(flat)] = flat
+        self.starts[first : first + n] = self.used + np.cumsum(many) - many
+        self.used += len(flat)
+        own = self.counts[:, first : first + n]
+        own[0], own[1] = np.fromiter(map(len, words), np.int64, n), many
+        spaced = [f" {w}" for w in words]
+        for i, coder in enumerate(self.coders):
+            own[2 + i] = np.fromiter(map(len, map(coder.encode_ordinary, spaced)), np.int64, n)
+        self.number.update(zip(words, range(first, first + n)))
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, list[int], int, float]:
+        """(word numbers, [characters, pieces, tokens of each byte-level vocabulary], byte-fallback pieces,
+        entropy in bits over log2 of the number of pieces) of one whole text."""
+        if len(self.number) > MEMO:
+            self.forget()
+        if new := list(dict.fromkeys(w for w in words if w not in self.number)):
+            self.learn(new)
+        code = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        totals = self.counts[:, code].sum(axis=1).tolist()
+        many = self.counts[1, code]
+        n = totals[1]
+        ids = self.pieces[np.repeat(self.starts[code] - np.cumsum(many) + many, many) + np.arange(n)]
+        n_bytes = int(self.is_byte[ids].sum())
         if n < 2:
-            return n, int(self.is_byte[ids].sum()), 0.0
-        ordered = np.sort(ids)
-        counts = np.diff(np.concatenate([[0], np.nonzero(np.diff(ordered))[0] + 1, [n]]))
+            return code, totals, n_bytes, 0.0
+        counts = np.unique(ids, return_counts=True)[1]
         p = counts / n
-        return n, int(self.is_byte[ids].sum()), float(-(p * np.log2(p)).sum() / np.log2(n))
+        return code, totals, n_bytes, float(-(p * np.log2(p)).sum() / np.log2(n))
+
+
+def byte_coder(path: str, pattern: str) -> tiktoken.Encoding:
+    """A byte-level vocabulary from a file of lines with a base64 token and its rank."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 @functools.cache
-def fertility(path: str) -> Fertility:
+def fertility(pieces: str, byte_level: tuple[str, ...], pattern: str) -> Fertility:
     """One per Python worker."""
-    return Fertility(path)
+    return Fertility(pieces, byte_level, pattern)
 
 
 @functools.cache
@@ -127,24 +182,26 @@ def script(text: str) -> str:
     return min((names[i] for i in np.nonzero(total == total.max())[0])) if total.any() else "none"
 
 
-def measure(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, the base columns, band, n_tokens, chars_per_token, byte_share, entropy."""
+def measure(docs: DataFrame, pieces: str, byte_level: tuple[str, str], pattern: str) -> DataFrame:
+    """doc_id, the base columns, band, n_tokens (pieces) and the measures of MARGINS."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
     def make():
-        tokens = fertility(vocabulary)
+        tokens = fertility(pieces, byte_level, pattern)
 
         def run(batch):
             out = []
             for doc_id, text, own in zip(batch["doc_id"], batch["text"], batch["lang"]):
-                words, chars, symbols, dup, repeat = base_counts(text)
-                n, n_bytes, entropy = tokens(words)
-                out.append((doc_id, len(words), chars, symbols, dup, repeat, own if own is not None else f"script:{script(text)}", n, chars / n if n else 0.0, n_bytes / n if n else 0.0, entropy))
+                words = words_of(text)
+                code, (chars, n, *others), n_bytes, entropy = tokens(words)
+                fertile = [chars / x if x else 0.0 for x in (n, *others)]
+                band = own if own is not None else f"script:{script(text)}"
+                out.append((doc_id, len(words), chars, *line_counts(text), repeated_words(code), band, n, *fertile, n_bytes / n if n else 0.0, entropy))
             return list(zip(*out))
 
         return run
 
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, band string, n_tokens long, chars_per_token double, byte_share double, entropy double"
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, band string, n_tokens long, " + ", ".join(f"{m} double" for m in MARGINS)
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")), make, schema)
 
 
@@ -159,9 +216,10 @@ def bands(measured: DataFrame) -> DataFrame:
     return measured.groupBy("band").agg(F.count("*").alias("band_rows"), *columns)
 
 
-def judge(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """One row per document: base columns, base_failed, measures, reasons and kept."""
-    measured = materialize(measure(docs, vocabulary), "measures")
+def judge(docs: DataFrame, pieces: str, byte_level: tuple[str, str], pattern: str) -> DataFrame:
+    """One row per document: base columns, base_failed, measures, reasons and kept. pieces is a sentence-piece
+    vocabulary, byte_level two byte-level ones, which split texts by the pattern."""
+    measured = materialize(measure(docs, pieces, byte_level, pattern), "measures")
     limits = materialize(bands(measured), "bands")
     # the most frequent bands, a bounded number, settle their rows on the map side; rare ones are joined by a shuffle
     common = limits.orderBy(F.desc("band_rows"), "band").limit(MAX_BANDS)
@@ -170,12 +228,10 @@ def judge(docs: DataFrame, vocabulary: str) -> DataFrame:
     rows = hits.unionByName(rest)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     wider = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(FULL)) / F.col("n_tokens")))
-    outside = [
-        F.when((F.col("chars_per_token") < F.col("chars_per_token_low") - wider * F.col("chars_per_token_spread")) | (F.col("chars_per_token") > F.col("chars_per_token_high") + wider * F.col("chars_per_token_spread")), "chars_per_token"),
-        F.when(F.col("byte_share") > F.col("byte_share_high") + F.col("byte_share_spread"), "byte_share"),
-        F.when(F.col("entropy") < F.col("entropy_low") - wider * F.col("entropy_spread"), "entropy"),
-    ]
-    outside = [F.when(F.col("n_tokens") >= 1, x) for x in outside]
-    reasons = F.array_compact(F.array(*outside))
+    below = lambda m, w=1.0: F.col(m) < F.col(f"{m}_low") - w * F.col(f"{m}_spread")
+    above = lambda m, w=1.0: F.col(m) > F.col(f"{m}_high") + w * F.col(f"{m}_spread")
+    votes = sum((F.when(below(m, wider) | above(m, wider), 1).otherwise(0) for m in VOTERS), F.lit(0))
+    outside = [F.when(2 * votes > len(VOTERS), "chars_per_token"), F.when(above("byte_share"), "byte_share"), F.when(below("entropy", wider), "entropy")]
+    reasons = F.array_compact(F.array(*(F.when(F.col("n_tokens") >= 1, x) for x in outside)))
     out = rows.withColumn("base_failed", failed).withColumn("reasons", reasons).withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons", "n_tokens", "chars_per_token", "byte_share", "entropy")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons", "n_tokens", *MARGINS)
