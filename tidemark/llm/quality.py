@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import unicodedata
 from collections import Counter
 
@@ -43,11 +44,14 @@ FULL = 100
 MAX_BANDS = 1000
 #: Words whose tokens a worker remembers.
 MEMO = 300_000
+#: Characters of the texts that are measured together.
+TOGETHER = 2_000_000
 #: Code points looked up at a time, which bounds memory for very long texts.
 SPAN = 1 << 20
 
 _SPACES = " \t\n\x0b\x0c\r"
-_FOLD = str.maketrans("\t\n\x0b\x0c\r", "     ")
+_WORD = re.compile(f"[^{_SPACES}]+")
+_INNER_SPACE = re.compile(r"\s")
 
 
 def repeated_words(code: np.ndarray, width: int = WINDOW) -> int:
@@ -86,7 +90,7 @@ def words_of(text: str) -> list[str]:
     """Runs of other characters than ASCII white space."""
     if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
         return text.split()
-    return [w for w in text.translate(_FOLD).split(" ") if w]
+    return _WORD.findall(text)
 
 
 def line_counts(text: str) -> tuple[int, int]:
@@ -102,6 +106,7 @@ class Fertility:
         self.model = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
         self.coders = [byte_coder(p, pattern) for p in byte_level]
+        self.opens = [np.array([c.decode_single_token_bytes(i)[:1] == b" " for i in range(c.n_vocab)]) for c in self.coders]
         self.forget()
 
     def forget(self) -> None:
@@ -126,18 +131,26 @@ class Fertility:
         self.used += len(flat)
         own = self.counts[:, first : first + n]
         own[0], own[1] = np.fromiter(map(len, words), np.int64, n), many
-        spaced = [f" {w}" for w in words]
-        for i, coder in enumerate(self.coders):
-            own[2 + i] = np.fromiter(map(len, map(coder.encode_ordinary, spaced)), np.int64, n)
+        # each word opens with a space, which no token crosses; white space within words could join that of the next
+        apart = np.fromiter((_INNER_SPACE.search(w) is not None for w in words), bool, n)
+        joined = "".join(f" {w}" for w, x in zip(words, apart) if not x)
+        for i, (coder, opens) in enumerate(zip(self.coders, self.opens)):
+            ids = np.array(coder.encode_ordinary(joined), np.int64)
+            own[2 + i, ~apart] = np.diff(np.append(np.nonzero(opens[ids])[0], len(ids)))
+            own[2 + i, apart] = [len(coder.encode_ordinary(f" {w}")) for w, x in zip(words, apart) if x]
         self.number.update(zip(words, range(first, first + n)))
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, list[int], int, float]:
-        """(word numbers, [characters, pieces, tokens of each byte-level vocabulary], byte-fallback pieces,
-        entropy in bits over log2 of the number of pieces) of one whole text."""
+    def prepare(self, texts: list[list[str]]) -> None:
+        """Number the words of some texts."""
         if len(self.number) > MEMO:
             self.forget()
-        if new := list(dict.fromkeys(w for w in words if w not in self.number)):
+        known = self.number
+        if new := list(dict.fromkeys(w for words in texts for w in words if w not in known)):
             self.learn(new)
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, list[int], int, float]:
+        """(word numbers, [characters, pieces, tokens of each byte-level vocabulary], byte-fallback pieces,
+        entropy in bits over log2 of the number of pieces) of one whole, prepared text."""
         code = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         totals = self.counts[:, code].sum(axis=1).tolist()
         many = self.counts[1, code]
@@ -190,9 +203,14 @@ def measure(docs: DataFrame, pieces: str, byte_level: tuple[str, str], pattern:
         tokens = fertility(pieces, byte_level, pattern)
 
         def run(batch):
-            out = []
-            for doc_id, text, own in zip(batch["doc_id"], batch["text"], batch["lang"]):
-                words = words_of(text)
+            out, texts = [], batch["text"]
+            ends = np.cumsum([len(t) for t in texts]) // TOGETHER
+            held: list[list[str]] = []
+            for i, (doc_id, text, own) in enumerate(zip(batch["doc_id"], texts, batch["lang"])):
+                if not held:
+                    held = [words_of(t) for t, e in zip(texts[i:], ends[i:]) if e == ends[i]][::-1]
+                    tokens.prepare(held)
+                words = held.pop()
                 code, (chars, n, *others), n_bytes, entropy = tokens(words)
                 fertile = [chars / x if x else 0.0 for x in (n, *others)]
                 band = own if own is not None else f"script:{script(text)}"
