@@ -30,12 +30,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document, read back from flat files of the whole table: shard, document, start, n_tokens."""
+    """Tokens of every document, read back from flat files of the whole table: doc_id, n_tokens, closed, damaged."""
     path = scratch_path(spark, "tokens")
     token_counts.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
-    shard = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
-    roll = F.regexp_extract("file", r"c(\d+)\.txt$", 1).cast("long")
-    return token_counts.count_tokens(spark, path).select(shard.alias("shard"), roll.alias("roll"), "document", "start", "n_tokens", "closed")
+    return token_counts.count_tokens(spark, path).select("doc_id", "n_tokens", "closed", "damaged")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
