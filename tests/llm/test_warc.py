@@ -50,3 +50,29 @@ def test_canonical_urls(spark):
     same = ["http://www.Ex.com:80/a/?b=2&a=1&utm_source=x#f", "https://ex.com/a?a=1&b=2", "EX.com:443/a/?ref=q&b=2&a=1&"]
     rows = spark.createDataFrame([(u,) for u in [*same, "https://ex.com", "", None]], "u string").select(warc.canonical_url(F.col("u"))).collect()
     assert [x[0] for x in rows] == ["ex.com/a?a=1&b=2"] * 3 + ["ex.com", "", None]
+
+
+def test_the_crawl_comes_back_and_holds_every_verdict(spark):
+    pages = [(i, f"https://s{i % 5}.example/en/{i}", f"body {i}", 7) for i in range(400)]
+    pages += [(400, None, "x", 7), (None, "https://s1.example/en/3", "x", 7), (401, "https://s2.example/en/4", None, 7), (402, "", "", 7), (402, "", "", 7)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, ts int")
+    records = warc.crawl_records(df)
+    got = warc.resolve(records).collect()
+    assert len(got) == len(pages) and {x.verdict for x in got} == {"no_response", "resolved", "etag_mismatch", "modified", "unvalidated"}
+    assert any(x.source_id is not None and x.source_id > x.record_id for x in got if x.record_id is not None)
+    later = records.where("kind = 'response' AND status = 200").groupBy("url").agg(F.max("ts").alias("last")).join(records.where("kind = 'revisit'"), "url").where("ts < last")
+    assert later.count() > 50  # responses after the revisit, which the join must not take
+    assert all(x.verdict == "no_response" for x in got if x.record_id in (None, 400))
+    assert warc.crawl_records(df.limit(0)).count() == 0
+
+
+def test_archives_are_read_as_written(spark, tmp_path):
+    long = "line\r\n\r\nanother line Ü\n" * 20000
+    rows = [("a", "response", "http://x.example/", 1_700_000_000, 200, {"ETag": "t1", "Last-Modified": "m"}, "<p>hi</p>\r\n\r\nmore"), ("b", "revisit", "http://x.example/", 1_700_000_060, 304, {"etag": "W/t1", "Date": "d: e"}, None), ("c", "response", None, None, 404, None, long), ("c", "response", None, None, 404, None, long)]
+    df = spark.createDataFrame(rows, "record_id string, kind string, url string, ts long, status int, headers map<string,string>, payload string")
+    warc.write_records(df.repartition(2), str(tmp_path / "w"))
+    got = sorted(map(tuple, warc.read_records(spark, str(tmp_path / "w")).collect()), key=lambda x: x[0])
+    want = [(i, k, u, t, s, (h or {}).get("ETag", (h or {}).get("etag")), (h or {}).get("Last-Modified"), {n.lower(): v for n, v in (h or {}).items()}, p or "") for i, k, u, t, s, h, p in rows]
+    assert got == want
+    found = warc.resolve(warc.read_records(spark, str(tmp_path / "w"))).collect()
+    assert [(x.record_id, x.source_id, x.verdict) for x in found] == [("b", "a", "resolved")]

@@ -52,7 +52,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every revisit of a crawl of the pages table, resolved."""
     found = warc.resolve(warc.crawl_records(table(spark, sf_dir, "pages")))
-    merged = [F.col("headers")[name].alias(name.replace("-", "_")) for name in ("date", "etag", "server", "cache-control")]
+    merged = [F.try_element_at("headers", F.lit(name)).alias(name.replace("-", "_")) for name in ("date", "etag", "server", "cache-control")]
     return found.select(F.col("record_id").alias("page_id"), "canonical_url", "source_id", "verdict", *merged)
 
 
@@ -77,26 +77,32 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
         "op8_warc": """
             WITH p AS (
-                SELECT page_id, md5(coalesce(html, '')) AS digest, page_id * 60 AS ts, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
+                SELECT page_id, md5(coalesce(html, '')) AS digest, page_id * 60 AS ts,
+                    regexp_replace(regexp_replace(trim(regexp_replace(url, '/[a-z]{2}/[0-9]+', '/' || (page_id % 3))), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
                 FROM pages),
             q AS (
                 SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|gclid|fbclid|ref)(=|$)'))) AS kept,
                     regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS place
                 FROM p),
             c AS (
-                SELECT *, place || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url, strftime(make_timestamp((ts - ts % 86400) * 1000000), '%Y-%m-%d %H:%M:%S') AS made
+                SELECT *, place || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical_url, strftime(make_timestamp((ts - ts % 3600) * 1000000), '%Y-%m-%d %H:%M:%S') AS day,
+                    ts + 30 + 60 * (page_id * 7919 % 331) AS again
                 FROM q),
+            s AS (
+                SELECT page_id, canonical_url, ts, CASE WHEN digest[1] NOT IN ('3', '4') THEN digest END AS tag, CASE WHEN digest[3] NOT IN ('0', '1', '2') THEN day END AS made
+                FROM c WHERE digest[2] NOT IN ('0', '1')),
+            r AS (
+                SELECT page_id, canonical_url, again, CASE digest[1] WHEN '0' THEN reverse(digest) WHEN '1' THEN NULL ELSE digest END AS tag, CASE WHEN digest[3] NOT IN ('0', '5') THEN day END AS made
+                FROM c),
             j AS (
-                SELECT r.page_id, r.canonical_url, r.ts + 604800 AS again, r.digest AS own, r.made AS own_made, s.page_id AS source_id, s.digest, s.made
-                FROM c r ASOF LEFT JOIN c s ON r.canonical_url = s.canonical_url AND r.ts + 604800 > s.ts),
-            t AS (
-                SELECT *, CASE left(own, 1) WHEN '0' THEN reverse(own) WHEN '1' THEN NULL ELSE own END AS tag FROM j),
+                SELECT r.*, s.page_id AS source_id, s.tag AS source_tag, s.made AS source_made
+                FROM r ASOF LEFT JOIN s ON r.canonical_url = s.canonical_url AND r.again > s.ts),
             v AS (
-                SELECT *, CASE WHEN source_id IS NULL THEN 'no_response' WHEN tag IS NOT NULL THEN CASE WHEN tag = digest THEN 'resolved' ELSE 'etag_mismatch' END
-                    ELSE CASE WHEN own_made = made THEN 'resolved' ELSE 'modified' END END AS verdict FROM t)
+                SELECT *, CASE WHEN source_id IS NULL THEN 'no_response' WHEN tag IS NOT NULL AND source_tag IS NOT NULL THEN CASE WHEN tag = source_tag THEN 'resolved' ELSE 'etag_mismatch' END
+                    WHEN made IS NOT NULL AND source_made IS NOT NULL THEN CASE WHEN made = source_made THEN 'resolved' ELSE 'modified' END ELSE 'unvalidated' END AS verdict FROM j)
             SELECT page_id, canonical_url, source_id, verdict,
                 CASE WHEN verdict = 'resolved' THEN strftime(make_timestamp(again * 1000000), '%Y-%m-%d %H:%M:%S') END AS date,
-                CASE WHEN verdict = 'resolved' THEN digest END AS etag,
+                CASE WHEN verdict = 'resolved' THEN source_tag END AS etag,
                 CASE WHEN verdict = 'resolved' THEN 'origin' END AS server,
                 CASE WHEN verdict = 'resolved' THEN 'max-age=3600' END AS cache_control
             FROM v""",

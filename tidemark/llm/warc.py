@@ -12,9 +12,13 @@ either side, equal Last-Modified values decide; without either the revisit is
 'unvalidated'. A resolved revisit gets the response's headers, overlaid by those that
 a 304 answer may update.
 
+Archives are read and written as records between version lines, with Spark's own text source
+and sink, so a large archive is split among tasks.
+
 Null URLs form no key: such revisits have 'no_response'. Null times are earliest for
 responses and match nothing for revisits. Of responses with equal time the largest
-record_id counts. Repeated revisits are resolved each. No records give no rows.
+record_id counts. Repeated revisits are resolved each. No records give no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -42,12 +46,57 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
-def lower_keys(headers: Column) -> Column:
-    """Header names in lower case; of names that clash the first counts."""
-    names = F.map_keys(headers)
+def first_keys(names: Column, values: Column) -> Column:
+    """A map of header names, in lower case, and values; of names that clash the first counts."""
     low = F.transform(names, lambda n: F.lower(n))
     first = F.filter(F.sequence(F.lit(1), F.greatest(F.size(names), F.lit(1))), lambda i: (i <= F.size(names)) & (F.array_position(low, F.get(low, i - 1)) == i))
-    return F.coalesce(F.map_from_entries(F.transform(first, lambda i: F.struct(F.get(low, i - 1), F.get(F.map_values(headers), i - 1)))), F.create_map().cast("map<string,string>"))
+    return F.coalesce(F.map_from_entries(F.transform(first, lambda i: F.struct(F.get(low, i - 1), F.get(values, i - 1)))), F.create_map().cast("map<string,string>"))
+
+
+def lower_keys(headers: Column) -> Column:
+    return first_keys(F.map_keys(headers), F.map_values(headers))
+
+
+def header_lines(block: Column) -> Column:
+    """The map of a block of `Name: value` lines."""
+    lines = F.filter(F.split(block, "\r\n"), lambda x: x.contains(":"))
+    return first_keys(F.transform(lines, lambda x: F.trim(F.substring_index(x, ":", 1))), F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "^[^:]*:", ""))))
+
+
+#: Fixed value: the line that opens a record.
+VERSION = "WARC/1.0\r\n"
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of archive files, plain or compressed: record_id, kind, url, ts (seconds), status, etag, last_modified,
+    headers, payload. A file is split at version lines; what follows one within a payload has no type and is left out."""
+    raw = spark.read.option("lineSep", VERSION).text(path).select(F.regexp_extract("value", r"(?s)^(.*?)\r\n\r\n", 1).alias("top"), F.regexp_replace("value", r"(?s)^.*?\r\n\r\n", "").alias("body"))
+    own = raw.withColumn("own", header_lines(F.col("top"))).where(F.map_contains_key("own", F.lit("warc-type")))
+    http = own.withColumn("http", F.regexp_extract("body", r"(?s)^(HTTP/[0-9.]+ .*?)\r\n\r\n", 1)).withColumn("headers", header_lines(F.regexp_replace("http", r"^[^\r]*", "")))
+    get = lambda m, k: F.try_element_at(F.col(m), F.lit(k))
+    return http.select(
+        get("own", "warc-record-id").alias("record_id"),
+        F.lower(get("own", "warc-type")).alias("kind"),
+        get("own", "warc-target-uri").alias("url"),
+        F.unix_seconds(F.try_to_timestamp(get("own", "warc-date"))).alias("ts"),
+        F.regexp_extract("http", r"^HTTP/[0-9.]+ ([0-9]{3})", 1).try_cast("int").alias("status"),
+        get("headers", "etag").alias("etag"),
+        get("headers", "last-modified").alias("last_modified"),
+        "headers",
+        F.regexp_replace(F.regexp_replace("body", r"(?s)^HTTP/[0-9.]+ .*?\r\n\r\n", ""), r"\r\n\r\n$", "").alias("payload"),
+    )
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """Write records(record_id, kind, url, ts, status, headers, payload) as archive files; null fields are left out."""
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    headers = F.array_join(F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")), F.lit("\r\n"))), "")
+    body = F.concat(F.lit("HTTP/1.1 "), F.coalesce(F.col("status").cast("string"), F.lit("200")), F.lit("\r\n"), headers, F.lit("\r\n"), F.coalesce("payload", F.lit("")))
+    rows = records.select("*", body.alias("_body"))
+    date = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    fields = [("WARC-Type", F.col("kind")), ("WARC-Record-ID", F.col("record_id").cast("string")), ("WARC-Target-URI", F.col("url")), ("WARC-Date", date), ("Content-Length", F.octet_length("_body").cast("string"))]
+    top = F.concat_ws("", *(line(n, v) for n, v in fields))
+    rows.select(F.concat(F.lit(VERSION), top, F.lit("\r\n"), F.col("_body")).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -86,24 +135,34 @@ def resolve(records: DataFrame) -> DataFrame:
 
 
 def crawl_records(pages: DataFrame) -> DataFrame:
-    """Archive records of a crawl of pages: each page's response, one minute after the page before, and a
-    revisit a week later whose validators come from what the page was. By their digest some
-    pages answer with a new tag, some without one, some with a weak one."""
+    """Archive records of a crawl of pages(page_id, url, html) that comes back to few URLs.
+
+    The pages of a site share three paths. Each is a response one minute after the page before, some of them errors, some
+    without a tag or a date, and a revisit up to some five hours later, so that responses of its URL lie before and after it. The
+    revisit's validators are those of its own page, some reversed, weak or missing. Null html counts as empty; a null page_id
+    or url gives records without a URL, hence without a response; repeated pages give repeated records.
+    """
     body = F.coalesce("html", F.lit(""))
-    digest = F.md5(body.cast("binary"))
-    seconds = F.col("page_id").cast("long") * 60
-    own = pages.select(F.col("page_id").cast("long").alias("record_id"), "url", seconds.alias("ts"), digest.alias("digest"))
+    own = pages.select(
+        F.col("page_id").cast("long").alias("record_id"),
+        F.regexp_replace("url", F.lit("/[a-z]{2}/[0-9]+"), F.concat(F.lit("/"), (F.col("page_id") % 3).cast("string"))).alias("url"),
+        (F.col("page_id").cast("long") * 60).alias("ts"),
+        F.md5(body.cast("binary")).alias("digest"),
+    )
     stamp = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd HH:mm:ss")
-    head = F.substring("digest", 1, 1)
-    made = stamp(F.col("ts") - F.col("ts") % 86400)
+    digit = lambda i: F.substring("digest", i, 1)
+    made = stamp(F.col("ts") - F.col("ts") % 3600)
+    tag = F.when(~digit(1).isin("3", "4"), F.col("digest"))
+    dated = F.when(~digit(3).isin("0", "1", "2"), made)
+    no_tag = F.map_filter(F.create_map(F.lit("ETag"), tag), lambda _, v: v.isNotNull())
     response = F.struct(
-        F.lit("response").alias("kind"), F.col("ts").alias("ts"), F.lit(200).alias("status"), F.col("digest").alias("etag"), made.alias("last_modified"),
-        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), F.col("digest"), F.lit("Date"), stamp(F.col("ts")), F.lit("Server"), F.lit("origin"), F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"),
+        F.lit("response").alias("kind"), F.col("ts").alias("ts"), F.when(digit(2).isin("0", "1"), 404).otherwise(200).alias("status"), tag.alias("etag"), dated.alias("last_modified"),
+        F.map_concat(F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), stamp(F.col("ts")), F.lit("Server"), F.lit("origin"), F.lit("Cache-Control"), F.lit("max-age=60")), no_tag).alias("headers"),
     )
-    again = F.col("ts") + 7 * 86400
-    tag = F.when(head == "0", F.reverse("digest")).when(head == "1", F.lit(None)).when(head == "2", F.concat(F.lit("W/"), "digest")).otherwise(F.col("digest"))
+    again = F.col("ts") + 30 + 60 * (F.col("record_id") * 7919 % 331)
+    asked = F.when(digit(1) == "0", F.reverse("digest")).when(digit(1) == "1", F.lit(None)).when(digit(1) == "2", F.concat(F.lit("W/"), "digest")).otherwise(F.col("digest"))
     revisit = F.struct(
-        F.lit("revisit").alias("kind"), again.alias("ts"), F.lit(304).alias("status"), tag.alias("etag"), made.alias("last_modified"),
+        F.lit("revisit").alias("kind"), again.alias("ts"), F.lit(304).alias("status"), asked.alias("etag"), F.when(~digit(3).isin("0", "5"), made).alias("last_modified"),
         F.create_map(F.lit("date"), stamp(again), F.lit("server"), F.lit("edge"), F.lit("cache-control"), F.lit("max-age=3600"), F.lit("content-length"), F.lit("0")).alias("headers"),
     )
     return own.select("record_id", "url", F.explode(F.array(response, revisit)).alias("r")).select("record_id", "url", "r.*")
