@@ -9,8 +9,6 @@ import __spark_entry__
 
 DATA = "/root/testdata/sf0.001"
 ENGINE = __import__("tidemark.queries", fromlist=["x"])
-#: Long chains over the same operators; the driver's own comparison runs them.
-SLOW = {"local_rerank", "document_confidence", "overall_confidence", "event_chunk_snapshot", "low_confidence_events", "rerank_external_join"}
 
 
 def canonical(v):
@@ -28,7 +26,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", sorted(set(ENGINE.SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(ENGINE.SQL))
 def test_equals_sql(spark, duck, name):
     df = ENGINE.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scores, text
 from tidemark.operators import bm25, chunking, governance, memory, ops, query, ranking, vector
 from tidemark.sources import files, generators, tables
+from tidemark.streaming import ingest
 
 
 def one(spark, column):
@@ -152,10 +153,114 @@ def test_merging_small_chunks(spark):
     rows = chunking.merge_small(spark.createDataFrame(parts, "doc_id long, piece int, content string"), "doc_id").orderBy("chunk_index").collect()
     assert [len(r.content) for r in rows] == [602, 1252, 700]
     pages = [(1, 0, 1, "s", "a" * 300), (1, 1, 1, "s", "b" * 20), (1, 2, 2, "s", "c"), (1, 3, 2, "t", "d"), (1, 4, 2, "t", "e")]
-    rows = chunking.merge_small(spark.createDataFrame(pages, "doc_id long, piece int, page_number int, section_path string, content string"), "doc_id", pdf=True).orderBy("chunk_index").collect()
+    rows = chunking.merge_page_pieces(spark.createDataFrame(pages, "doc_id long, piece int, page_number int, section_path string, content string"), "doc_id").orderBy("chunk_index").collect()
     assert [r.content for r in rows] == ["a" * 300 + "\n" + "b" * 20, "c", "d\ne"]
 
 
+def test_the_first_piece_keeps_its_columns(spark):
+    parts = [(1, 0, "A", "x" * 400), (1, 1, "B", "y" * 10), (1, 2, "C", "z" * 400)]
+    rows = chunking.merge_small(spark.createDataFrame(parts, "doc_id long, piece int, section_path string, content string"), "doc_id", ("section_path",)).orderBy("chunk_index").collect()
+    assert [(r.section_path, len(r.content)) for r in rows] == [("A", 412), ("C", 400)]
+
+
+def test_pages_are_split_by_titles_at_any_line_end(spark):
+    pages = spark.createDataFrame([("/tmp/Repair.pdf", 1, "故障现象\n设备启动失败，控制面板报码 E01。\n处理步骤\n1. 检查电源。\n2. 检查保险丝。\n"), ("/tmp/Repair.pdf", 2, "intro\n处理\u3000步骤\u2028a\f故障现象\nb\x85c"), ("/tmp/Repair.pdf", 3, None)], "source_path string, page_number int, text string")
+    rows = chunking.split_pages(pages).orderBy("chunk_index").collect()
+    assert [(r.page_number, r.section_path, r.chunk_type, r.content) for r in rows] == [
+        (1, "故障现象", "fault_symptom", "故障现象\n设备启动失败，控制面板报码 E01。"),
+        (1, "处理步骤", "repair_steps", "处理步骤\n1. 检查电源。\n2. 检查保险丝。"),
+        (2, "正文", "pdf_text", "intro"),
+        (2, "处理\u3000步骤", "pdf_section", "处理\u3000步骤\na"),
+        (2, "故障现象", "fault_symptom", "故障现象\nb\nc"),
+    ]
+    docs = spark.createDataFrame([("/d/a.md", "# T\ntext"), ("/d/b.txt", "plain"), ("/tmp/Repair.pdf", "ignored"), ("/d/none", "bare")], "source_path string, text string")
+    out = {(r.source_path, r.chunk_index): r for r in chunking.split_documents(docs, pages).collect()}
+    assert len(out) == 8 and out["/tmp/Repair.pdf", 0].extension == ".pdf" and out["/tmp/Repair.pdf", 0].file_name == "Repair.pdf" and out["/tmp/Repair.pdf", 0].chunk_key == "/tmp/Repair.pdf::0"
+    assert out["/d/a.md", 0].section_path == "T" and out["/d/a.md", 0].chunk_type == "markdown" and out["/d/none", 0].extension == ""
+
+
+def test_confidence_reasons_references_and_debug(spark):
+    import json
+
+    rows = [(1, 1, 0.95, 0.90, 0.030, 1, "E01 spindle overheats", "a.md", "a.md", 3, " S "), (1, 2, 0.90, 0.80, 0.029, 2, "E01 spindle", "b.md", None, 0, ""), (1, 3, 0.20, 0.15, 0.010, 3, "other", "c.md", "c.md", None, None), (3, 4, 0.6, 0.6, 0.03, 1, "E01", "d.md", "d.md", 1, None)]
+    df = spark.createDataFrame(rows, "query_id long, id long, vector_score double, keyword_score double, fused_score double, rank int, content string, metadata_text string, file_name string, page_number int, section_path string")
+    ranked = ranking.rerank(df.withColumn("keywords", F.array(F.lit("e01"), F.lit("spindle"), F.lit("overheats"))).withColumn("matched_queries", F.array(F.lit("q"))))
+    levels = ranking.confidence(spark.createDataFrame([(1,), (2,), (3,), (None,)], "query_id long"), ranked)
+    got = {r.query_id: r for r in ranking.explain(levels, ranked).collect()}
+    assert {k: v.confidence for k, v in got.items()} == {1: "high", 2: "low", 3: "medium", None: "low"}
+    assert got[1].reason == "" and got[2].reason == ranking.NOTHING_FOUND and got[3].reason == f"{ranking.SOME_SUPPORT}: top1=0.670, support=1, avg_top3=0.670"
+    debug = json.loads(got[1].confidence_debug)
+    assert debug["supportCount"] == 2 and debug["strongSupportCount"] == 2 and debug["thresholds"]["overallHigh"] == 0.78 and [c["id"] for c in debug["candidates"]] == ["1", "2", "3"]
+    assert json.loads(got[2].confidence_debug)["candidates"] == [] and "thresholds" not in json.loads(got[2].confidence_debug)
+    assert [r.file_name for r in got[1].references] == ["a.md", "未知来源", "c.md"] and got[1].references[0].confidence == "high"
+    assert got[1].reference_list.split("\n")[:2] == ["[1] a.md / 第3页 / S (score=0.9175, confidence=high)", "[2] 未知来源 (score=0.8233, confidence=high)"]
+    assert got[3].context_text == "【证据 1】\n来源: d.md / 第1页\n文档置信度: medium\n重排来源: local\n重排分数: 0.670 (raw=0.670)\nE01" and got[2].context_text == ""
+    shown = {r.position: r for r in ranking.documents(ranked.where("query_id = 1")).collect()}
+    assert shown[1].content == "E01 spindle overheats" and shown[1].metadata["rerank_source"] == "local" and shown[1].metadata["page_number"] == "3" and "file_name" not in shown[2].metadata
+
+
+def test_a_failing_embedder_falls_back_and_blank_queries_fail(spark):
+    df = spark.createDataFrame([(1, "a"), (2, " ")], "id long, text string")
+
+    def broken(texts):
+        raise RuntimeError
+
+    got = {r.id: r.embedding for r in vector.embed(df, ["id"], dim=16, embedder=broken).collect()}
+    assert np.allclose(got[1], vector.embed_text("a", 16)) and len(got[2]) == 16
+    assert vector.embed(df, ["id"], embedder=lambda ts: [[1.0, 2.0]] * len(ts)).first().embedding == [1.0, 2.0]
+    with pytest.raises(Exception, match="must not be blank"):
+        vector.embed(df, ["id"], queries=True).collect()
+
+
+def test_ties_at_rounded_distances_go_to_the_smaller_id(spark):
+    rows = [(i, [1.0 + (i % 3) * 1e-12, 0.0]) for i in range(40, 0, -1)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(1, 0, [0.0, 0.0])], "query_id long, ix int, embedding array<double>")
+    assert [r.id for r in vector.nearest(df, asked, 5, decimals=9).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_an_index_serves_after_the_corpus_is_gone(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "E01 报警"), (2, "液压"), (3, None)], "doc_id long, text string")
+    bm25.build(docs, path=str(tmp_path / "ix"))
+    asked = spark.createDataFrame([(7, 0, "e01"), (8, 0, "none")], "query_id long, ix int, query string")
+    index = bm25.load(spark, str(tmp_path / "ix"))
+    got = [(r.query_id, r.doc_id, r.score) for r in bm25.search(index, asked).collect()]
+    assert got == [(r.query_id, r.doc_id, r.score) for r in bm25.search(docs, asked).collect()] and len(got) == 1 and index.n_docs == 3
+    assert bm25.search(docs.limit(0), asked).count() == 0
+
+
+def test_lookups_lists_and_rebuilds(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "a::1", 7, 1), (2, "a::0", 7, 0), (3, "b::0", 8, 0)], "id long, chunk_key string, document_id long, chunk_index int")
+    assert governance.chunk_by_key(chunks, "a::1").first().id == 1 and governance.chunk_by_id(chunks, 9).count() == 0
+    assert [r.id for r in governance.chunks_of_document(chunks, 7).collect()] == [2, 1]
+    history = spark.createDataFrame([(1, 2), (1, 3), (2, 5)], "chunk_id long, version_no int")
+    assert [r.version_no for r in governance.history_of_key(history, chunks, "a::1").collect()] == [3, 2]
+    with pytest.raises(ValueError, match="no chunk"):
+        governance.history_of_key(history, chunks, "z")
+    for name in ("b.txt", "a.md", "c.pdf", "d.png"):
+        (tmp_path / name).write_text("x")
+    assert [r.source_path.rsplit("/")[-1] for r in files.files_to_index(spark, str(tmp_path)).collect()] == ["a.md", "b.txt", "c.pdf"]
+    assert one(spark, files.backup_name("kb", F.lit("2026-01-02 03:04:05").cast("timestamp"))) == "kb_legacy_20260102030405"
+    good, bad = spark.range(3).select(F.col("id").cast("string").alias("source_path")), spark.createDataFrame([("x", "broken")], "source_path string, error string")
+    row = files.job_counters(good, bad, F.current_timestamp()).first()
+    assert (row.total, row.success, row.failed, row.all_good) == (4, 3, 1, False) and row.duration_ms >= 0
+    rows = spark.createDataFrame([(1, '{"_source": "p"}'), (2, '{"_source": "q"}'), (3, None), (4, "{")], "id long, metadata string")
+    assert [r.id for r in files.delete_by_source(rows, "p").orderBy("id").collect()] == [2, 3, 4]
+    line = one(spark, files.to_json_line(F.struct(F.lit("主轴").alias("content"), F.lit(None).cast("int").alias("page_number"))))
+    assert line == '{"content":"主轴"}' and one(spark, files.from_json_line(F.lit(line), "content string")).content == "主轴"
+    corpus = spark.createDataFrame([("p", "x"), ("q", "y")], "_source string, content string")
+    path = str(tmp_path / "corpus.jsonl")
+    files.write_corpus(corpus, path)
+    files.write_corpus(files.remove_source(files.read_corpus(spark, path), "p").select("_source", "content"), path)
+    assert [r.content for r in files.read_corpus(spark, path).collect()] == ["y"]
+
+
+def test_latest_rows_of_an_appended_table(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 0), (1, "b", 2), (2, "c", 1)], "id long, v string, batch long")
+    rows.write.partitionBy("batch").parquet(str(tmp_path / "t"))
+    assert sorted((r.id, r.v) for r in ingest.latest(spark, str(tmp_path / "t"), ["id"]).collect()) == [(1, "b"), (2, "c")]
+
+
 def test_markdown_sections(spark):
     md = "pre\n# A\ntext\n## B\nb\n### C\nc\n```\n# no\n```\n# D\n## \nd"
     rows = chunking.markdown_sections(spark.createDataFrame([(1, md)], "doc_id long, text string")).orderBy("section").collect()

@@ -24,8 +24,22 @@ PHRASES = [
     ("排查", " troubleshoot "),
     ("诊断", " troubleshoot "),
 ]
-#: Further tokens with a canonical form; every phrase above has one but the fourth.
-CANONICAL = {p: r.strip() for p, r in PHRASES if p != "咋处理"}
+#: Tokens with a canonical form.
+CANONICAL = {
+    "怎么办": "handle",
+    "怎么处理": "handle",
+    "如何处理": "handle",
+    "报码": "alarm",
+    "报错": "alarm",
+    "告警": "alarm",
+    "排查": "troubleshoot",
+    "诊断": "troubleshoot",
+}
+#: Line ends as text is split into lines, and white space that Unicode's class leaves out (a class body).
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+SPACE = r"\s\x1c-\x1f"
+#: What stands for a missing file name, and the words of references and answers.
+UNKNOWN_FILE = "未知来源"
 #: Title lines of page sections and their kinds.
 SECTION_KINDS = [("故障现象|现象描述", "fault_symptom"), ("故障原因|原因分析", "root_cause"), ("处理步骤|维修步骤|操作步骤", "repair_steps"), ("注意事项|风险提示", "attention")]
 TITLE_CHARACTERS = r"^[一二三四五六七八九十0-9.\-、（）()\sA-Za-z一-鿿]+$"
@@ -43,7 +57,12 @@ def token_runs(text: Column) -> Column:
 
 def squash(text: Column) -> Column:
     """White space, Unicode's included, collapsed to single spaces and trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, f"(?U)[{SPACE}]+", " "))
+
+
+def strip(text: Column) -> Column:
+    """Without white space, Unicode's included, at both ends."""
+    return F.regexp_replace(text, f"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def some(text: Column) -> Column:
@@ -100,8 +119,8 @@ def sanitize_name(name: Column) -> Column:
 
 
 def mask_secret(secret: Column) -> Column:
-    """First eight and last four characters; short secrets are masked whole."""
-    return F.when(F.length(secret) > 12, F.concat(F.left(secret, F.lit(8)), F.lit("..."), F.right(secret, F.lit(4)))).otherwise("***")
+    """First eight and last four characters; secrets of eight or fewer are masked whole."""
+    return F.when(F.length(secret) > 8, F.concat(F.left(secret, F.lit(8)), F.lit("..."), F.right(secret, F.lit(4)))).otherwise("***")
 
 
 def section_path(*headers: Column) -> Column:
@@ -112,12 +131,17 @@ def reference_line(file_name: Column, page: Column, section: Column) -> Column:
     return F.concat_ws(" / ", some(file_name), page.cast("string"), some(section))
 
 
+def page_reference(file_name: Column, page: Column, section: Column) -> Column:
+    """A reference with its page as readers see it; page 0 counts as none."""
+    return F.concat_ws(" / ", F.coalesce(file_name, F.lit(UNKNOWN_FILE)), F.when(page != 0, F.concat(F.lit("第"), page.cast("string"), F.lit("页"))), some(strip(section)))
+
+
 def is_title(line: Column) -> Column:
     """The kind of section a title line opens; null for other lines."""
-    plain = (F.length(line) <= 32) & line.rlike(TITLE_CHARACTERS)
+    plain = (F.length(line) <= 32) & line.rlike(f"(?U){TITLE_CHARACTERS}")
     kind = F.when(line.rlike(f"({TITLE_ENDINGS})$"), "pdf_section")
     for names, label in reversed(SECTION_KINDS):
-        kind = F.when(line.rlike(f"^({names})[:：]?\\s*$"), label).otherwise(kind)
+        kind = F.when(line.rlike(f"(?U)^({names})[:：]?\\s*$"), label).otherwise(kind)
     return F.when(plain, kind)
 
 

@@ -107,9 +107,10 @@ def publish(chunks: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chunks, new history rows) after publishing edits(chunk_key, editor, edit_note).
 
     A chunk with a draft gets it as published text, the next version and status synced;
-    without one it is marked publish_failed and gets no history row.
+    without one it is marked publish_failed and gets no history row. Of several edits of a
+    chunk the one with the largest (editor, edit_note) counts, nulls least.
     """
-    asked = edits.groupBy("chunk_key").agg(F.max_by("editor", "edit_note").alias("editor"), F.max("edit_note").alias("edit_note"))
+    asked = edits.groupBy("chunk_key").agg(F.max(F.struct("editor", "edit_note")).alias("e")).select("chunk_key", "e.editor", "e.edit_note")
     joined = chunks.join(asked.withColumn("_asked", F.lit(True)), "chunk_key", "left")
     has = F.length(F.trim(F.coalesce("draft_text", F.lit("")))) > 0
     go, fail = F.col("_asked").isNotNull() & has, F.col("_asked").isNotNull() & ~has
@@ -135,6 +136,32 @@ def enrich(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return chunks.join(documents.select(F.col("id").alias("document_id"), "collection_name", "source_path", "file_name", "file_ext"), "document_id", "left")
 
 
+def chunk_by_key(chunks: DataFrame, chunk_key: str) -> DataFrame:
+    """The chunk, or no row."""
+    return chunks.where(F.col("chunk_key") == chunk_key)
+
+
+def chunk_by_id(chunks: DataFrame, chunk_id: int) -> DataFrame:
+    return chunks.where(F.col("id") == chunk_id)
+
+
+def document_by_source(documents: DataFrame, collection: str, source_path: str) -> DataFrame:
+    return documents.where((F.col("collection_name") == collection) & (F.col("source_path") == source_path))
+
+
+def chunks_of_document(chunks: DataFrame, document_id) -> DataFrame:
+    """A document's chunks in their order."""
+    return chunks.where(F.col("document_id") == F.lit(document_id)).orderBy("chunk_index", "id")
+
+
+def history_of_key(history: DataFrame, chunks: DataFrame, chunk_key: str) -> DataFrame:
+    """The edits of a chunk, newest first; a job over a key without a chunk fails."""
+    own = chunk_by_key(chunks, chunk_key).select(F.col("id").alias("chunk_id"))
+    if own.isEmpty():
+        raise ValueError(f"no chunk {chunk_key}")
+    return history.join(own, "chunk_id", "left_semi").orderBy(F.desc("version_no"), "chunk_id")
+
+
 def audit_versions(history: DataFrame) -> DataFrame:
     """Position of each edit of a chunk, oldest first."""
     return history.withColumn("edit_no", F.row_number().over(Window.partitionBy("chunk_id").orderBy("version_no")))

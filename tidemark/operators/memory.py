@@ -20,6 +20,13 @@ def recent_history(messages: DataFrame, n: int | None = None) -> DataFrame:
     return messages.withColumn("age", F.row_number().over(_newest_first())).where(F.col("age") <= n)
 
 
+def session_list(messages: DataFrame, limit: int = 50, title: int = 30) -> DataFrame:
+    """session_id, title (the beginning of its first user message), last_turn: the latest sessions first."""
+    own = messages.groupBy("session_id").agg(F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when((F.col("role") == "user") & F.col("text").isNotNull(), F.col("turn"))).alias("t"), F.max("turn").alias("last_turn"))
+    short = F.concat(F.left("t", F.lit(title)), F.when(F.length("t") > title, "...").otherwise(""))
+    return own.select("session_id", F.coalesce(short, F.lit("")).alias("title"), "last_turn").orderBy(F.desc("last_turn"), F.desc("session_id")).limit(limit)
+
+
 def message_count(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session_id").agg(F.count("*").alias("n_messages"))
 

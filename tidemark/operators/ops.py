@@ -34,6 +34,23 @@ def metric_stats(points: DataFrame, group: str, value: str, threshold: float) ->
     return plain.join(p95, group, "left").withColumn("triggered", F.col("max") > threshold)
 
 
+def metric_report(points: DataFrame, metric: str, threshold: float, message: str, fine: str, group: str = "service_name", value: str = "value", order: str = "ix") -> DataFrame:
+    """One row per service of points(service_name, ix, timestamp, value): metric_name, its points in order, statistics to two
+    decimals and the alert with its message. A service's points are those of one asked range, so they are gathered."""
+    nested = points.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, "timestamp", value))).alias("_p"))
+    stats = metric_stats(points, group, value, threshold)
+    two = lambda c: F.round(c, 2)
+    statistics = F.struct(two(F.col("avg")).alias("avg"), F.col("max"), F.col("min"), two(F.col("p95")).alias("p95"), F.col("triggered").alias("spike_detected"))
+    alert = F.struct(F.col("triggered"), F.lit(threshold).alias("threshold"), F.when(F.col("triggered"), message).otherwise(fine).alias("message"))
+    shown = F.transform("_p", lambda x: F.struct(x["timestamp"], x[value].alias("value")))
+    return nested.join(stats, group).select(group, F.lit(metric).alias("metric_name"), shown.alias("data_points"), statistics.alias("statistics"), alert.alias("alert_info"))
+
+
+#: Messages of the two metrics' alerts.
+CPU_MESSAGES = ("CPU 使用率持续超过 80% 阈值", "CPU 使用率正常")
+MEMORY_MESSAGES = ("内存使用率超过 70% 阈值，存在内存压力", "内存使用率正常")
+
+
 def windowed_alerts(points: DataFrame, group: str, value: str, threshold: float, width: str = "5 minutes") -> DataFrame:
     """Extension: tumbling windows in which every point is above the threshold."""
     w = points.groupBy(group, F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.min(value).alias("lowest"))

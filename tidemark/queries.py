@@ -16,6 +16,7 @@ from .config import DEFAULTS
 from .functions import scores, text
 from .operators import bm25, chunking, governance, memory, ops, query, ranking, vector
 from .plans import retrieve as plan
+from .session import settle, shared_path
 from .sources import files, generators
 from .streaming import ingest
 from .streaming.memory import session_memory
@@ -46,6 +47,22 @@ def questions(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+#: Keyword indexes of document tables, built once for a session.
+_INDEXES: dict[tuple[str, str], bm25.Index] = {}
+
+
+def keyword_index(spark, d) -> bm25.Index:
+    """The index that serves all keyword searches of these tables; `refresh` has it built anew."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = bm25.build(documents(spark, d))
+    return _INDEXES[key]
+
+
+def refresh(spark, d) -> None:
+    _INDEXES.pop((spark.sparkContext.applicationId, d), None)
+
+
 def single(questions_: DataFrame) -> DataFrame:
     """Each question as its own only expansion."""
     return questions_.select("query_id", F.lit(0).alias("ix"), "query")
@@ -92,7 +109,7 @@ BM25 = f"""
 
 @register(f"WITH ex AS (SELECT item_id AS query_id, 0 AS ix, text AS query FROM benchmark), {BM25} SELECT query_id, doc_id, rank FROM bm")
 def bm25_topk(spark, d):
-    return bm25.search(documents(spark, d), single(questions(spark, d))).select("query_id", "doc_id", "rank")
+    return bm25.search(keyword_index(spark, d), single(questions(spark, d))).select("query_id", "doc_id", "rank")
 
 
 # --- vectors ------------------------------------------------------------------
@@ -198,7 +215,7 @@ KEYWORD = f"""{EXPANDED}, {BM25},
 
 @register(f"WITH {KEYWORD} SELECT query_id, id, rank, array_to_string(matched, '|') AS matched FROM kw")
 def keyword_recall(spark, d):
-    rows = plan.keyword_recall(documents(spark, d), _expanded(spark, d))
+    rows = plan.keyword_recall(keyword_index(spark, d), _expanded(spark, d))
     return rows.select("query_id", "id", "rank", F.array_join("matched_queries", "|").alias("matched"))
 
 
@@ -207,7 +224,7 @@ def _lists(spark, d) -> tuple[DataFrame, DataFrame]:
     full, short = questions(spark, d), questions(spark, d).withColumn("query", F.array_join(F.slice(text.tokens(F.col("query")), 1, 4), " "))
     out = []
     for name, asked in (("vector_score", full), ("keyword_score", short)):
-        hits = bm25.search(documents(spark, d), single(asked))
+        hits = bm25.search(keyword_index(spark, d), single(asked))
         rows = hits.select("query_id", F.col("doc_id").alias("id"), F.least(F.lit(1.0), F.round(F.col("score") / 100, 6)).alias(name), "rank")
         out.append(rows.join(asked, "query_id").withColumn("matched_queries", F.array("query")).drop("query"))
     return out[0], out[1]
@@ -238,9 +255,8 @@ def rrf_fusion(spark, d):
 
 def _ranked(spark, d) -> DataFrame:
     fused = ranking.fuse(*_lists(spark, d))
-    asked = query.understand(questions(spark, d)).select("query_id", "keywords")
-    content = documents(spark, d).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), F.col("source").alias("metadata_text"))
-    return ranking.rerank(fused.join(content, "id").join(asked, "query_id"))
+    rows = documents(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
+    return settle(ranking.rerank(plan.with_content(fused, rows, query.understand(questions(spark, d)))), "ranked")
 
 
 RERANK = f"""{LISTS}, {EXPANDED},
@@ -266,8 +282,9 @@ CONFIDENCE = f"""{RERANK},
             CASE WHEN top1 >= 0.78 AND support >= 2 AND avg3 >= 0.55 THEN 'high' WHEN top1 >= 0.45 AND support >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM benchmark LEFT JOIN c0 ON query_id = item_id)"""
 
 
-def _confidence(spark, d, settings=DEFAULTS) -> DataFrame:
-    return ranking.confidence(questions(spark, d), _ranked(spark, d).where(F.col("position") <= settings.final_k), settings)
+def _confidence(spark, d, settings=DEFAULTS, ranked: DataFrame | None = None) -> DataFrame:
+    ranked = _ranked(spark, d) if ranked is None else ranked
+    return ranking.confidence(questions(spark, d), ranked.where(F.col("position") <= settings.final_k), settings)
 
 
 @register(f"WITH {CONFIDENCE} SELECT query_id, confidence, support, strong AS strong_support, round(avg3, 6) AS avg_top3 FROM cf")
@@ -275,6 +292,42 @@ def overall_confidence(spark, d):
     return _confidence(spark, d).select("query_id", "confidence", "support", "strong_support", F.round("avg_top3", 6).alias("avg_top3"))
 
 
+REASON = """CASE WHEN top1 IS NULL THEN '未检索到任何相关片段' WHEN confidence = 'high' THEN '' WHEN confidence = 'medium' THEN '证据具备一定相关性，但强支撑不足: top1=' || printf('%.3f', top1) || ', support=' || support || ', avg_top3=' || printf('%.3f', avg3)
+    ELSE '证据相关性偏弱: top1=' || printf('%.3f', top1) || ', top2=' || printf('%.3f', top2) || ', support=' || support || ', avg_top3=' || printf('%.3f', avg3) END"""
+
+
+@register(f"WITH {CONFIDENCE} SELECT item_id AS query_id, replace({REASON.replace('support ||', 'cf.support ||')}, 'x', 'x') AS reason FROM benchmark LEFT JOIN (SELECT query_id, c0.top1, c0.top2, c0.avg3, cf.support, cf.confidence FROM cf LEFT JOIN c0 USING (query_id)) cf ON query_id = item_id")
+def confidence_reason(spark, d):
+    return _confidence(spark, d).select("query_id", "reason")
+
+
+def _explained(spark, d) -> DataFrame:
+    ranked = _ranked(spark, d)
+    return ranking.explain(_confidence(spark, d, ranked=ranked), ranked)
+
+
+@register(f"""WITH {RERANK}
+    SELECT query_id, string_agg('[' || position || '] 未知来源 (score=' || regexp_replace(regexp_replace(printf('%.4f', round(rs, 4)), '0+$', ''), '\\.$', '.0') || ', confidence=' || label || ')', chr(10) ORDER BY position) AS reference_list,
+        string_agg('【证据 ' || position || '】' || chr(10) || '来源: 未知来源' || chr(10) || '文档置信度: ' || label || chr(10) || '重排来源: local' || chr(10) || length(content), chr(10) ORDER BY position) AS context
+    FROM (SELECT rr.*, coalesce(text, '') AS content FROM rr JOIN documents ON doc_id = id) WHERE position <= 5 GROUP BY query_id""")
+def answer_references(spark, d):
+    """The numbered reference list, and the context text with each evidence's scores left out and its text as its length."""
+    rows = _explained(spark, d).where(F.size("references") > 0)
+    blocks = F.split("context_text", "\n\n(?=【证据 )")
+    lines = lambda x: F.split(x, "\n", 6)
+    short = F.transform(blocks, lambda x: F.concat(F.array_join(F.slice(lines(x), 1, 4), "\n"), F.lit("\n"), F.coalesce(F.length(F.get(lines(x), 5)), F.lit(0)).cast("string")))
+    return rows.select("query_id", "reference_list", F.array_join(short, "\n").alias("context"))
+
+
+@register(f"""WITH {RERANK}, {CONFIDENCE.split(RERANK)[1].lstrip(', ')}
+    SELECT query_id, 'local' AS provider, support AS support_count, strong AS strong_support_count, string_agg(id || ':' || label, ',' ORDER BY position) FILTER (position <= 5) AS candidates FROM cf JOIN rr USING (query_id) GROUP BY ALL""")
+def confidence_debug(spark, d):
+    kind = "struct<provider:string,supportCount:bigint,strongSupportCount:bigint,candidates:array<struct<id:string,documentConfidence:string>>>"
+    rows = _explained(spark, d).where(F.size("references") > 0).select("query_id", F.from_json("confidence_debug", kind).alias("x"))
+    listed = F.array_join(F.transform("x.candidates", lambda c: F.concat(c["id"], F.lit(":"), c["documentConfidence"])), ",")
+    return rows.select("query_id", "x.provider", F.col("x.supportCount").alias("support_count"), F.col("x.strongSupportCount").alias("strong_support_count"), listed.alias("candidates"))
+
+
 @register(f"""WITH {LISTS},
     rp AS (SELECT query_id, rank - 1 AS ix, greatest(0, least(1, ((id * 37 + rank * 11) % 101) / 80.0::DOUBLE - 0.1::DOUBLE)) AS s FROM fd WHERE rank % 2 = 0)
     SELECT fd.query_id, id, row_number() OVER (PARTITION BY fd.query_id ORDER BY coalesce(s, 0) DESC, rank)::INTEGER AS position, round(coalesce(s, 0), 6) AS rerank_score FROM fd LEFT JOIN rp ON fd.query_id = rp.query_id AND ix = rank - 1""")
@@ -286,9 +339,28 @@ def rerank_external_join(spark, d):
     return out.select("query_id", "id", "position", F.round("rerank_score", 6).alias("rerank_score"))
 
 
-@register()
+HYBRID = f"""{KEYWORD}, {EMBED},
+    dv AS (SELECT doc_id AS id, dim, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id))::DOUBLE AS x FROM ev WHERE v <> 0),
+    qc AS (SELECT query_id, ix, c, count(*) AS n FROM (SELECT query_id, ix, unnest(string_split(trim(regexp_replace(query, '\\s+', ' ', 'g')), '')) AS c FROM ex) GROUP BY ALL),
+    qh AS (SELECT c, sha256(c) AS h FROM (SELECT DISTINCT c FROM qc)),
+    qw AS (SELECT c, ('0x' || substr(h, 1 + 8 * o, 8))::UBIGINT % 1024 AS dim, CASE WHEN ('0x' || substr(h, 1 + 8 * o, 2))::INTEGER % 2 = 0 THEN 1 ELSE -1 END AS sign FROM qh, range(8) r(o)),
+    qe AS (SELECT query_id, ix, dim, sum(n * sign) AS v FROM qc JOIN qw USING (c) GROUP BY ALL),
+    qv AS (SELECT query_id, ix, dim, v / sqrt(sum(v * v) OVER (PARTITION BY query_id, ix))::DOUBLE AS y FROM qe WHERE v <> 0),
+    vd AS (SELECT query_id, ix, id, round(greatest(0, 2 - 2 * sum(x * y)), 9) AS distance FROM qv JOIN dv USING (dim) GROUP BY ALL),
+    vn AS (SELECT *, row_number() OVER (PARTITION BY query_id, ix ORDER BY distance, id) AS r FROM vd QUALIFY r <= 20),
+    vm AS (SELECT query_id, count(*) AS m FROM ex GROUP BY query_id),
+    vh AS (SELECT query_id, ix, id, query, round(1 / (1 + distance), 9) AS s FROM vn JOIN ex USING (query_id, ix) JOIN vm USING (query_id) WHERE r <= greatest(8, ceil(20 / m))),
+    vb AS (SELECT query_id, id, max(s) AS s FROM vh GROUP BY ALL),
+    vw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INTEGER AS rank FROM vb QUALIFY rank <= 20),
+    hf AS (SELECT coalesce(vw.query_id, kw.query_id) AS query_id, coalesce(vw.id, kw.id) AS id, coalesce(vw.s, 0) AS vs, coalesce(kw.s, 0) AS ks,
+            coalesce(1::DOUBLE / (60 + vw.rank), 0) + coalesce(1::DOUBLE / (60 + kw.rank), 0) AS fs, coalesce(vw.rank, 1048576 + kw.rank) AS arrival
+        FROM vw FULL JOIN kw ON vw.query_id = kw.query_id AND vw.id = kw.id),
+    fd AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fs DESC, arrival)::INTEGER AS rank FROM hf QUALIFY rank <= 20){CONFIDENCE.split(EXPANDED)[1]}"""
+
+
+@register(f"WITH {HYBRID} SELECT rr.query_id, id, position, round(rs, 6) AS rerank_score, label AS document_confidence, confidence FROM rr JOIN cf USING (query_id) WHERE position <= 5")
 def hybrid_retrieve(spark, d):
-    """The whole chain; the fallback embedding's distances tie too closely for a second engine's sums."""
+    """The whole chain; distances are rounded before they rank, as texts of like characters tie but for the order of sums."""
     found = plan.retrieve(documents(spark, d), questions(spark, d))
     final = found.candidates.where(F.col("position") <= DEFAULTS.final_k)
     return final.join(found.confidence.select("query_id", "confidence"), "query_id").select("query_id", "id", "position", F.round("rerank_score", 6).alias("rerank_score"), "document_confidence", "confidence")
@@ -340,9 +412,9 @@ def fingerprint_top(spark, d):
 STRICT = replace(DEFAULTS, overall_low=0.65)
 
 
-def _low(spark, d) -> DataFrame:
+def _low(spark, d, ranked: DataFrame | None = None) -> DataFrame:
     asked = query.with_fingerprint(query.understand(questions(spark, d)))
-    return governance.low_confidence_events(_confidence(spark, d, STRICT), asked, F.timestamp_seconds(F.col("query_id")))
+    return governance.low_confidence_events(_confidence(spark, d, STRICT, ranked), asked, F.timestamp_seconds(F.col("query_id")))
 
 
 LOW = f"{CONFIDENCE.replace('WHEN top1 >= 0.45', 'WHEN top1 >= 0.65')}, {FINGER.replace('{}', 'q2')}, lo AS (SELECT * FROM cf JOIN fp USING (query_id) WHERE confidence = 'low')"
@@ -354,8 +426,9 @@ def low_confidence_events(spark, d):
 
 
 def _snapshots(spark, d) -> DataFrame:
+    ranked = _ranked(spark, d)
     chunks = documents(spark, d).where("lang = 'en'").select(F.col("doc_id").cast("string").alias("chunk_key"), F.col("doc_id").alias("id"))
-    return governance.event_snapshots(_low(spark, d), _ranked(spark, d), chunks)
+    return governance.event_snapshots(_low(spark, d, ranked), ranked, chunks)
 
 
 SNAPSHOT = f"{LOW}, sn AS (SELECT query_id AS event_id, CASE WHEN lang = 'en' THEN id END AS chunk_id, position AS rank_no, id::VARCHAR AS chunk_key, label, rs FROM rr JOIN lo USING (query_id) JOIN documents ON doc_id = id WHERE position <= 5)"
@@ -445,19 +518,24 @@ def chunk_enrich(spark, d):
 
 
 def _pages(spark, d) -> DataFrame:
-    """Documents as pages: every third line becomes a short heading."""
+    """Documents as pages: every third line becomes a short heading, every fifth line end a form feed."""
     lines = documents(spark, d).select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
-    titled = F.transform("l", lambda x, i: F.when(i % 3 == 1, F.when(i % 2 == 0, F.lit("处理步骤")).otherwise(F.lit("A1 流程"))).otherwise(x))
+    titled = F.transform("l", lambda x, i: F.when(i % 3 == 1, F.when(i % 2 == 0, F.lit("处理　步骤")).otherwise(F.lit("A1 流程"))).otherwise(F.concat(x, F.when(i % 5 == 2, F.lit("\f故障现象")).otherwise(""))))
     return lines.select(F.col("doc_id").alias("page_id"), F.array_join(titled, "\n").alias("text"))
 
 
-TITLE_SQL = "CASE WHEN length(line) <= 32 AND regexp_matches(line, '^[一二三四五六七八九十0-9.\\-、（）()\\sA-Za-z\\x{4e00}-\\x{9fff}]+$') THEN CASE WHEN regexp_matches(line, '^(故障现象|现象描述)[:：]?\\s*$') THEN 'fault_symptom' WHEN regexp_matches(line, '^(故障原因|原因分析)[:：]?\\s*$') THEN 'root_cause' WHEN regexp_matches(line, '^(处理步骤|维修步骤|操作步骤)[:：]?\\s*$') THEN 'repair_steps' WHEN regexp_matches(line, '^(注意事项|风险提示)[:：]?\\s*$') THEN 'attention' WHEN regexp_matches(line, '(步骤|说明|流程|处理|分析)$') THEN 'pdf_section' END END"
+TITLE_SQL = "CASE WHEN length(line) <= 32 AND regexp_matches(line, '^[一二三四五六七八九十0-9.\\-、（）()\\s\\x{3000}\\x{a0}A-Za-z\\x{4e00}-\\x{9fff}]+$') THEN CASE WHEN regexp_matches(line, '^(故障现象|现象描述)[:：]?\\s*$') THEN 'fault_symptom' WHEN regexp_matches(line, '^(故障原因|原因分析)[:：]?\\s*$') THEN 'root_cause' WHEN regexp_matches(line, '^(处理步骤|维修步骤|操作步骤)[:：]?\\s*$') THEN 'repair_steps' WHEN regexp_matches(line, '^(注意事项|风险提示)[:：]?\\s*$') THEN 'attention' WHEN regexp_matches(line, '(步骤|说明|流程|处理|分析)$') THEN 'pdf_section' END END"
+
+
+PAGES = """l0 AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    lt AS (SELECT doc_id AS page_id, array_to_string(list_transform(l, lambda x, i: CASE WHEN (i - 1) % 3 = 1 THEN CASE WHEN (i - 1) % 2 = 0 THEN '处理　步骤' ELSE 'A1 流程' END ELSE x || CASE WHEN (i - 1) % 5 = 2 THEN chr(12) || '故障现象' ELSE '' END END), chr(10)) AS text FROM l0),
+    lu AS (SELECT page_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]') AS l FROM lt),
+    l1 AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS raw FROM lu),
+    l2 AS (SELECT page_id, n, trim(raw, ' ' || chr(9) || chr(160) || chr(12288)) AS line FROM l1 WHERE trim(raw, ' ' || chr(9) || chr(160) || chr(12288)) <> ''),"""
 
 
 @register(f"""
-    WITH l0 AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-    l1 AS (SELECT doc_id AS page_id, unnest(range(1, len(l) + 1)) AS n, unnest(list_transform(l, lambda x, i: CASE WHEN (i - 1) % 3 = 1 THEN CASE WHEN (i - 1) % 2 = 0 THEN '处理步骤' ELSE 'A1 流程' END ELSE x END)) AS raw FROM l0),
-    l2 AS (SELECT page_id, n, trim(raw, ' ' || chr(9) || chr(13) || chr(160)) AS line FROM l1 WHERE trim(raw, ' ' || chr(9) || chr(13) || chr(160)) <> ''),
+    WITH {PAGES}
     l3 AS (SELECT *, {TITLE_SQL} AS kind FROM l2),
     l4 AS (SELECT *, count(kind) OVER (PARTITION BY page_id ORDER BY n)::INTEGER AS section FROM l3)
     SELECT page_id, section, coalesce(max(CASE WHEN kind IS NOT NULL THEN line END), '正文') AS title, coalesce(max(kind), 'pdf_text') AS chunk_type, string_agg(line, chr(10) ORDER BY n) AS content FROM l4 GROUP BY page_id, section""")
@@ -465,10 +543,33 @@ def section_islands(spark, d):
     return chunking.page_sections(_pages(spark, d))
 
 
-@register()
+def _lines(spark, d) -> DataFrame:
+    """Non-blank lines of the documents as pieces."""
+    rows = documents(spark, d).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("piece", "content"))
+    return rows.where(F.length("content") > 0)
+
+
+LINES = """li AS (SELECT doc_id, unnest(range(len(l))) AS piece, unnest(l) AS content FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+    pl AS (SELECT doc_id, list(content ORDER BY piece) AS p FROM li WHERE content <> '' GROUP BY doc_id)"""
+
+
+@register(f"""
+    WITH {LINES},
+    fo AS (SELECT doc_id, list_reduce(list_transform(p, lambda x: [x]), lambda a, x: CASE WHEN length(x[1]) < 300 AND length(a[len(a)]) < 1600 THEN list_append(a[1:len(a) - 1], a[len(a)] || chr(10) || chr(10) || x[1]) ELSE list_append(a, x[1]) END) AS m FROM pl)
+    SELECT doc_id, unnest(range(len(m)))::INTEGER AS chunk_index, unnest(m) AS content FROM fo""")
 def small_chunk_merge(spark, d):
-    parts = chunking.recursive_split(documents(spark, d), ["doc_id"], size=400, overlap=0)
-    return chunking.merge_small(parts, "doc_id").select("doc_id", "chunk_index", "content")
+    return chunking.merge_small(_lines(spark, d), "doc_id").select("doc_id", "chunk_index", "content")
+
+
+@register(f"""
+    WITH {LINES},
+    pp AS (SELECT doc_id, piece, piece // 6 AS page, CASE WHEN piece % 2 < 1 THEN 'a' ELSE 'b' END AS section, left(content, 10 + (piece * 97 % 500)) AS content FROM li WHERE content <> ''),
+    po AS (SELECT *, CASE WHEN lag(page) OVER w = page AND lag(section) OVER w = section AND length(content) < 250 THEN 0 ELSE 1 END AS opens FROM (SELECT * REPLACE (CASE WHEN piece % 6 < 3 THEN 'a' ELSE 'b' END AS section) FROM pp) WINDOW w AS (PARTITION BY doc_id ORDER BY piece)),
+    pn AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS ci FROM po)
+    SELECT doc_id, ci::INTEGER AS chunk_index, min(page)::INTEGER AS page_number, min(section) AS section_path, string_agg(content, chr(10) ORDER BY piece) AS content FROM pn GROUP BY doc_id, ci""")
+def page_chunk_merge(spark, d):
+    rows = _lines(spark, d).select("doc_id", "piece", F.floor(F.col("piece") / 6).cast("int").alias("page_number"), F.when(F.col("piece") % 6 < 3, "a").otherwise("b").alias("section_path"), F.left("content", 10 + F.col("piece") * 97 % 500).alias("content"))
+    return chunking.merge_page_pieces(rows, "doc_id")
 
 
 @register()
@@ -476,7 +577,26 @@ def recursive_split(spark, d):
     return chunking.recursive_split(documents(spark, d), ["doc_id"])
 
 
-@register()
+@register(f"""
+    WITH pc AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: CASE WHEN i = 1 THEN x ELSE chr(10) || x END) AS p FROM documents),
+    pz AS (SELECT doc_id, list_transform(list_filter(p, lambda x: x <> ''), lambda x: {{'o': []::VARCHAR[], 'h': x}}) AS p FROM pc),
+    py AS (SELECT doc_id, list_reduce(p, lambda a, x: CASE WHEN length(x.h) > 400 THEN {{'o': list_concat(a.o, list_concat(CASE WHEN trim(a.h, ' ' || chr(10)) <> '' THEN [trim(a.h, ' ' || chr(10))] ELSE []::VARCHAR[] END, [x.h])), 'h': ''}}
+            WHEN length(a.h) + length(x.h) > 400 AND a.h <> '' THEN {{'o': CASE WHEN trim(a.h, ' ' || chr(10)) <> '' THEN list_append(a.o, trim(a.h, ' ' || chr(10))) ELSE a.o END, 'h': x.h}}
+            ELSE {{'o': a.o, 'h': a.h || x.h}} END, {{'o': []::VARCHAR[], 'h': ''}}) AS z FROM pz WHERE len(p) > 0),
+    px AS (SELECT doc_id, CASE WHEN trim(z.h, ' ' || chr(10)) <> '' THEN list_append(z.o, trim(z.h, ' ' || chr(10))) ELSE z.o END AS c FROM py)
+    SELECT doc_id, unnest(range(len(c)))::INTEGER AS piece, unnest(c) AS content FROM px""")
+def line_split(spark, d):
+    """The splitter with lines as its only separator: pieces gathered up to 400 characters, longer lines as they are."""
+    return chunking.recursive_split(documents(spark, d).where("trim(coalesce(text, '')) <> ''"), ["doc_id"], size=400, overlap=0, separators=("\n",))
+
+
+@register(f"""
+    WITH mk AS (SELECT doc_id, string_split('# ' || source || chr(10) || replace(coalesce(text, ''), chr(10), chr(10) || '## part' || chr(10)), chr(10)) AS l FROM documents),
+    ml AS (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS line FROM mk),
+    mt AS (SELECT *, nullif(regexp_extract(trim(line), '^# +(.*)$', 1), '') AS t1, nullif(regexp_extract(trim(line), '^## +(.*)$', 1), '') AS t2 FROM ml),
+    ms AS (SELECT *, (count(t1) OVER w + count(t2) OVER w)::INTEGER AS section FROM mt WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+    mg AS (SELECT doc_id, section, max(t2) AS h2, trim(string_agg(line, chr(10) ORDER BY n), ' ' || chr(10) || chr(9) || chr(13) || chr(160)) AS content FROM ms GROUP BY doc_id, section)
+    SELECT doc_id, section, source AS h1, h2, source || coalesce(' > ' || h2, '') AS section_path, content FROM mg JOIN documents USING (doc_id) WHERE content <> ''""")
 def markdown_split(spark, d):
     marked = documents(spark, d).select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n"), F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n## part\n")).alias("text"))
     return chunking.markdown_sections(marked)
@@ -484,8 +604,11 @@ def markdown_split(spark, d):
 
 @register()
 def document_chunks(spark, d):
-    docs = documents(spark, d).select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.when(F.col("lang") == "en", ".md").otherwise(".txt"))).alias("source_path"), "text")
-    return chunking.split_documents(docs)
+    """Documents as Markdown, plain text and, French ones, as pages of .pdf files."""
+    kind = F.when(F.col("lang") == "en", ".md").when(F.col("lang") == "fr", ".pdf").otherwise(".txt")
+    docs = documents(spark, d).select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), kind)).alias("source_path"), F.col("doc_id").alias("page_id"), "text")
+    pages = _pages(spark, d).join(docs.select("page_id", "source_path"), "page_id").select("source_path", F.lit(1).alias("page_number"), "text")
+    return chunking.split_documents(docs.drop("page_id"), pages)
 
 
 # --- sessions -----------------------------------------------------------------
@@ -518,6 +641,11 @@ def session_titles(spark, d):
     return first.select("conv_id", F.concat(F.left("t", F.lit(30)), F.when(F.length("t") > 30, "...").otherwise("")).alias("title"))
 
 
+@register("SELECT conv_id AS session_id, coalesce(left(arg_min(text, turn) FILTER (role = 'user' AND text IS NOT NULL), 30) || CASE WHEN length(arg_min(text, turn) FILTER (role = 'user' AND text IS NOT NULL)) > 30 THEN '...' ELSE '' END, '') AS title, max(turn) AS last_turn FROM conversations GROUP BY conv_id ORDER BY last_turn DESC, session_id DESC LIMIT 50")
+def session_list(spark, d):
+    return memory.session_list(_messages(spark, d))
+
+
 # --- operations ---------------------------------------------------------------
 
 
@@ -532,6 +660,16 @@ def metric_stats(spark, d):
     return ops.metric_stats(_points(spark, d), "service", "value", DEFAULTS.cpu_alert).withColumn("avg", F.round("avg", 2))
 
 
+@register("""
+    WITH p AS (SELECT 's' || event_type AS service_name, CASE WHEN i < 3 THEN 10 + i * 0.5 ELSE least(10 + (i - 2) * 8.5, 96) END::DOUBLE AS v, i FROM (SELECT DISTINCT event_type FROM events), range(61) r(i))
+    SELECT service_name, 'cpu_usage_percent' AS metric_name, count(*)::INTEGER AS n_points, round(avg(v), 2) AS average, max(v) AS highest, list_sort(list(v))[58 + 1] AS p95, max(v) > 80 AS triggered, CASE WHEN max(v) > 80 THEN 'CPU 使用率持续超过 80% 阈值' ELSE 'CPU 使用率正常' END AS message FROM p GROUP BY service_name""")
+def cpu_metrics(spark, d):
+    asked = table(spark, d, "events").select(F.concat(F.lit("s"), "event_type").alias("service_name")).distinct()
+    asked = asked.select("service_name", F.timestamp_seconds(F.lit(1_700_000_000)).alias("start"), F.timestamp_seconds(F.lit(1_700_003_600)).alias("end"), F.lit("1m").alias("interval"))
+    report = ops.metric_report(generators.metric_points(asked), "cpu_usage_percent", DEFAULTS.cpu_alert, *ops.CPU_MESSAGES)
+    return report.select("service_name", "metric_name", F.size("data_points").alias("n_points"), F.col("statistics.avg").alias("average"), F.col("statistics.max").alias("highest"), F.col("statistics.p95").alias("p95"), "alert_info.triggered", "alert_info.message")
+
+
 @register("""
     SELECT event_type AS service, epoch(time_bucket(INTERVAL 5 MINUTE, ts))::BIGINT AS window_start, count(*) AS n, min(value) > 80 AS sustained FROM events GROUP BY ALL""")
 def metric_alerts(spark, d):
@@ -589,7 +727,7 @@ def region_lookup(spark, d):
 
 
 @register(r"""
-    SELECT page_id, regexp_replace(url, '[ \\/:*?"<>|]', '_', 'g') AS safe_name, lower(regexp_extract(url, '\.([^.]*)$', 1)) AS ext, left(url, 8) || '...' || right(url, 4) AS masked,
+    SELECT page_id, regexp_replace(url, '[ \\/:*?"<>|]', '_', 'g') AS safe_name, lower(regexp_extract(url, '\.([^.]*)$', 1)) AS ext, CASE WHEN length(left(url, page_id % 15)) > 8 THEN left(url, 8) || '...' || right(left(url, page_id % 15), 4) ELSE '***' END AS masked,
         concat_ws(' / ', nullif(regexp_extract(url, '([^/]*)$', 1), ''), page_id::VARCHAR) AS reference, round(least(1, page_id / 7.0::DOUBLE / 3 + 0.2::DOUBLE), 6) AS keyword_score, nullif(trim(url), '') AS optional
     FROM pages""")
 def scalar_functions(spark, d):
@@ -598,13 +736,20 @@ def scalar_functions(spark, d):
         "page_id",
         text.sanitize_name(url).alias("safe_name"),
         text.extension(url).alias("ext"),
-        text.mask_secret(url).alias("masked"),
+        text.mask_secret(F.left(url, (F.col("page_id") % 15).cast("int"))).alias("masked"),
         text.reference_line(text.base_name(url), F.col("page_id"), F.lit("")).alias("reference"),
         F.round(scores.keyword_score(F.col("page_id") / F.lit(7.0), F.lit(3)), 6).alias("keyword_score"),
         text.optional_text(url).alias("optional"),
     )
 
 
+@register("SELECT event_id, value FROM events WHERE (props ->> '$.k') IS NULL OR (props ->> '$.k') <> '7'")
+def metadata_delete(spark, d):
+    """Rows whose JSON metadata does not name the deleted source."""
+    rows = table(spark, d, "events").select("event_id", "value", F.to_json(F.struct(F.get_json_object("props", "$.k").alias("_source"))).alias("metadata"))
+    return files.delete_by_source(rows, "7").select("event_id", "value")
+
+
 @register("SELECT page_id, CASE WHEN lower(regexp_extract(url, '\\.([^.]*)$', 1)) NOT IN ('txt', 'md', 'pdf') THEN 'extension' END AS refused FROM (SELECT page_id, regexp_replace(regexp_replace(url, '[ \\\\/:*?\"<>|]', '_', 'g'), 'html$', 'md') AS url FROM pages)")
 def upload_check(spark, d):
     name = F.regexp_replace("url", "html$", "md")
@@ -614,17 +759,6 @@ def upload_check(spark, d):
 # --- streams ------------------------------------------------------------------
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A folder of this run's own in the shared folder; a local one only where none is set."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="stream-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(spark, d, name: str) -> DataFrame:
     return ingest.read_stream(spark, f"{d}/{name}.parque*", table(spark, d, name).schema)
 
@@ -633,7 +767,7 @@ def _stream(spark, d, name: str) -> DataFrame:
 def stream_ingest(spark, d):
     from .sources import tables
 
-    root = _shared(spark, "ingest")
+    root = shared_path(spark, "ingest")
     stream = _stream(spark, d, "documents").select("doc_id", "source", F.length("text").cast("long").alias("n"))
     ingest.ingest(stream, f"{root}/table", ["doc_id"], f"{root}/checkpoint")
     return tables.read(spark, f"{root}/table")
@@ -643,7 +777,7 @@ def stream_ingest(spark, d):
     WITH m AS (SELECT conv_id, turn, role, role || ': ' || coalesce(text, '') AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS age FROM conversations)
     SELECT conv_id AS session_id, count(*) AS n_messages, least(count(*), 20) AS n_kept, max(turn) AS last_turn, coalesce(right(trim(string_agg(line, chr(10) ORDER BY age DESC) FILTER (age > 20)), 1200), '') AS summary FROM m GROUP BY conv_id""")
 def stream_memory(spark, d):
-    root = _shared(spark, "memory")
+    root = shared_path(spark, "memory")
     stream = _stream(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", "text")
     ingest.run_to_table(session_memory(stream), f"{root}/out", f"{root}/checkpoint")
     out = spark.read.parquet(f"{root}/out")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,28 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+@cache
+def _local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tables-")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one that spark.checkpoint.dir names; a local one only for local sessions where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _local_root()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, for plans that use it several times."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows, else as it is: the size is checked, not assumed."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 
 def publish(df: DataFrame, root: str) -> str:
-    """Write the next version of a table and point to it by a file written last; readers see whole versions."""
+    """Write the next version of a table and point to it by a file written last; readers see whole versions. Of two
+    writers of one version the later fails, as the version's folder or pointer exists."""
     spark = df.sparkSession
     version = current_version(spark, root) + 1
     path = f"{root}/v{version:08d}"
-    df.write.mode("overwrite").parquet(path)
-    spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("overwrite").json(f"{root}/_pointer/{version:08d}")
+    df.write.mode("errorifexists").parquet(path)
+    spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("errorifexists").json(f"{root}/_pointer/{version:08d}")
     return path
 
 

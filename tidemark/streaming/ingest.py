@@ -12,7 +12,9 @@ from ..sources import tables
 
 
 def ingest(stream: DataFrame, root: str, key: list[str], checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Upsert all that is available in the stream into the table at root, one version per batch."""
+    """Upsert all that is available in the stream into the table at root, one version per batch. A batch that a restart
+    repeats upserts the same rows again. Every version is a whole table; for tables far larger than a batch, ingest
+    into `run_to_table` with the key's latest row taken on reading (`latest`)."""
 
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
@@ -23,6 +25,13 @@ def ingest(stream: DataFrame, root: str, key: list[str], checkpoint: str, prepar
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def latest(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    """The last batch's row of each key in a table that run_to_table has appended to."""
+    rows = spark.read.parquet(path)
+    newest = rows.groupBy(*key).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in key)), "batch").alias("_r"))
+    return newest.select(*key, "_r.*").drop("batch")
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
     """Drain a stream in any output mode into Parquet, batch by batch with its number."""
 
