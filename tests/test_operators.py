@@ -261,6 +261,23 @@ def test_latest_rows_of_an_appended_table(spark, tmp_path):
     assert sorted((r.id, r.v) for r in ingest.latest(spark, str(tmp_path / "t"), ["id"]).collect()) == [(1, "b"), (2, "c")]
 
 
+def test_a_reranker_is_asked_a_query_at_a_time_and_may_fail(spark):
+    assert ranking.use_online(True, " Cohere ", "k") and not any(ranking.use_online(*x) for x in [(False, "cohere", "k"), (True, "local", "k"), (True, "cohere", "")])
+    rows = [(1, 1, 0.9, 0.9, 0.03, 1, "x", "m", "good"), (1, 2, 0.1, 0.1, 0.01, 2, "y", "m", "good"), (2, 3, 0.9, 0.9, 0.03, 1, "x", "m", "bad"), (2, 4, 0.1, 0.1, 0.01, 2, "y", "m", "bad")]
+    df = spark.createDataFrame(rows, "query_id long, id long, vector_score double, keyword_score double, fused_score double, rank int, content string, metadata_text string, query string").withColumn("keywords", F.array(F.lit("x")))
+
+    def reranker(query, texts):
+        return [0.2 if t == "x" else 1.7 for t in texts] if query == "good" else [1.0]
+
+    got = [(r.query_id, r.id, r.rerank_source, r.rerank_score) for r in ranking.rerank_with(df, reranker).orderBy("query_id", "position").collect()]
+    assert got[:2] == [(1, 2, "online", 1.0), (1, 1, "online", 0.2)] and [x[1:3] for x in got[2:]] == [(3, "local"), (4, "local")]
+
+
+def test_documents_of_blank_pages_are_reported(spark):
+    pages = spark.createDataFrame([("a", 1, " \u3000"), ("a", 2, None), ("b", 1, "x"), ("b", 2, "")], "source_path string, page_number int, text string")
+    assert [r.source_path for r in files.blank_documents(pages).collect()] == ["a"] and files.scan_pages(pages).count() == 1
+
+
 def test_markdown_sections(spark):
     md = "pre\n# A\ntext\n## B\nb\n### C\nc\n```\n# no\n```\n# D\n## \nd"
     rows = chunking.markdown_sections(spark.createDataFrame([(1, md)], "doc_id long, text string")).orderBy("section").collect()

@@ -84,6 +84,11 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...]
     return joined.select(*[pick(c).alias(c) for c in old.columns])
 
 
+def upsert_documents(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """Documents by (collection_name, source_path): ids and created_at of known ones stay, updated_at is now for all that are written."""
+    return upsert(old, new.withColumn("updated_at", now), ["collection_name", "source_path"], keep=("id", "created_at"))
+
+
 def merge_metadata(old: Column, new: Column) -> Column:
     """Union of two maps; the new map's values win."""
     new = F.coalesce(new, F.create_map().cast("map<string,string>"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +81,36 @@ def rerank_external(candidates: DataFrame, response: DataFrame, source: str = "o
     return out.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")))
 
 
+def use_online(enabled: bool, provider: str, key: str | None, known: str = "cohere") -> bool:
+    """Is the online reranker to be asked?"""
+    return enabled and provider.strip().lower() == known and bool(key)
+
+
+def rerank_with(candidates: DataFrame, reranker, source: str = "online", settings: Settings = DEFAULTS) -> DataFrame:
+    """candidates(query_id, id, rank, query, content, and what `rerank` needs) scored by reranker(query, texts) -> scores, a
+    query at a time; a query on which it fails is reranked locally. A query has candidate_k candidates at most."""
+    rows = candidates.select("query_id", "rank", "query", "content")
+
+    def score(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rank")
+        texts = group.column("content").to_pylist()
+        try:
+            scores = [float(x) for x in reranker(group.column("query")[0].as_py(), texts)]
+            good = len(scores) == len(texts)
+        except Exception:  # foreign code: any failure means the local order
+            good = False
+        ranks = group.column("rank").to_pylist() if good else []
+        return pa.table({"query_id": pa.array(group.column("query_id").to_pylist()[: len(ranks)], pa.int64()), "rank": pa.array(ranks, pa.int32()), "_score": pa.array(scores if good else [], pa.float64())})
+
+    scored = rows.groupBy("query_id").applyInArrow(score, "query_id long, rank int, _score double")
+    local = rerank(candidates, settings)
+    joined = local.join(scored, ["query_id", "rank"], "left")
+    done = F.col("_score").isNotNull()
+    out = joined.withColumns({"raw_rerank_score": F.coalesce("_score", "raw_rerank_score"), "rerank_score": F.when(done, clip(F.col("_score"))).otherwise(F.col("rerank_score")), "rerank_source": F.when(done, source).otherwise(F.col("rerank_source"))})
+    out = out.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank"))).drop("_score")
+    return out.withColumn("document_confidence", label(F.col("rerank_score"), settings.document_high, settings.document_low))
+
+
 def confidence(queries: DataFrame, ranked: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One row per query of queries(query_id): top1, top2, avg_top3, support, strong_support, confidence, reason."""
     top = ranked.where("position <= 3").groupBy("query_id").agg(

@@ -47,20 +47,17 @@ def questions(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-#: Keyword indexes of document tables, built once for a session.
-_INDEXES: dict[tuple[str, str], bm25.Index] = {}
+#: Keyword indexes of document tables with the time of the newest file each was built from.
+_INDEXES: dict[tuple[str, str], tuple[object, bm25.Index]] = {}
 
 
 def keyword_index(spark, d) -> bm25.Index:
-    """The index that serves all keyword searches of these tables; `refresh` has it built anew."""
+    """The index that serves all keyword searches of these tables, built anew when their files change."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES:
-        _INDEXES[key] = bm25.build(documents(spark, d))
-    return _INDEXES[key]
-
-
-def refresh(spark, d) -> None:
-    _INDEXES.pop((spark.sparkContext.applicationId, d), None)
+    newest = documents(spark, d).agg(F.max("_metadata.file_modification_time")).first()[0]
+    if key not in _INDEXES or _INDEXES[key][0] != newest:
+        _INDEXES[key] = newest, bm25.build(documents(spark, d))
+    return _INDEXES[key][1]
 
 
 def single(questions_: DataFrame) -> DataFrame:
@@ -446,6 +443,12 @@ def fingerprint_detail(spark, d):
     return rows.select("event_id", "query_fingerprint", line.alias("chunks"))
 
 
+@register(f"WITH {EVENTS} SELECT event_id, normalized_query FROM ev ORDER BY tm DESC, event_id DESC LIMIT 50")
+def latest_events(spark, d):
+    nothing = spark.createDataFrame([], "event_id long, rank_no int, chunk_key_snapshot string, document_confidence string")
+    return governance.fingerprint_detail(_events(spark, d), nothing).select("event_id", "normalized_query")
+
+
 def _chunks(spark, d) -> DataFrame:
     """The documents as curated chunks; Spanish ones hold a draft."""
     return documents(spark, d).select(
@@ -472,6 +475,26 @@ def chunk_upsert(spark, d):
     return governance.upsert(old.select("chunk_key", "published_text", "published_version", "sync_status"), changed.unionByName(fresh), ["chunk_key"], keep=("published_version",))
 
 
+@register("SELECT 'kb' AS collection_name, doc_id::VARCHAR AS source_path, doc_id AS id, CASE WHEN lang = 'de' THEN 'h' || doc_id ELSE 'old' END AS file_hash, CASE WHEN lang = 'de' THEN 9 ELSE 1 END AS updated_at FROM documents UNION ALL SELECT 'other', doc_id::VARCHAR, -doc_id, 'h' || doc_id, 9 FROM documents WHERE lang = 'fr'")
+def document_upsert(spark, d):
+    rows = documents(spark, d).select(F.lit("kb").alias("collection_name"), F.col("doc_id").cast("string").alias("source_path"), F.col("doc_id").alias("id"), F.lit("old").alias("file_hash"), F.lit(1).alias("updated_at"), "lang")
+    new = rows.where("lang IN ('de', 'fr')").select(F.when(F.col("lang") == "fr", "other").otherwise("kb").alias("collection_name"), "source_path", (-F.col("id")).alias("id"), F.concat(F.lit("h"), "source_path").alias("file_hash"))
+    return governance.upsert_documents(rows.drop("lang"), new, F.lit(9))
+
+
+@register("SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN -label ELSE label END AS label, len(embedding)::INTEGER AS dim FROM embeddings UNION ALL SELECT vec_id + 1000000, label, len(embedding)::INTEGER FROM embeddings WHERE vec_id % 11 = 0")
+def vector_upsert(spark, d):
+    old = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    new = old.where("vec_id % 7 = 0").withColumn("label", -F.col("label")).unionByName(old.where("vec_id % 11 = 0").withColumn("vec_id", F.col("vec_id") + 1_000_000))
+    return governance.upsert(old, new, ["vec_id"]).select("vec_id", "label", F.size("embedding").alias("dim"))
+
+
+@register("SELECT doc_id AS id, n_chars FROM documents WHERE source = 'src1' ORDER BY id")
+def document_chunk_list(spark, d):
+    rows = documents(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_index"), "n_chars")
+    return governance.chunks_of_document(rows, "src1").select("id", "n_chars")
+
+
 @register("SELECT doc_id, source, n_chars FROM documents WHERE source NOT IN (SELECT DISTINCT source FROM documents WHERE n_chars > 20000 AND source IS NOT NULL) OR source IS NULL UNION ALL SELECT doc_id, source, -n_chars FROM documents WHERE n_chars > 20000")
 def corpus_replace_source(spark, d):
     old = documents(spark, d).select("doc_id", "source", "n_chars")
