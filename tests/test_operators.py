@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scores, text
 from tidemark.operators import bm25, chunking, governance, memory, ops, query, ranking, vector
+from tidemark.plans import index
 from tidemark.sources import files, generators, tables
 from tidemark.streaming import ingest
 
@@ -223,9 +224,9 @@ def test_an_index_serves_after_the_corpus_is_gone(spark, tmp_path):
     docs = spark.createDataFrame([(1, "E01 报警"), (2, "液压"), (3, None)], "doc_id long, text string")
     bm25.build(docs, path=str(tmp_path / "ix"))
     asked = spark.createDataFrame([(7, 0, "e01"), (8, 0, "none")], "query_id long, ix int, query string")
-    index = bm25.load(spark, str(tmp_path / "ix"))
-    got = [(r.query_id, r.doc_id, r.score) for r in bm25.search(index, asked).collect()]
-    assert got == [(r.query_id, r.doc_id, r.score) for r in bm25.search(docs, asked).collect()] and len(got) == 1 and index.n_docs == 3
+    loaded = bm25.load(spark, str(tmp_path / "ix"))
+    got = [(r.query_id, r.doc_id, r.score) for r in bm25.search(loaded, asked).collect()]
+    assert got == [(r.query_id, r.doc_id, r.score) for r in bm25.search(docs, asked).collect()] and len(got) == 1 and loaded.n_docs == 3
     assert bm25.search(docs.limit(0), asked).count() == 0
 
 
@@ -273,6 +274,31 @@ def test_a_reranker_is_asked_a_query_at_a_time_and_may_fail(spark):
     assert got[:2] == [(1, 2, "online", 1.0), (1, 1, "online", 0.2)] and [x[1:3] for x in got[2:]] == [(3, "local"), (4, "local")]
 
 
+def test_a_folder_is_indexed_and_indexed_again(spark, tmp_path):
+    folder, root = tmp_path / "in", str(tmp_path / "table")
+    folder.mkdir()
+    (folder / "a.md").write_text("# T\ntext", "utf-8")
+    (folder / "b.txt").write_text("plain", "utf-8")
+    (folder / "c.pdf").write_bytes("处理步骤\n1. x\f \f故障现象\ny".encode())
+    (folder / "d.pdf").write_bytes(b"broken")
+    (folder / "e.txt").write_bytes(b"\xff\xfe\xff")
+    (folder / "f.pdf").write_bytes(b" ")
+
+    def read_pdf(content):
+        if content == b"broken":
+            raise ValueError("not a document")
+        return content.decode().split("\f")
+
+    row = index.index_directory(spark, str(folder), root, read_pdf).first()
+    assert (row.total, row.success, row.failed, row.all_good) == (6, 3, 3, False) and row.duration_ms > 0
+    got = {(r.file_name, r.chunk_index): (r.page_number, r.section_path, r.content) for r in tables.read(spark, root).collect()}
+    assert got == {("a.md", 0): (None, "T", "# T\ntext"), ("b.txt", 0): (None, None, "plain"), ("c.pdf", 0): (1, "处理步骤", "处理步骤\n1. x"), ("c.pdf", 1): (3, "故障现象", "故障现象\ny")}
+    (folder / "b.txt").write_text("changed", "utf-8")
+    index.index_directory(spark, str(folder), root)
+    again = {(r.file_name, r.chunk_index): r.content for r in tables.read(spark, root).collect()}
+    assert len(again) == 4 and again["b.txt", 0] == "changed" and again["c.pdf", 1] == "故障现象\ny"
+
+
 def test_documents_of_blank_pages_are_reported(spark):
     pages = spark.createDataFrame([("a", 1, " \u3000"), ("a", 2, None), ("b", 1, "x"), ("b", 2, "")], "source_path string, page_number int, text string")
     assert [r.source_path for r in files.blank_documents(pages).collect()] == ["a"] and files.scan_pages(pages).count() == 1
