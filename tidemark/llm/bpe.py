@@ -14,7 +14,6 @@ of the table are never read, so their names may clash with the result's.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -24,7 +23,7 @@ from heapq import heapify, heappop, heappush
 import regex
 from pyspark.sql import DataFrame
 
-from .common import TwoAges, map_texts, whole_texts
+from .common import TwoAges, map_texts, per_worker, whole_texts
 
 #: White space as the tokenizers' regular expressions see it, a class body (it holds a range).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -59,6 +58,7 @@ LATER_CASES = [
     (0x16EA0, 0x16EB8, 0x16EBB, 1),
 ]
 _LOWER = {c: low + c - first for first, last, low, step in LATER_CASES for c in range(first, last + 1, step)}
+_LATER = re.compile(f"[{LATER_LETTERS}{LATER_NUMBERS}]")
 _INERT = re.compile(f"([{INERT}])")
 _RARE = re.compile(f"[{INERT}{''.join(map(chr, _LOWER))}]")
 
@@ -89,17 +89,22 @@ class Codec:
         stand_in = byte_symbols()
         self.inner = [self.vocab[c] for c in stand_in]
         self.final = [self.vocab[c + self.suffix] for c in stand_in]
-        letter, number = rf"[\p{{L}}--[{LATER_LETTERS}]]", rf"[\p{{N}}--[{LATER_NUMBERS}]]"
-        other = rf"[[^{SPACE}\p{{L}}\p{{N}}]||[{LATER_LETTERS}{LATER_NUMBERS}]]"
+        # chunks without later letters and numbers are split by the plain classes, which match faster
+        self.pre = self.split(r"\p{L}", r"\p{N}", rf"[^{SPACE}\p{{L}}\p{{N}}]")
+        self.pre_later = self.split(rf"[\p{{L}}--[{LATER_LETTERS}]]", rf"[\p{{N}}--[{LATER_NUMBERS}]]", rf"[[^{SPACE}\p{{L}}\p{{N}}]||[{LATER_LETTERS}{LATER_NUMBERS}]]")
         if self.lower:
-            self.pre = regex.compile(f"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|{other}+")
             self.chunks = re.compile(f"[^{SPACE}]+")
         else:
-            self.pre = regex.compile(f"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
             self.chunks = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in self.specials) + ")")
         self.words: dict[str, list[int]] = TwoAges(self.merge, memo)
 
+    def split(self, letter: str, number: str, other: str) -> regex.Pattern:
+        """The vocabulary's pattern over these classes."""
+        if self.lower:
+            return regex.compile(f"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|{other}+")
+        return regex.compile(f"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token. Queue entries are rank << 32 | position; an entry is stale
         if the pair that now starts at its position has another rank."""
@@ -146,7 +151,9 @@ class Codec:
 
     def chunk_ids(self, chunk: str) -> list[int]:
         out: list[int] = []
-        for piece in self.pre.findall(self.normalize(chunk)):
+        chunk = self.normalize(chunk)
+        pre = self.pre if chunk.isascii() or not _LATER.search(chunk) else self.pre_later
+        for piece in pre.findall(chunk):
             out += self.words[piece]
         return out
 
@@ -175,7 +182,7 @@ class Codec:
         return raw.decode("utf-8", "replace")
 
 
-@functools.cache
+@per_worker
 def codec(path: str) -> Codec:
     """One per Python worker."""
     return Codec(path)

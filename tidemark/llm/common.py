@@ -15,17 +15,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows turned into Python objects at a time. Spark bounds the bytes of an Arrow batch; texts may be long, so slices stay small.
-ARROW_ROWS = 500
+#: Rows turned into Python objects at a time, and the bytes of an Arrow batch where the session does not ask for fewer.
+ARROW_ROWS, ARROW_BYTES = 500, 2 << 20
 
 _tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
+_caches: list = []
+
+
+def per_worker(make: Callable) -> Callable:
+    """Cache what make returns for the life of a Python worker, or until another operator releases it."""
+    cached = functools.cache(make)
+    _caches.append(cached)
+    return cached
+
+
+def release_caches() -> None:
+    """Drop the vocabularies and memos that other operators left in this worker, which serves one query after another."""
+    for cached in _caches:
+        cached.cache_clear()
+
+
 @functools.cache
 def _local_root() -> str:
     return "file://" + tempfile.mkdtemp(prefix="scratch-")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, which hold whole texts on both sides of a task; the rows of a batch, which short
+    rows depend on, stay as the session has them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, "64m").rstrip("bB").replace("m", "000000")) > ARROW_BYTES:
+        spark.conf.set(name, f"{ARROW_BYTES}b")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir. Where it is unset, a folder of this machine
     stands in for local sessions; on a cluster executors would not see it, so that is an error."""
@@ -87,6 +111,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], list]], s
     make() runs once per task on the executor and returns the function, which gets
     the rows as a dict of Python lists and returns a list of columns.
     """
+    bound_batches(df.sparkSession)
     arrow = to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

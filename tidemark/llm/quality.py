@@ -30,7 +30,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize
+from .common import map_texts, materialize, per_worker
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -171,7 +171,7 @@ def byte_coder(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-@functools.cache
+@per_worker
 def fertility(pieces: str, byte_level: tuple[str, ...], pattern: str) -> Fertility:
     """One per Python worker."""
     return Fertility(pieces, byte_level, pattern)

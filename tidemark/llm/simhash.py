@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, whole_texts, without
+from .common import map_texts, materialize, release_caches, whole_texts, without
 from .components import components, labels_of
 
 RADIUS = 4
@@ -272,6 +272,8 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, text_key, fp, own (hash of the whole set), size, anchors (smallest shingle hashes), sketch (SKETCH smallest, upper halves)."""
 
     def make():
+        release_caches()
+
         def run(batch):
             out = []
             for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"]):
@@ -289,16 +291,17 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, words: int) -> DataFrame:
-    """own, fp, size, shingles: the whole sets of docs."""
+    """own, fp, size, shingles, groups: the whole sets of docs(text, node, groups) whose set is the one of that node."""
 
     def make():
         def run(batch):
             sets = [shingle_set(t, words) for t in batch["text"]]
-            return [*zip(*((*marks(s)[::-1], len(s), s.tobytes()) for s in sets))]
+            rows = [(*marks(s)[::-1], len(s), s.tobytes(), g) for s, g in zip(sets, batch["groups"])]
+            return [*zip(*(r for r, node in zip(rows, batch["node"]) if r[0] == node))] or [[]] * 5
 
         return run
 
-    return map_texts(docs, make, "own long, fp long, size long, shingles binary")
+    return map_texts(docs.select("text", "node", "groups"), make, "own long, fp long, size long, shingles binary, groups array<long>")
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int = SIMILAR_GROUP) -> DataFrame:
@@ -316,12 +319,15 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int
     known = distinct.where("rep IS NOT NULL").withColumnsRenamed({"rep": "least", "own": "rep"})
     dealt = deal(known.select("fp", "rep", F.explode("anchors").alias("key")), F.lit(1 / group)).join(known.select("rep", "size", "sketch"), "rep")
     clusters = compare(dealt, sketched, "sketch")
-    suspects = materialize(clusters.join(known.select(F.col("rep").alias("node"), "least"), "node"), "suspects")
-    # a true pair of suspects lies within one cluster; only their texts are read again
-    texts = whole_texts(docs).join(suspects.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").distinct()
-    own = suspects.select(F.col("node").alias("own"), F.col("component").alias("key"))
-    sets = materialize(whole_sets(texts, words).join(own, "own").withColumnRenamed("own", "rep"), "sets")
-    found = compare(deal(sets, F.greatest(F.lit(1 / min(group, SUSPECTS)), F.col("size") / SHINGLES)), whole, "shingles")
+    suspects = materialize(clusters.join(known.select(F.col("rep").alias("node"), "least", "size"), "node"), "suspects")
+    # a true pair of suspects lies within one cluster; groups are dealt on narrow rows, and only then are the texts read again
+    load = F.greatest(F.lit(1 / min(group, SUSPECTS)), F.col("size") / SHINGLES)
+    pairs = deal(suspects.select(F.col("component").alias("key"), F.col("node").alias("rep"), "size"), load)
+    groups = pairs.groupBy("rep").agg(F.collect_list("group").alias("groups"))  # as many as the cluster has chunks
+    asked = suspects.join(groups, suspects["node"] == groups["rep"]).select(F.col("least").alias("_id"), "node", "groups")
+    texts = whole_texts(docs).join(asked, F.col("doc_id") == F.col("_id"))
+    sets = whole_sets(texts, words)  # a repeated row repeats its set, which costs a comparison
+    found = compare(sets.select(F.explode("groups").alias("group"), "fp", F.col("own").alias("rep"), "size", "shingles"), whole, "shingles")
     named = found.join(suspects.select("node", "least"), "node")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = distinct.join(named.join(least, "component").select(F.col("node").alias("own"), "component_id"), "own", "left")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 
@@ -10,7 +9,7 @@ import numpy as np
 import tiktoken
 
 from .bpe import SPACE, byte_symbols
-from .common import TwoAges
+from .common import TwoAges, per_worker
 
 
 class TokenBytes:
@@ -31,7 +30,7 @@ class TokenBytes:
         self.dtype = np.dtype(dtype)
         self.chunks = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
         self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
-        self.memo = TwoAges(self.pack, 150_000)
+        self.memo = TwoAges(self.pack, 100_000)
 
     def pack(self, chunk: str) -> bytes:
         return np.array(self.coder.encode_ordinary(chunk), self.dtype).tobytes()
@@ -45,7 +44,7 @@ class TokenBytes:
         return b"".join(np.array([self.specials[p]], self.dtype).tobytes() if p in self.specials else self.plain(p) for p in self.special.split(text))
 
 
-@functools.cache
+@per_worker
 def token_bytes(path: str, dtype: str) -> TokenBytes:
     """One per Python worker."""
     return TokenBytes(path, dtype)

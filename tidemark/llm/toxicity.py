@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoAges, held_out, map_texts, materialize, whole_texts
+from .common import TwoAges, held_out, map_texts, materialize, release_caches, whole_texts
 from .components import labels_of
 
 #: Learning rows, about; at most twice as many are read.
@@ -217,7 +217,7 @@ class Field:
 
     @functools.cached_property
     def _ids(self) -> TwoAges:
-        return TwoAges(self.stem)
+        return TwoAges(self.stem, 50_000)
 
     def stem(self, word: str) -> int:
         """The number of the whole word, or of its longest stem; -1 without one."""
@@ -326,6 +326,7 @@ def clusters(rows: DataFrame) -> dict[int, int]:
     hashed word pairs. The learning sample bounds what the driver holds, 17 numbers a text."""
 
     def make():
+        release_caches()
         own = np.random.default_rng(5)
         a, b = own.integers(1, 2**31, 16, np.uint64) * 2 + 1, own.integers(0, 2**32, 16, np.uint64)
 
@@ -445,6 +446,7 @@ def tag(docs: DataFrame, field: Field) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field)  # bounded by the learning sample
 
     def make():
+        release_caches()
         own = shared.value
 
         def run(batch):
@@ -468,6 +470,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = docs.columns
 
     def make():
+        release_caches()
         own = shared.value
 
         def run(batch):
