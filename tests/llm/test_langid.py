@@ -64,3 +64,57 @@ def test_one_repeated_id_does_not_crowd_out_a_language(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = langid.detect(df.repartition(3)).collect()
     assert {(x.doc_id == 4, x.lang_pred) for x in got} == {(True, "aa"), (False, "bb")}
+
+
+def plain_vector(text, idf):
+    """Hashed 1- to 3-grams within words with Python's own integers, damped, weighted and normalised."""
+    codes = [0, *(ord(c.lower()[0]) if c.isalpha() else 0 for c in text), 0]
+    counts = [0] * langid.BINS
+    m = 1 << 32
+    one = [c * 2654435761 % m for c in codes]
+    two = [(one[i] ^ codes[i + 1] * 2246822519 % m) * 3266489917 % m for i in range(len(codes) - 1)]
+    three = [(two[i] ^ codes[i + 2] * 668265263 % m) * 374761393 % m for i in range(len(codes) - 2)]
+    for i, c in enumerate(codes):
+        if c:
+            counts[one[i] >> 20] += 1
+        if i + 1 < len(codes) and (c or codes[i + 1]):
+            counts[two[i] >> 20] += 1
+        if i + 2 < len(codes) and codes[i + 1]:
+            counts[three[i] >> 20] += 1
+    row = np.log1p(counts) * idf
+    return row / (np.linalg.norm(row) or 1), sum(counts)
+
+
+def test_judgements_equal_brute_force(spark):
+    rows = corpus(150) + [(900, "Ünï çode wörds 12", None, 5), (901, "漢字 the", None, 5), (902, "x", None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    (model,) = langid.fit(df)
+    got = {r.doc_id: r for r in langid.detect(df).collect()}
+    for i, text, *_ in rows:
+        v, n = plain_vector(text, model.idf)
+        cosines = [float(v @ c) for c in model.centroids]
+        best = int(np.argmax(cosines))
+        lang = model.of[best]
+        assert got[i].lang_pred == model.languages[lang] and np.isclose(got[i].score, min(1, max(0, cosines[best])), atol=1e-5)
+        least = model.reach[lang] * min(1, n / langid.LONG) ** 0.5
+        assert got[i].rejected == (cosines[best] < least) or abs(cosines[best] - least) < 1e-5
+
+
+def test_a_language_that_was_not_learned_is_rejected(spark):
+    r = random.Random(5)
+    parts = {"dd": ["oo", "mak", "wi", "zed", "gul"]}
+    strange = [(5000 + i, " ".join("".join(r.choice(parts["dd"]) for _ in range(r.randint(1, 3))) for _ in range(80)), None, 5) for i in range(40)]
+    df = spark.createDataFrame(corpus() + strange, "doc_id long, text string, lang string, score int")
+    got = langid.detect(df).where("doc_id >= 5000").collect()
+    assert sum(x.rejected for x in got) >= 36
+
+
+def test_a_table_without_lang_has_no_known_language(spark):
+    df = spark.createDataFrame([(1, "the wher"), (2, None)], "doc_id long, text string")
+    assert {x.lang_pred for x in langid.detect(df).collect()} == {"und"} and langid.keep_known(df).count() == 0
+
+
+def test_the_model_does_not_depend_on_partitions(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string, lang string, score int")
+    (a,), (b,) = (langid.fit(df.repartition(n), sample=40) for n in (3, 17))
+    assert a.languages == b.languages and np.allclose(a.centroids, b.centroids, atol=1e-6) and np.allclose(a.idf, b.idf)

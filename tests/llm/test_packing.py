@@ -70,3 +70,12 @@ def test_packs_every_piece_of_every_text(spark):
         assert at <= 1024
     assert len(taken) == one_by_one([x.length for x in rows], 1024)
     assert packing.pack(df.limit(0), VOCABULARY).count() == 0
+
+
+def test_repeated_rows_without_ids_spread_over_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", 50)
+    rows = [(None, 0, 0, 9, 77)] * 2000 + [(i, 0, 0, 5, i) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3).write.parquet(str(tmp_path / "cuts"))
+    cuts = spark.read.parquet(str(tmp_path / "cuts"))
+    got = packing.ranked(cuts, {9: 2000, 5: 300}).collect()
+    assert {n: sorted(r["rank"] for r in got if r.length == n) for n in (9, 5)} == {9: list(range(2000)), 5: list(range(300))}

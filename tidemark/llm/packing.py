@@ -10,7 +10,8 @@ holds most pieces is still spread over many tasks.
 
 Null texts count as empty: one piece, the separator. Texts are encoded whole; longer
 ones than `capacity` are cut into full pieces with the remainder first. Rows with
-repeated ids are packed each. An empty table gives an empty result.
+repeated or null ids are packed each. An empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, vocabulary: str, separator: int = 2, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, row, piece, start, length, ids_crc32; row tells rows with equal doc_id apart within a task."""
+    """doc_id, piece, start, length, ids_crc32 of every piece of every text."""
 
     def make():
         encode, end = token_bytes(vocabulary, "<u4"), np.array([separator], "<u4").tobytes()
@@ -106,15 +107,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def ranked(cuts: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """cuts with rank: gapless from 0 within each length. A length has as many buckets as its count needs."""
+    """cuts, a table of Parquet files, with rank: gapless from 0 within each length. A length has as many buckets as its
+    count needs; rows are salted by their place in the files, so that repeated rows spread as well."""
     # one row per length, capacity rows at most
     buckets = cuts.sparkSession.createDataFrame([(n, 1 + many // BUCKET) for n, many in counts.items()], "length long, buckets long")
-    salted = cuts.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start"), "buckets")).drop("buckets")
+    placed = cuts.withColumn("salt", F.xxhash64("_metadata.file_name", "_metadata.row_index"))
+    salted = placed.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod("salt", "buckets")).drop("buckets")
     sizes = salted.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")
     bases = sizes.select("length", "bucket", before.alias("base"))
-    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
-    return salted.withColumn("own", own).join(bases, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("own") - 1).drop("bucket", "base", "own")
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "salt"))
+    return salted.withColumn("own", own).join(bases, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("own") - 1).drop("bucket", "base", "own", "salt")
 
 
 def pack(docs: DataFrame, vocabulary: str, separator: int = 2, capacity: int = CAPACITY) -> DataFrame:
