@@ -60,6 +60,19 @@ def keyword_index(spark, d) -> bm25.Index:
     return _INDEXES[key][1]
 
 
+#: Embedded document tables, likewise.
+_VECTORS: dict[tuple[str, str], tuple[object, DataFrame]] = {}
+
+
+def retrieval_index(spark, d) -> plan.Index:
+    """The keyword index and the embedded documents that serve the whole retrieval chain."""
+    keywords, key = keyword_index(spark, d), (spark.sparkContext.applicationId, d)
+    newest = _INDEXES[key][0]
+    if key not in _VECTORS or _VECTORS[key][0] != newest:
+        _VECTORS[key] = newest, settle(plan.embed_documents(documents(spark, d)), "vectors")
+    return plan.Index(documents(spark, d), _VECTORS[key][1], keywords)
+
+
 def single(questions_: DataFrame) -> DataFrame:
     """Each question as its own only expansion."""
     return questions_.select("query_id", F.lit(0).alias("ix"), "query")
@@ -358,7 +371,7 @@ HYBRID = f"""{KEYWORD}, {EMBED},
 @register(f"WITH {HYBRID} SELECT rr.query_id, id, position, round(rs, 6) AS rerank_score, label AS document_confidence, confidence FROM rr JOIN cf USING (query_id) WHERE position <= 5")
 def hybrid_retrieve(spark, d):
     """The whole chain; distances are rounded before they rank, as texts of like characters tie but for the order of sums."""
-    found = plan.retrieve(documents(spark, d), questions(spark, d))
+    found = plan.retrieve(retrieval_index(spark, d), questions(spark, d))
     final = found.candidates.where(F.col("position") <= DEFAULTS.final_k)
     return final.join(found.confidence.select("query_id", "confidence"), "query_id").select("query_id", "id", "position", F.round("rerank_score", 6).alias("rerank_score"), "document_confidence", "confidence")
 
