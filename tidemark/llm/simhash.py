@@ -313,12 +313,14 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, group: int
         return components(grouped.mapInArrow(_links(WIDE, judge, similarity), "a long, b long"))
 
     signed = materialize(signatures(docs, words), "signatures")
-    firsts = [F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "size", "anchors", "sketch"))]
+    firsts = [F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("fp", "size", "anchors"))]
     distinct = materialize(signed.groupBy("own").agg(*firsts), "distinct")
     # classes of equal sets go by the set's hash, as rows with other texts may share a doc_id
     known = distinct.where("rep IS NOT NULL").withColumnsRenamed({"rep": "least", "own": "rep"})
-    dealt = deal(known.select("fp", "rep", F.explode("anchors").alias("key")), F.lit(1 / group)).join(known.select("rep", "size", "sketch"), "rep")
-    clusters = compare(dealt, sketched, "sketch")
+    # sketches stay where they were written, and only those of rows that share a block are shuffled
+    sketches = signed.select(F.col("own").alias("rep"), F.col("doc_id").alias("least"), "size", "sketch")
+    dealt = deal(known.select("fp", "rep", "least", F.explode("anchors").alias("key")), F.lit(1 / group))
+    clusters = compare(dealt.join(sketches, ["rep", "least"]), sketched, "sketch")
     suspects = materialize(clusters.join(known.select(F.col("rep").alias("node"), "least", "size"), "node"), "suspects")
     # a true pair of suspects lies within one cluster; groups are dealt on narrow rows, and only then are the texts read again
     load = F.greatest(F.lit(1 / min(group, SUSPECTS)), F.col("size") / SHINGLES)
