@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, licenses, packing, quality, simhash, token_counts, toxicity, warc
+from . import bpe, exact_dedup, langid, licenses, mixing, packing, periods, quality, simhash, token_counts, toxicity, warc
 from .common import scratch_path
 
 
@@ -64,8 +64,17 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.plan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("repetitions") * F.col("size")).alias("taken"))
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.summary(periods.periodic_runs(periods.planted(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_simhash, op3_packing, op4_token_counts, op5_toxicity, op6_quality, op7_exact_dedup, op8_warc, op9_langid, op10_licenses)
+    own = (op1_bpe, op2_simhash, op3_packing, op4_token_counts, op5_toxicity, op6_quality, op7_exact_dedup, op8_warc, op9_langid, op10_licenses, op11_mixing, op13_periods)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -106,4 +115,26 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN verdict = 'resolved' THEN 'origin' END AS server,
                 CASE WHEN verdict = 'resolved' THEN 'max-age=3600' END AS cache_control
             FROM v""",
+        "op11_mixing": """
+            WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS size, md5(concat_ws(':', '11', doc_id::VARCHAR)) AS digest FROM documents),
+            g AS (SELECT source, sum(size)::HUGEINT AS source_size, count(*) AS n_docs, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS ix FROM s GROUP BY source),
+            w AS (SELECT *, 3 * source_size AS cap, 1 + ix % 3 AS weight, sum(source_size) OVER () AS total, sum(1 + ix % 3) OVER () AS weights FROM g),
+            o AS (
+                SELECT *, total - coalesce(sum(cap) OVER before, 0) AS rest, weights - coalesce(sum(weight) OVER before, 0) AS shares FROM w
+                WINDOW before AS (ORDER BY cap::DOUBLE / weight, ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+            l AS (SELECT max(rest) AS rest, arg_max(shares, rest) AS shares FROM (SELECT * FROM o WHERE cap * shares >= weight * rest ORDER BY cap::DOUBLE / weight, ix LIMIT 1)),
+            t AS (SELECT source, source_size, n_docs, CASE WHEN cap * l.shares < weight * l.rest THEN cap::DOUBLE ELSE (weight * l.rest)::DOUBLE / l.shares::DOUBLE END AS target FROM w, l),
+            r AS (
+                SELECT doc_id, s.source, size, source_size::BIGINT AS source_size, target, digest, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS ratio,
+                    ('0x' || substr(digest, 25, 8))::UBIGINT / 4294967296::DOUBLE AS threshold, ('0x' || substr(digest, 1, 8))::UBIGINT % greatest(1, ceil(n_docs / 1024))::UBIGINT AS bucket
+                FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+            p AS (
+                SELECT source, bucket, list({'doc_id': doc_id, 'size': size, 'source_size': source_size, 'target': target, 'whole': floor(ratio)::BIGINT, 'share': ratio - floor(ratio), 'threshold': threshold, 'owed': 0::DOUBLE, 'out': []::BOOLEAN[]} ORDER BY size DESC, digest) AS rows
+                FROM r GROUP BY source, bucket),
+            d AS (
+                SELECT rows, list_reduce(list_prepend({'doc_id': NULL, 'size': 0, 'source_size': 0, 'target': 0, 'whole': 0, 'share': 0, 'threshold': 0, 'owed': 0, 'out': []::BOOLEAN[]}, rows), lambda a, x: {
+                    'doc_id': x.doc_id, 'size': x.size, 'source_size': x.source_size, 'target': x.target, 'whole': x.whole, 'share': x.share, 'threshold': x.threshold,
+                    'owed': CASE WHEN x.size > 0 AND a.owed + x.share * x.size > x.threshold * x.size THEN a.owed + x.share * x.size - x.size ELSE a.owed + x.share * x.size END,
+                    'out': list_append(a.out, x.size > 0 AND a.owed + x.share * x.size > x.threshold * x.size)}).out AS out FROM p)
+            SELECT x.doc_id, x.size, x.source_size, x.target, x.size * (x.whole + e::BIGINT) AS taken FROM (SELECT unnest(rows) AS x, unnest(out) AS e FROM d)""",
     }
