@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, licenses, mixing, packing, periods, quality, simhash, token_counts, toxicity, warc
+from . import bpe, exact_dedup, langid, licenses, mixing, packing, periods, quality, simhash, token_counts, toxicity, warc, whitening
 from .common import scratch_path
 
 
@@ -69,12 +69,17 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("repetitions") * F.col("size")).alias("taken"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(whitening.quantized(table(spark, sf_dir, "embeddings")))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))  # null beyond 63 bits
+
+
 def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.summary(periods.periodic_runs(periods.planted(table(spark, sf_dir, "documents"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_simhash, op3_packing, op4_token_counts, op5_toxicity, op6_quality, op7_exact_dedup, op8_warc, op9_langid, op10_licenses, op11_mixing, op13_periods)
+    own = (op1_bpe, op2_simhash, op3_packing, op4_token_counts, op5_toxicity, op6_quality, op7_exact_dedup, op8_warc, op9_langid, op10_licenses, op11_mixing, op12_whitening, op13_periods)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
