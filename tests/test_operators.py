@@ -234,10 +234,12 @@ def test_lookups_lists_and_rebuilds(spark, tmp_path):
     chunks = spark.createDataFrame([(1, "a::1", 7, 1), (2, "a::0", 7, 0), (3, "b::0", 8, 0)], "id long, chunk_key string, document_id long, chunk_index int")
     assert governance.chunk_by_key(chunks, "a::1").first().id == 1 and governance.chunk_by_id(chunks, 9).count() == 0
     assert [r.id for r in governance.chunks_of_document(chunks, 7).collect()] == [2, 1]
-    history = spark.createDataFrame([(1, 2), (1, 3), (2, 5)], "chunk_id long, version_no int")
-    assert [r.version_no for r in governance.history_of_key(history, chunks, "a::1").collect()] == [3, 2]
-    with pytest.raises(ValueError, match="no chunk"):
-        governance.history_of_key(history, chunks, "z")
+    history = spark.createDataFrame([(1, 2, "2026-01-01"), (1, 3, "2026-01-02"), (1, 3, "2026-01-03"), (2, 5, "2026-01-01")], "chunk_id long, version_no int, created_at string")
+    assert [(r.version_no, r.created_at[-1]) for r in governance.history_of_key(history, chunks, "a::1").collect()] == [(3, "3"), (3, "2"), (2, "1")]
+    late = governance.history_of_key(history, chunks, "z")  # no job yet
+    with pytest.raises(Exception, match="no chunk z"):
+        late.collect()
+    assert governance.document_by_source(spark.createDataFrame([("kb", "/a", 1), ("other", "/a", 2)], "collection_name string, source_path string, id long"), "kb", "/a").first().id == 1
     for name in ("b.txt", "a.md", "c.pdf", "d.png"):
         (tmp_path / name).write_text("x")
     assert [r.source_path.rsplit("/")[-1] for r in files.files_to_index(spark, str(tmp_path)).collect()] == ["a.md", "b.txt", "c.pdf"]

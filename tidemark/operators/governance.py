@@ -108,8 +108,8 @@ def save_drafts(chunks: DataFrame, drafts: DataFrame) -> DataFrame:
     return joined.withColumn("draft_text", F.coalesce("draft", "draft_text")).withColumn("sync_status", F.when(F.col("draft").isNotNull(), "draft").otherwise(F.col("sync_status"))).select(*chunks.columns)
 
 
-def publish(chunks: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chunks, new history rows) after publishing edits(chunk_key, editor, edit_note).
+def publish(chunks: DataFrame, edits: DataFrame, created_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunks, new history rows) after publishing edits(chunk_key, editor, edit_note) at created_at, by default now.
 
     A chunk with a draft gets it as published text, the next version and status synced;
     without one it is marked publish_failed and gets no history row. Of several edits of a
@@ -120,7 +120,7 @@ def publish(chunks: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     has = F.length(F.trim(F.coalesce("draft_text", F.lit("")))) > 0
     go, fail = F.col("_asked").isNotNull() & has, F.col("_asked").isNotNull() & ~has
     history = joined.where(go).select(
-        F.col("id").alias("chunk_id"), (F.col("published_version") + 1).alias("version_no"), F.col("published_text").alias("old_text"), F.col("draft_text").alias("new_text"), "editor", "edit_note", F.lit("published").alias("publish_status")
+        F.col("id").alias("chunk_id"), (F.col("published_version") + 1).alias("version_no"), F.col("published_text").alias("old_text"), F.col("draft_text").alias("new_text"), "editor", "edit_note", F.lit("published").alias("publish_status"), (F.current_timestamp() if created_at is None else created_at).alias("created_at")
     )
     changes = {
         "published_text": F.when(go, F.col("draft_text")).otherwise(F.col("published_text")),
@@ -133,8 +133,9 @@ def publish(chunks: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def list_history(history: DataFrame, chunk_id: int | None = None) -> DataFrame:
+    """The latest versions first, of one version the latest created."""
     own = history if chunk_id is None else history.where(F.col("chunk_id") == chunk_id)
-    return own.orderBy(F.desc("version_no"), "chunk_id")
+    return own.orderBy(F.desc("version_no"), F.desc("created_at"), "chunk_id")
 
 
 def enrich(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -161,15 +162,14 @@ def chunks_of_document(chunks: DataFrame, document_id) -> DataFrame:
 
 def history_of_key(history: DataFrame, chunks: DataFrame, chunk_key: str) -> DataFrame:
     """The edits of a chunk, newest first; a job over a key without a chunk fails."""
-    own = chunk_by_key(chunks, chunk_key).select(F.col("id").alias("chunk_id"))
-    if own.isEmpty():
-        raise ValueError(f"no chunk {chunk_key}")
-    return history.join(own, "chunk_id", "left_semi").orderBy(F.desc("version_no"), "chunk_id")
+    missing = F.raise_error(F.lit(f"no chunk {chunk_key}"))
+    own = chunk_by_key(chunks, chunk_key).agg(F.max("id").alias("chunk_id")).select(F.coalesce("chunk_id", missing).alias("chunk_id"))
+    return list_history(history.join(F.broadcast(own), "chunk_id", "left_semi"))  # one row
 
 
 def audit_versions(history: DataFrame) -> DataFrame:
     """Position of each edit of a chunk, oldest first."""
-    return history.withColumn("edit_no", F.row_number().over(Window.partitionBy("chunk_id").orderBy("version_no")))
+    return history.withColumn("edit_no", F.row_number().over(Window.partitionBy("chunk_id").orderBy("version_no", "created_at")))
 
 
 def cascade(children: DataFrame, removed: DataFrame, foreign: str, key: str = "id") -> DataFrame:

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from .config import DEFAULTS
 from .functions import scores, text
-from .operators import bm25, chunking, governance, memory, ops, query, ranking, vector
+from .operators import bm25, chunking, governance, ivf, memory, ops, query, ranking, vector
 from .plans import retrieve as plan
-from .session import settle, shared_path
+from .session import Kept, settle, shared_path
 from .sources import files, generators
+from .sources.tables import Buckets
 from .streaming import ingest
-from .streaming.memory import session_memory
+from .streaming.memory import CLEAR, session_memory, state_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,30 +48,19 @@ def questions(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-#: Keyword indexes of document tables with the time of the newest file each was built from.
-_INDEXES: dict[tuple[str, str], tuple[object, bm25.Index]] = {}
+#: What serves all searches of a table as long as its files stay the same.
+KEYWORDS = Kept(lambda spark, path: bm25.build(spark.read.parquet(path)))
+VECTORS = Kept(lambda spark, path: settle(plan.embed_documents(spark.read.parquet(path)), "vectors"))
+LISTS_OF = Kept(lambda spark, path: ivf.build(spark.read.parquet(path).withColumnRenamed("vec_id", "id")))
 
 
 def keyword_index(spark, d) -> bm25.Index:
-    """The index that serves all keyword searches of these tables, built anew when their files change."""
-    key = (spark.sparkContext.applicationId, d)
-    newest = documents(spark, d).agg(F.max("_metadata.file_modification_time")).first()[0]
-    if key not in _INDEXES or _INDEXES[key][0] != newest:
-        _INDEXES[key] = newest, bm25.build(documents(spark, d))
-    return _INDEXES[key][1]
-
-
-#: Embedded document tables, likewise.
-_VECTORS: dict[tuple[str, str], tuple[object, DataFrame]] = {}
+    return KEYWORDS.of(spark, f"{d}/documents.parquet")
 
 
 def retrieval_index(spark, d) -> plan.Index:
     """The keyword index and the embedded documents that serve the whole retrieval chain."""
-    keywords, key = keyword_index(spark, d), (spark.sparkContext.applicationId, d)
-    newest = _INDEXES[key][0]
-    if key not in _VECTORS or _VECTORS[key][0] != newest:
-        _VECTORS[key] = newest, settle(plan.embed_documents(documents(spark, d)), "vectors")
-    return plan.Index(documents(spark, d), _VECTORS[key][1], keywords)
+    return plan.Index(documents(spark, d), VECTORS.of(spark, f"{d}/documents.parquet"), keyword_index(spark, d))
 
 
 def single(questions_: DataFrame) -> DataFrame:
@@ -142,6 +132,22 @@ def vector_topk_l2(spark, d):
     return _neighbours(spark, d).select("query_id", "id", "rank", F.round("distance", 4).alias("distance"))
 
 
+@register(f"WITH {L2} SELECT query_id, id, rank, round(distance, 4) AS distance FROM nn")
+def vector_ivf_all_lists(spark, d):
+    """Inverted lists with every list probed are exact."""
+    index, rows = LISTS_OF.of(spark, f"{d}/embeddings.parquet"), table(spark, d, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("ix"), "embedding")
+    return ivf.search(index, asked, 20, probes=len(index.centroids)).select("query_id", "id", "rank", F.round("distance", 4).alias("distance"))
+
+
+@register()
+def vector_ivf(spark, d):
+    """Inverted lists, as many probed as the index found to be needed."""
+    index, rows = LISTS_OF.of(spark, f"{d}/embeddings.parquet"), table(spark, d, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("ix"), "embedding")
+    return ivf.search(index, asked, 20).select("query_id", "id", "rank", F.round("distance", 4).alias("distance"))
+
+
 @register(f"WITH {L2} SELECT query_id, id, round(1 / (1 + greatest(distance, 0)), 6) AS similarity FROM nn")
 def vector_similarity(spark, d):
     return _neighbours(spark, d).select("query_id", "id", F.round(scores.similarity(F.col("distance")), 6).alias("similarity"))
@@ -801,24 +807,27 @@ def _stream(spark, d, name: str) -> DataFrame:
 
 @register("SELECT doc_id, source, length(text) AS n FROM documents")
 def stream_ingest(spark, d):
-    from .sources import tables
-
     root = shared_path(spark, "ingest")
     stream = _stream(spark, d, "documents").select("doc_id", "source", F.length("text").cast("long").alias("n"))
-    ingest.ingest(stream, f"{root}/table", ["doc_id"], f"{root}/checkpoint")
-    return tables.read(spark, f"{root}/table")
+    target = Buckets(f"{root}/table", ("doc_id",), 16)
+    ingest.ingest(stream, target, f"{root}/checkpoint")
+    return target.read(spark)
 
 
 @register(r"""
-    WITH m AS (SELECT conv_id, turn, role, role || ': ' || coalesce(text, '') AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS age FROM conversations)
-    SELECT conv_id AS session_id, count(*) AS n_messages, least(count(*), 20) AS n_kept, max(turn) AS last_turn, coalesce(right(trim(string_agg(line, chr(10) ORDER BY age DESC) FILTER (age > 20)), 1200), '') AS summary FROM m GROUP BY conv_id""")
+    WITH m AS (SELECT conv_id, turn, role, role || ': ' || coalesce(text, '') AS line, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS age FROM conversations WHERE turn >= 2 OR conv_id % 5 <> 0),
+    s AS (SELECT conv_id AS session_id, count(*) AS n_messages, least(count(*), 20) AS n_kept, max(turn) AS last_turn, coalesce(right(trim(string_agg(line, chr(10) ORDER BY age DESC) FILTER (age > 20)), 1200), '') AS summary FROM m GROUP BY conv_id)
+    SELECT c.session_id, coalesce(n_messages, 0) AS n_messages, coalesce(n_kept, 0) AS n_kept, coalesce(s.last_turn, 1) AS last_turn, coalesce(summary, '') AS summary FROM (SELECT DISTINCT conv_id AS session_id FROM conversations) c LEFT JOIN s USING (session_id)""")
 def stream_memory(spark, d):
+    """The first two turns, the rest in a second run from the checkpoint; every fifth session is cleared between them."""
     root = shared_path(spark, "memory")
-    stream = _stream(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", "text")
-    ingest.run_to_table(session_memory(stream), f"{root}/out", f"{root}/checkpoint")
-    out = spark.read.parquet(f"{root}/out")
-    latest = out.groupBy("session_id").agg(F.max_by(F.struct("n_messages", "n_kept", "last_turn", "summary"), "batch").alias("s"))
-    return latest.select("session_id", "s.*")
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", "text")
+    cleared = rows.select("session_id").distinct().where("session_id % 5 = 0").select("session_id", F.lit(1).cast("long").alias("turn"), F.lit(CLEAR).alias("role"), F.lit(None).cast("string").alias("text"))
+    for part in (rows.where("turn < 2"), cleared, rows.where("turn >= 2")):
+        part.write.mode("append").parquet(f"{root}/in")
+        with state_store(spark):
+            ingest.run_to_table(session_memory(ingest.read_stream(spark, f"{root}/in", rows.schema)), f"{root}/out", f"{root}/checkpoint")
+    return ingest.latest(spark, f"{root}/out", ["session_id"])
 
 
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:

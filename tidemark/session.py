@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +47,24 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows, else as it is: the size is checked, not assumed."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def file_states(spark: SparkSession, path: str) -> tuple:
+    """(path, length, time) of every file of a table, in order, without reading any."""
+    found = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    return tuple(sorted(tuple(r) for r in found.collect()))  # a row per file
+
+
+class Kept:
+    """What was built from a table's files, for as long as these are the same: one entry per session and table, built anew when a file
+    is added, replaced (by a newer or an older one) or deleted."""
+
+    def __init__(self, build: Callable[[SparkSession, str], Any]):
+        self.build = build
+        self.entries: dict[tuple[str, str], tuple[tuple, Any]] = {}
+
+    def of(self, spark: SparkSession, path: str) -> Any:
+        key, states = (spark.sparkContext.applicationId, path), file_states(spark, path)
+        if key not in self.entries or self.entries[key][0] != states:
+            self.entries[key] = states, self.build(spark, path)
+        return self.entries[key][1]

@@ -1,4 +1,4 @@
-"""Continuous ingest: files in a folder become rows of a versioned table."""
+"""Continuous ingest: files in a folder become rows of a table of buckets."""
 
 from __future__ import annotations
 
@@ -7,20 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.governance import upsert
-from ..sources import tables
+from ..sources.tables import Buckets
 
 
-def ingest(stream: DataFrame, root: str, key: list[str], checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Upsert all that is available in the stream into the table at root, one version per batch. A batch that a restart
-    repeats upserts the same rows again. Every version is a whole table; for tables far larger than a batch, ingest
-    into `run_to_table` with the key's latest row taken on reading (`latest`)."""
+def ingest(stream: DataFrame, table: Buckets, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Upsert all that is available in the stream into a table; a batch reads and writes only the buckets it falls in. A batch that a
+    restart repeats upserts the same rows again."""
 
     def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        new = (prepare(df) if prepare else df).dropDuplicates(key)
-        old = tables.read(spark, root) if tables.current_version(spark, root) else new.limit(0)
-        tables.publish(upsert(old, new, key), root)
+        table.upsert((prepare(df) if prepare else df).dropDuplicates(list(table.key)))
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
