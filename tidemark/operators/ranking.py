@@ -181,6 +181,29 @@ def documents(ranked: DataFrame) -> DataFrame:
     return rows.select("query_id", "position", "content", F.map_filter(F.create_map(*own), lambda _, v: v.isNotNull()).alias("metadata"))
 
 
+#: Labels of an evidence block and of what the answering tool says.
+EVIDENCE = ("【证据 ", "】")
+SOURCE, DOCUMENT_LEVEL, RERANKED_BY, RERANK_SCORE = "来源: ", "文档置信度: ", "重排来源: ", "重排分数: "
+OVERALL_LEVEL, LEVEL_REASON, LEVEL_STATISTICS = "检索整体置信度: ", "置信度说明: ", "置信度统计: "
+NO_EVIDENCE, NO_ANSWER = "当前没有命中知识库证据。", "没有找到相关信息。"
+
+
+def tool_text(explained: DataFrame) -> DataFrame:
+    """explained (of `explain`) with what the answering tool says: the level with its reason and statistics, then the evidence."""
+    debug = lambda name: F.get_json_object("confidence_debug", f"$.{name}")
+    pairs = (("top1", "top1Score"), ("top2", "top2Score"), ("avgTop3", "avgTop3Score"), ("support", "supportCount"))
+    statistics = F.concat_ws(", ", *(F.concat(F.lit(f"{label_}="), debug(name)) for label_, name in pairs))
+    lines = [
+        F.concat(F.lit(OVERALL_LEVEL), F.col("confidence")),
+        F.concat(F.lit(RERANKED_BY), debug("provider")),
+        F.when(F.col("reason") != "", F.concat(F.lit(LEVEL_REASON), F.col("reason"))),
+        F.concat(F.lit(LEVEL_STATISTICS), statistics),
+    ]
+    body = F.when(F.col("context_text") == "", NO_EVIDENCE).otherwise(F.col("context_text"))
+    text = F.when(F.size("references") == 0, NO_ANSWER).otherwise(F.concat(F.concat_ws("\n", *lines), F.lit("\n\n"), body))
+    return explained.withColumn("tool_text", text)
+
+
 def explain(levels: DataFrame, ranked: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """levels (of `confidence`) with references of the final candidates, their context text, the numbered reference list
     and a debug object in JSON. A query has final_k candidates at most, so its rows are gathered."""
@@ -192,11 +215,11 @@ def explain(levels: DataFrame, ranked: DataFrame, settings: Settings = DEFAULTS)
 
     def evidence(x: Column, i: Column) -> Column:
         parts = [
-            F.concat(F.lit("【证据 "), (i + 1).cast("string"), F.lit("】")),
-            F.concat(F.lit("来源: "), page_reference(x["file_name"], x["page_number"], x["section_path"])),
-            F.concat(F.lit("文档置信度: "), x["document_confidence"]),
-            F.concat(F.lit("重排来源: "), x["rerank_source"]),
-            F.concat(F.lit("重排分数: "), F.format_string("%.3f", x["rerank_score"]), F.lit(" (raw="), F.format_string("%.3f", x["raw_rerank_score"]), F.lit(")")),
+            F.concat(F.lit(EVIDENCE[0]), (i + 1).cast("string"), F.lit(EVIDENCE[1])),
+            F.concat(F.lit(SOURCE), page_reference(x["file_name"], x["page_number"], x["section_path"])),
+            F.concat(F.lit(DOCUMENT_LEVEL), x["document_confidence"]),
+            F.concat(F.lit(RERANKED_BY), x["rerank_source"]),
+            F.concat(F.lit(RERANK_SCORE), F.format_string("%.3f", x["rerank_score"]), F.lit(" (raw="), F.format_string("%.3f", x["raw_rerank_score"]), F.lit(")")),
             F.coalesce(x["content"], F.lit("")),
         ]
         return F.concat_ws("\n", *parts)

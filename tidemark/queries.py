@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .config import DEFAULTS
 from .functions import scores, text
 from .operators import bm25, chunking, governance, ivf, memory, ops, query, ranking, vector
+from .plans import functions as tools
+from .plans import publishing, refresh
 from .plans import retrieve as plan
 from .session import Kept, settle, shared_path
 from .sources import files, generators
@@ -382,6 +384,21 @@ def hybrid_retrieve(spark, d):
     return final.join(found.confidence.select("query_id", "confidence"), "query_id").select("query_id", "id", "position", F.round("rerank_score", 6).alias("rerank_score"), "document_confidence", "confidence")
 
 
+@register(f"""WITH {HYBRID}
+    SELECT rr.query_id, cf.confidence, string_agg(id || ':' || label || ':' || printf('%.3f', rs), ',' ORDER BY position) AS evidence,
+        '检索整体置信度: ' || cf.confidence || ',重排来源: local' || ',置信度统计: support=' || any_value(cf.support) AS said
+    FROM rr JOIN cf USING (query_id) WHERE position <= 5 GROUP BY rr.query_id, cf.confidence""")
+def knowledge_tool(spark, d):
+    """What the answering tool says of every question: its evidence, and the lines of its head that hold no sum of floats."""
+    rows = plan.retrieve_knowledge(retrieval_index(spark, d), questions(spark, d)).where(F.size("references") > 0)
+    ids = F.from_json("confidence_debug", "struct<candidates:array<struct<id:string>>>")["candidates"]
+    scored = F.regexp_extract_all("context_text", F.lit(r"重排分数: ([0-9.]+) "), F.lit(1))
+    evidence = F.transform(F.arrays_zip(ids.alias("a"), F.col("references").alias("b"), scored.alias("c")), lambda x: F.concat_ws(":", x["a"]["id"], x["b"]["confidence"], x["c"]))
+    head = lambda pattern: F.regexp_extract("tool_text", pattern, 1)
+    said = F.concat_ws(",", head("^(检索整体置信度: [a-z]+)"), head("(?m)^(重排来源: [a-z]+)$"), F.concat(F.lit("置信度统计: "), head("(?m)^置信度统计: .*(support=[0-9]+)$")))
+    return rows.select("query_id", "confidence", F.array_join(evidence, ",").alias("evidence"), said.alias("said"))
+
+
 # --- fingerprints and governance ----------------------------------------------
 
 NORMAL = "lower(query)"
@@ -556,6 +573,56 @@ def chunk_enrich(spark, d):
     return governance.enrich(_chunks(spark, d), docs).select("chunk_key", "collection_name", "file_name")
 
 
+def _published_by_log(spark, d) -> publishing.View:
+    """The same drafts and edits as a log beside the chunks."""
+    chunks, root = _chunks(spark, d), shared_path(spark, "edits")
+    drafts = chunks.where("lang = 'fr'").select("chunk_key", F.when(F.length("published_text") > 1000, F.concat(F.lit("long "), F.col("id").cast("string"))).otherwise("  ").alias("draft"))
+    publishing.save_drafts(chunks, root, drafts)
+    publishing.publish(chunks, root, chunks.where("lang IN ('fr', 'de')").select("chunk_key", F.lit("admin").alias("editor"), F.lit("note").alias("edit_note")), settings=replace(DEFAULTS, embedding_dim=64))
+    return publishing.view(chunks, root)
+
+
+@register(SQL["chunk_draft_publish"])
+def publish_log_chunks(spark, d):
+    return _published_by_log(spark, d).chunks.select("chunk_key", "published_text", "published_version", "draft_text", "sync_status")
+
+
+@register(SQL["chunk_history"])
+def publish_log_history(spark, d):
+    return governance.list_history(_published_by_log(spark, d).history).select("chunk_id", "version_no", "old_text", "new_text", "publish_status")
+
+
+@register(SQL["chunk_upsert"])
+def bucket_upsert(spark, d):
+    """The chunk upsert on a table of buckets, in two steps."""
+    old = _chunks(spark, d)
+    table_ = Buckets(shared_path(spark, "buckets"), ("chunk_key",), 32)
+    table_.upsert(old.select("chunk_key", "published_text", "published_version", "sync_status"))
+    changed = old.where("lang = 'de'").select("chunk_key", F.concat(F.lit("new "), F.col("id").cast("string")).alias("published_text"), F.lit(7).alias("published_version"), F.lit("synced").alias("sync_status"))
+    table_.upsert(changed, keep=("published_version",))
+    table_.upsert(old.where("lang = 'fr'").select(F.concat(F.lit("fresh::"), F.col("id").cast("string")).alias("chunk_key"), F.lit("new").alias("published_text"), F.lit(9).alias("published_version"), F.lit("synced").alias("sync_status")))
+    return table_.read(spark)
+
+
+@register(f"""
+    WITH t AS (SELECT doc_id, CASE WHEN lang = 'de' THEN 'replaced ' || left(text, 300) ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'fr'),
+    k AS (SELECT doc_id, unnest({toks("coalesce(text, '')")}) AS token FROM t)
+    SELECT token, count(DISTINCT doc_id) AS files FROM k GROUP BY token""")
+def file_index_refresh(spark, d):
+    """Documents as files: all are added, German ones change, French ones go; of every token the files that hold it."""
+    root = shared_path(spark, "file-index")
+    path = lambda: F.concat_ws("/", F.lit("kb:"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path")
+    whole = documents(spark, d).select(path(), "lang", "text")
+    raw = lambda df, stamp: df.select("path", F.timestamp_seconds(F.lit(stamp)).alias("modificationTime"), F.length(F.col("text").cast("binary")).cast("long").alias("length"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("content"))
+    small_vectors = replace(DEFAULTS, embedding_dim=32)
+    refresh.add_files(raw(whole, 1), root, settings=small_vectors)
+    changed = whole.where("lang = 'de'").withColumn("text", F.concat(F.lit("replaced "), F.left("text", F.lit(300))))
+    refresh.add_files(raw(changed, 2), root, settings=small_vectors, gone=whole.where("lang = 'fr'"))
+    own = refresh.open_index(spark, root)
+    held = own.postings.join(own.chunks.select(F.col("id").alias("doc_id"), "source_path"), "doc_id")
+    return held.groupBy("token").agg(F.count_distinct("source_path").alias("files"))
+
+
 # --- chunking -----------------------------------------------------------------
 
 
@@ -619,6 +686,24 @@ def recursive_split(spark, d):
     return chunking.recursive_split(documents(spark, d), ["doc_id"])
 
 
+BLANKS = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+"
+
+
+@register(rf"""
+    SELECT doc_id, true AS gapless, true AS within, true AS inside, sha256(regexp_replace(coalesce(text, ''), '{BLANKS}', '', 'g')) AS letters
+    FROM documents WHERE regexp_replace(coalesce(text, ''), '{BLANKS}', '', 'g') <> ''""")
+def recursive_split_whole(spark, d):
+    """Of every document: chunks are numbered without gaps, none is above the size, each stands in the text, and chunks without overlap hold all of it."""
+    docs = documents(spark, d)
+    cut = chunking.recursive_split(docs, ["doc_id", "text"])
+    shape = cut.groupBy("doc_id").agg((F.max("piece") + 1 == F.count("*")).alias("gapless"), (F.max(F.length("content")) <= DEFAULTS.chunk_size).alias("within"), F.bool_and(F.contains("text", F.col("content"))).alias("inside"))
+    plain = chunking.recursive_split(docs, ["doc_id"], overlap=0)
+    rows = F.array_sort(F.collect_list(F.struct("piece", "content")))  # one document's chunks
+    joined = plain.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["content"]), "").alias("t"))
+    letters = F.sha2(F.regexp_replace("t", BLANKS, ""), 256).alias("letters")
+    return shape.join(joined.select("doc_id", letters), "doc_id")
+
+
 @register(f"""
     WITH pc AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: CASE WHEN i = 1 THEN x ELSE chr(10) || x END) AS p FROM documents),
     pz AS (SELECT doc_id, list_transform(list_filter(p, lambda x: x <> ''), lambda x: {{'o': []::VARCHAR[], 'h': x}}) AS p FROM pc),
@@ -653,6 +738,19 @@ def document_chunks(spark, d):
     return chunking.split_documents(docs.drop("page_id"), pages)
 
 
+@register(rf"""
+    WITH {PAGES}
+    dt AS (SELECT d.doc_id, concat_ws('/', source, d.doc_id || CASE lang WHEN 'en' THEN '.md' WHEN 'fr' THEN '.pdf' ELSE '.txt' END) AS source_path, CASE lang WHEN 'en' THEN '.md' WHEN 'fr' THEN '.pdf' ELSE '.txt' END AS extension, CASE WHEN lang = 'fr' THEN lt.text ELSE coalesce(d.text, '') END AS text FROM documents d JOIN lt ON page_id = d.doc_id)
+    SELECT source_path, extension, true AS gapless, true AS keyed, md5(array_to_string(list_sort(list_distinct({toks('text')})), ' ')) AS words FROM dt WHERE regexp_replace(text, '{BLANKS}', '', 'g') <> ''""")
+def document_chunks_whole(spark, d):
+    """Of every document's chunks: numbers without gaps, keys of path and number, and no word of the document missing or made up."""
+    chunks = document_chunks(spark, d)
+    keyed = F.col("chunk_key") == F.concat_ws("::", "source_path", F.col("chunk_index").cast("string"))
+    shape = chunks.groupBy("source_path", "extension").agg((F.max("chunk_index") + 1 == F.count_distinct("chunk_index")).alias("gapless"), F.bool_and(keyed).alias("keyed"))
+    words = chunks.select("source_path", F.explode_outer(text.tokens(F.col("content"))).alias("t")).distinct().groupBy("source_path").agg(F.md5(F.array_join(F.array_sort(F.collect_list("t")), " ")).alias("words"))
+    return shape.join(words, "source_path")
+
+
 # --- sessions -----------------------------------------------------------------
 
 
@@ -740,6 +838,44 @@ def log_search(spark, d):
     return ops.search_logs(logs, F.lit(first + hour), F.lit(first + 49 * hour), "error").select("event_id", "topic", "value")
 
 
+def _span(spark, d) -> tuple[int, int]:
+    """From an hour after the first event to two days later, in milliseconds."""
+    first = table(spark, d, "events").agg(F.unix_millis(F.min("ts").cast("timestamp"))).first()[0]
+    return first + 3_600_000, first + 49 * 3_600_000
+
+
+#: Events within the same span.
+SPANNED = f"(SELECT e.* FROM events e, {SPAN} WHERE epoch_ms(ts) BETWEEN epoch_ms(a) AND epoch_ms(b))"
+
+
+@register(f"SELECT event_type AS asked, event_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, props AS message FROM {SPANNED} QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) <= 20")
+def sql_search_log(spark, d):
+    """The function of SQL users, for every topic there is."""
+    tools.register_logs(tools.from_events(table(spark, d, "events"))[0], "tidemark_search_log")
+    a, b = _span(spark, d)
+    table(spark, d, "events").select(F.col("event_type").alias("asked")).distinct().createOrReplaceTempView("tidemark_topics")
+    return spark.sql(f"SELECT q.asked, event_id, level, message FROM tidemark_topics q, LATERAL tidemark_search_log(q.asked, {a}, {b}, 20)")
+
+
+@register(f"""
+    WITH s AS (SELECT event_type AS asked, count(value) AS n, max(value) AS highest, min(value) AS lowest, round(list_sort(list(value))[least(floor(count(value) * 0.95::DOUBLE)::BIGINT + 1, count(value))], 2) AS p95 FROM {SPANNED} WHERE value IS NOT NULL GROUP BY event_type)
+    SELECT asked, n, highest, lowest, p95, highest > 70 AS triggered, CASE WHEN highest > 70 THEN '内存使用率超过 70% 阈值，存在内存压力' ELSE '内存使用率正常' END AS message FROM s""")
+def sql_metric_report(spark, d):
+    """The memory report of every service, by the function of SQL users."""
+    tools.register_metrics(tools.from_events(table(spark, d, "events"))[1], "tidemark_metric_report")
+    a, b = _span(spark, d)
+    table(spark, d, "events").where(F.unix_millis(F.col("ts").cast("timestamp")).between(a, b) & F.col("value").isNotNull()).select(F.col("event_type").alias("asked")).distinct().createOrReplaceTempView("tidemark_services")
+    return spark.sql(f"SELECT q.asked, n, highest, lowest, p95, triggered, message FROM tidemark_services q, LATERAL tidemark_metric_report('memory', q.asked, {a}, {b})")
+
+
+@register(f"WITH ex AS (SELECT item_id AS query_id, 0 AS ix, text AS query FROM benchmark QUALIFY item_id = min(item_id) OVER ()), {BM25} SELECT rank AS place, doc_id, round(score, 6) AS score, source FROM bm JOIN documents USING (doc_id)")
+def sql_search_knowledge(spark, d):
+    """The first question by the function of SQL users."""
+    tools.register_search(keyword_index(spark, d), documents(spark, d), "tidemark_search_knowledge")
+    question = questions(spark, d).orderBy("query_id").first()["query"]
+    return spark.sql("SELECT place, doc_id, round(score, 6) AS score, source FROM tidemark_search_knowledge(:question, 20)", {"question": question})
+
+
 TOPICS_SQL = ", ".join(str(t) for t in generators.TOPICS)
 ASKED = "(SELECT DISTINCT CASE event_type WHEN 'click' THEN 'SYNC' WHEN 'view' THEN 'the api-gateway-service pods' WHEN 'error' THEN 'data-sync-service' ELSE event_type END AS service_name, CASE event_type WHEN 'error' THEN 'ap-shanghai' WHEN 'view' THEN '' END AS region_code FROM events)"
 
