@@ -44,9 +44,10 @@ def _local_root() -> str:
 
 def bound_batches(spark: SparkSession) -> None:
     """Bound the bytes of Arrow batches, which hold whole texts on both sides of a task; the rows of a batch, which short
-    rows depend on, stay as the session has them."""
+    rows depend on, stay as the session has them. Plans read the setting when they run, so it stays for the session."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, "64m").rstrip("bB").replace("m", "000000")) > ARROW_BYTES:
+    asked = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "64m"))
+    if not 0 < asked <= ARROW_BYTES:
         spark.conf.set(name, f"{ARROW_BYTES}b")
 
 
@@ -129,6 +130,19 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], list]], s
 FILTER_BITS = 1 << 27
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """name, or one like it that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_row(docs: DataFrame) -> F.Column:
+    """All columns of docs in one, so that a plan's own columns may have any name."""
+    return F.struct(*(docs[f"`{c}`"] for c in docs.columns))
+
+
 def without(docs: DataFrame, keys: list[F.Column], gone: DataFrame) -> DataFrame:
     """docs without the rows whose keys (expressions over docs) stand in gone(<keys>, once); where `once`
     is true, one row of each key stays, the first by its other columns.
@@ -136,24 +150,23 @@ def without(docs: DataFrame, keys: list[F.Column], gone: DataFrame) -> DataFrame
     A bitmap of the hashes of gone's keys, 16 MB whatever the input, is broadcast and lets all
     other rows pass on the map side. Only the rows that it hits, those that go and few others,
     meet gone itself, so texts that stay are not shuffled. Nulls are equal to nulls. gone is read
-    several times and should be a table.
+    several times and should be a table. Columns of docs may have any name.
     """
     names = [c for c in gone.columns if c != "once"]
     place = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
     filled = gone.groupBy(F.bitmap_bucket_number(place(names)).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(names))).alias("_bits"))
     own = [f"_own{i}" for i in range(len(keys))]
-    rows = docs.select("*", *(k.alias(n) for k, n in zip(keys, own)))
+    rows = docs.select(whole_row(docs).alias("_row"), *(k.alias(n) for k, n in zip(keys, own)))
     rows = rows.withColumn("_at", F.bitmap_bit_position(place(own))).join(F.broadcast(filled), F.bitmap_bucket_number(place(own)) == F.col("_bucket"), "left")
     bit = F.expr("coalesce(getbit(cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)), 0)")
     same = [F.col(n).eqNullSafe(F.col(f"_gone.{k}")) for n, k in zip(own, names)]
     hits = rows.where(bit == 1).drop("_at", "_bucket", "_bits")
-    stay = rows.where(bit == 0).select(docs.columns).unionByName(hits.join(gone.alias("_gone"), same, "left_anti").select(docs.columns))
+    stay = rows.where(bit == 0).select("_row").unionByName(hits.join(gone.alias("_gone"), same, "left_anti").select("_row"))
     once = gone.where("once")
-    if once.isEmpty():
-        return stay
-    rest = F.to_json(F.struct(*docs.columns))
-    firsts = hits.join(once.alias("_gone"), same, "left_semi").groupBy(*own).agg(F.min_by(F.struct(*docs.columns), rest).alias("_row"))
-    return stay.unionByName(firsts.select("_row.*"))
+    if not once.isEmpty():
+        firsts = hits.join(once.alias("_gone"), same, "left_semi").groupBy(*own).agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+        stay = stay.unionByName(firsts.select("_row"))
+    return stay.select("_row.*")
 
 
 class TwoAges(dict):

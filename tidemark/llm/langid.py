@@ -25,9 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import held_out, map_texts, materialize
+from .common import held_out, map_texts, materialize, unused
 
 BINS = 4096
 #: Rows per language that the centroids are fitted on, at most.
@@ -175,10 +175,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> It
         yield Model([r["lang"] for r in block], idf, np.concatenate(centres) if block else np.zeros((0, BINS), np.float32), of, np.array([r["reach"] for r in block]))
 
 
-def judged(docs: DataFrame, models: Iterator[Model]) -> DataFrame:
-    """docs with lang_pred_, score_ and least_: the best over all blocks."""
-    out = docs.withColumns({"lang_pred_": F.lit("und"), "score_": F.lit(-1.0), "least_": F.lit(0.0)})
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL("lang_pred_ string, score_ double, least_ double").fields])
+def judged(docs: DataFrame, models: Iterator[Model]) -> tuple[DataFrame, str, str, str]:
+    """docs with three more columns, and their names, which docs does not have: the language, score and least score of the best over all blocks."""
+    named, scored, least_of = (unused(docs, n) for n in ("lang_pred_", "score_", "least_"))
+    out = docs.withColumns({named: F.lit("und"), scored: F.lit(-1.0), least_of: F.lit(0.0)})
+    schema = StructType([*docs.schema.fields, StructField(named, StringType()), StructField(scored, DoubleType()), StructField(least_of, DoubleType())])
     for at, model in enumerate(models):
         if at:
             out = materialize(out, "judged")  # one block of centroids in a task
@@ -187,28 +188,28 @@ def judged(docs: DataFrame, models: Iterator[Model]) -> DataFrame:
         def make(shared=shared):
             def run(batch):
                 lang, score, least = shared.value.judge(batch["text"])
-                better = score > np.array(batch["score_"])
-                batch["lang_pred_"] = [x if y else z for x, y, z in zip(lang, better, batch["lang_pred_"])]
-                batch["least_"] = np.where(better, least, np.array(batch["least_"]))
-                batch["score_"] = np.where(better, score, np.array(batch["score_"]))
+                better = score > np.array(batch[scored])
+                batch[named] = [x if y else z for x, y, z in zip(lang, better, batch[named])]
+                batch[least_of] = np.where(better, least, np.array(batch[least_of]))
+                batch[scored] = np.where(better, score, np.array(batch[scored]))
                 return [batch[f.name] for f in schema.fields]
 
             return run
 
         out = map_texts(out, make, schema)
-    return out
+    return out, named, scored, least_of
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected: fit on the learning rows, judge all."""
     known = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
-    rows = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(known))
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("lang_pred_").alias("lang_pred"), F.col("score_").alias("score"), (F.col("score_") < F.col("least_")).alias("rejected"))
+    rows, named, scored, least = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(known))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(named).alias("lang_pred"), F.col(scored).alias("score"), (F.col(scored) < F.col(least)).alias("rejected"))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected, all columns; a null lang takes the prediction. Without a lang
     column nothing is learned, so no text has a known language."""
     known = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
-    rows = judged(docs, fit(known)).where("score_ >= least_")
-    return rows.select(*(F.coalesce("lang", "lang_pred_").alias("lang") if n == "lang" else n for n in docs.columns))
+    rows, named, scored, least = judged(docs, fit(known))
+    return rows.where(F.col(scored) >= F.col(least)).select(*(F.coalesce("lang", named).alias("lang") if n == "lang" else F.col(f"`{n}`") for n in docs.columns))
