@@ -66,7 +66,13 @@ def test_tags_add_labels():
         ("SPDX-License-Identifier: MIT\nISC AND Zlib", "MIT"),
         ("SPDX-License-Identifier: (MIT OR\n\nISC)", "( MIT OR"),
         ("SPDX-License-Identifier: LicenseRef-Own.1 AND MPL-2.0+", "LicenseRef-Own.1 AND MPL-2.0+"),
-        ("SPDX-License-Identifier: Unheard-1.0 OR MIT", ""),
+        ("SPDX-License-Identifier: Unheard-1.0 OR MIT", "Unheard-1.0 OR MIT"),
+        ("SPDX-License-Identifier: Intel OR MIT", "Intel OR MIT"),
+        ("SPDX-License-Identifier: MPL-2.0 AND NASA-1.3. More", "MPL-2.0 AND NASA-1.3"),
+        ("SPDX-License-Identifier: (Glide AND MIT) OR 389-own WITH Some-exception", "( Glide AND MIT ) OR 389-own WITH Some-exception"),
+        ("SPDX-License-Identifier: see OR MIT", ""),
+        ("SPDX-License-Identifier: Intel or MIT", ""),
+        ("SPDX-License-Identifier: Intel OR Glide", ""),
         ("spdx license identifier: MIT", ""),
         ("SPDX-License-Identifier MIT", ""),
         ("SPDX-License-Identifier: MIT) or (ISC", "MIT"),
@@ -77,6 +83,12 @@ def test_expressions_end_where_they_should(text, expression):
     assert licenses.scan(text)[7] == ([expression] if expression else [])
 
 
+def test_labels_of_names():
+    row = licenses.scan("SPDX-License-Identifier: Intel OR MIT-0\nSPDX-License-Identifier: NASA-1.3 AND MIT")
+    assert row[5] == "mit,mit-0" and row[8] is False
+    assert licenses.scan("SPDX-License-Identifier: Intel OR MIT")[8] is True and licenses.scan("SPDX-License-Identifier: Apache-1.0")[5] == "apache"
+
+
 def brute_labels(text):
     """Labels of one-line tags and of notices, by plain loops and recursive descent."""
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
@@ -86,19 +98,32 @@ def brute_labels(text):
         labels |= {label for p, label in licenses.BASE.items() if words[i : i + len(p.split())] == p.split()}
         longest = max((p for p in licenses.NOTICES if words[i : i + len(p.split())] == p.split()), key=lambda p: len(p.split()), default=None)
         labels |= {licenses.NOTICES[longest]} if longest else set()
-    for rest in re.findall(r"spdx-license-identifier: (?=([^\n]*))", low):
-        tokens = re.findall(r"\(|\)|[a-z0-9.+-]+|.", rest)
-        tokens = [t for t in tokens if t != " "]
+    for found in re.finditer(r"spdx-license-identifier: (?=([^\n]*))", low):
+        tokens = re.findall(r"\(|\)|[a-z0-9.+-]+|.", found[1])
+        raw = re.findall(r"\(|\)|[A-Za-z0-9.+-]+|.", text[found.start(1) : found.end(1)])
+        assert [t.lower() for t in raw if t.isascii()] == [t for t in tokens if t.isascii()]
+        tokens, raw = ([t for t in x if t != " "] for x in (tokens, raw))
         names, at = [], 0
 
+        def foreign(at):
+            """A name that is not known, between operators in capitals."""
+            name = raw[at]
+            shaped = re.fullmatch(r"[A-Za-z0-9.-]+\+?", name) and any(c.isalpha() for c in name) and name[0].isalnum() and (name[0].isupper() or re.search("[-.0-9]", name))
+            return shaped and ((at and raw[at - 1] in ("AND", "OR", "WITH")) or (at + 1 < len(raw) and raw[at + 1] in ("AND", "OR", "WITH") and not closes(at + 1)))
+
+        def closes(at):
+            """Is this operator the last of its line? Then no blank may follow it."""
+            return at == len(raw) - 1 and not text[found.start(1) : found.end(1) + 1].endswith((" ", "\n"))
+
         def operand(at):
             if at < len(tokens) and tokens[at] == "(":
                 at, ok = expression(at + 1)
                 return (at + 1, True) if ok and at < len(tokens) and tokens[at] == ")" else (at, False)
-            if at < len(tokens) and licenses.known(tokens[at]):
+            if at < len(tokens) and (licenses.known(tokens[at]) or (tokens[at] not in ("and", "or", "with") and foreign(at))):
                 names.append(tokens[at])
                 if at + 1 < len(tokens) and tokens[at + 1] == "with":
-                    return (at + 3, True) if at + 2 < len(tokens) and tokens[at + 2] in licenses.EXCEPTIONS else (at + 2, False)
+                    right = at + 2 < len(tokens) and (tokens[at + 2] in licenses.EXCEPTIONS or (tokens[at + 2] not in ("and", "or", "with") and foreign(at + 2)))
+                    return (at + 3, True) if right else (at + 2, False)
                 return at + 1, True
             return at, False
 
@@ -109,7 +134,7 @@ def brute_labels(text):
             return at, ok
 
         expression(at)
-        labels |= {licenses.family(n.rstrip("+")) for n in names}
+        labels |= {licenses.family(n.rstrip("+")) for n in names if licenses.known(n)}
     return ",".join(sorted(labels))
 
 

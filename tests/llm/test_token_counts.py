@@ -21,8 +21,8 @@ def test_blocks_are_stitched(spark, tmp_path):
     files = {}
     for k, (n, share) in enumerate([(1000, 0.2), (1000, 0.005), (64, 0.5), (300, 0), (0, 0), (1, 1)]):
         ids = np.where(r.random(n) < share, token_counts.SEPARATOR, r.integers(0, 50000, n))
-        files[f"part-{k}"] = ids.tolist()
-        (tmp_path / f"part-{k}").write_bytes(ids.astype(">u2").tobytes())
+        files[f"shard{k}.bin"] = ids.tolist()
+        (tmp_path / f"shard{k}.bin").write_bytes(ids.astype(">u2").tobytes())
     (tmp_path / "part-odd").write_bytes(b"\x00\x01\xc4\x80\x00")
     for block in (1, 7, 64, 1 << 16):
         rows = token_counts.count_tokens(spark, str(tmp_path), block=block, header=0).collect()

@@ -1,3 +1,4 @@
+import gzip
 import random
 
 from pyspark.sql import functions as F
@@ -72,7 +73,41 @@ def test_archives_are_read_as_written(spark, tmp_path):
     df = spark.createDataFrame(rows, "record_id string, kind string, url string, ts long, status int, headers map<string,string>, payload string")
     warc.write_records(df.repartition(2), str(tmp_path / "w"))
     got = sorted(map(tuple, warc.read_records(spark, str(tmp_path / "w")).collect()), key=lambda x: x[0])
-    want = [(i, k, u, t, s, (h or {}).get("ETag", (h or {}).get("etag")), (h or {}).get("Last-Modified"), {n.lower(): v for n, v in (h or {}).items()}, p or "") for i, k, u, t, s, h, p in rows]
+    want = [(i, k, u, t, s, (h or {}).get("ETag", (h or {}).get("etag")), (h or {}).get("Last-Modified"), {n.lower(): v for n, v in (h or {}).items()}, (p or "").encode()) for i, k, u, t, s, h, p in rows]
     assert got == want
     found = warc.resolve(warc.read_records(spark, str(tmp_path / "w"))).collect()
     assert [(x.record_id, x.source_id, x.verdict) for x in found] == [("b", "a", "resolved")]
+
+
+def record(fields, body, version="1.1", length=True):
+    fields = fields + ([f"Content-Length: {len(body)}"] if length else [])
+    return b"WARC/" + version.encode() + b"\r\n" + "\r\n".join(fields).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    inner = b"HTTP/1.1 200 OK\r\nETag: x\r\netag: y\r\nA: b\r\n c\r\n\r\n\xff\x00 WARC/1.0\r\nWARC-Type: response\r\n\r\n" + record(["WARC-Type: response", "WARC-Record-ID: no"], b"zz") * 3
+    whole = [
+        record(["WARC-Type: warcinfo", "WARC-Record-ID: i"], b"software: x", "1.0"),
+        record(["WARC-Type: Response", "WARC-Record-ID: a", "WARC-Target-URI: http://x.example/", "WARC-Date: 2026-01-02T03:04:05Z"], inner),
+        record(["WARC-Type: revisit", "WARC-Record-ID: b"], b"HTTP/1.1 304 Not Modified\r\n\r\n"),
+        record(["WARC-Type: revisit", "WARC-Record-ID: b"], b"HTTP/1.1 304 Not Modified\r\n\r\n"),
+        record(["WARC-Type: resource", "WARC-Record-ID: c"], b"no length", "1.0", length=False),
+        record(["WARC-Record-ID: none"], b"without a type"),
+        record(["WARC-Type: response", "WARC-Record-ID: d"], b"HTTP/1.1 2x0 ?\r\n\r\n" + bytes(range(256)) * 300),
+    ]
+    want = [("a", 200, inner.partition(b"\r\n\r\n")[2]), ("b", 304, b""), ("b", 304, b""), ("c", None, b"no length"), ("d", None, bytes(range(256)) * 300), ("e", None, b"cut"), ("i", None, b"software: x")]
+    cut = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: e\r\nContent-Length: 99\r\n\r\ncut"
+    for name, data in (("plain.warc", b"".join(whole) + cut), ("members.warc.gz", b"".join(gzip.compress(x) for x in [*whole, cut])), ("empty.warc", b"")):
+        (tmp_path / name).write_bytes(data)
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        for size in (before, "1000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = warc.read_records(spark, str(tmp_path / name)).collect()
+            assert sorted((r.record_id, r.status, bytes(r.payload)) for r in rows) == (want if data else [])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        if data:
+            a = next(r for r in rows if r.record_id == "a")
+            assert (a.kind, a.url, a.ts, a.etag, a.headers) == ("response", "http://x.example/", 1767323045, "x", {"etag": "x", "a": "b c"})
+    both = spark.createDataFrame([("n", "response", None, None, None, None, None)] * 2, "record_id string, kind string, url string, ts long, status int, headers map<string,string>, payload binary")
+    warc.write_records(both, str(tmp_path / "nulls"), "1.0")
+    assert [(r.record_id, r.url, r.ts, r.status, bytes(r.payload)) for r in warc.read_records(spark, str(tmp_path / "nulls")).collect()] == [("n", None, None, 200, b"")] * 2

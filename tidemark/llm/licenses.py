@@ -4,7 +4,9 @@ One automaton holds the notice phrases and the SPDX identifier tag, each as word
 between single spaces; the text is brought to the same form, so that one pass finds
 every place. Where the automaton finds the tag's words, written with hyphens and closed
 by a colon, an expression is read: known identifiers (with +, -only or -or-later) and
-LicenseRef names, joined by AND, OR and WITH known exceptions, in parentheses. It ends
+LicenseRef names, joined by AND, OR and WITH exceptions, in parentheses. Names that are not
+known stand in it as licences that are not allowed, where an operator in capitals before or behind
+them shows that they are names; they get no label. It ends
 at the first token that cannot continue it, so prose, full stops and comment ends behind
 it do not count; it goes on over a line end, comment marks aside, while a parenthesis or
 an operator is open. A shunting yard gives the operators WITH, AND, OR (in this order of
@@ -81,6 +83,9 @@ _TAG_FORM = re.compile(rb"spdx-license-identifier[ \t]*:")
 _BLANK = re.compile(r"[ \t]*")
 #: A line end with the blanks and comment marks around it.
 _LINE_END = re.compile(r"[ \t]*(?:\\|\*/|-->)?[ \t]*\r?\n[ \t]*(?:#+|//+|/?\*+|;+|--+|%+|<!--|REM\b)?[ \t]*")
+#: A name of any licence, and an operator in capitals behind one.
+_NAME = re.compile(r"[A-Za-z][A-Za-z0-9.-]*\+?|[0-9][A-Za-z0-9.-]*[A-Za-z][A-Za-z0-9.-]*\+?")
+_OPERATOR = re.compile(r"[ \t]+(?:AND|OR|WITH)(?=[ \t\r\n])")
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
 
 
@@ -93,6 +98,12 @@ def known(name: str) -> bool:
     return name in KNOWN or name.removesuffix("-only").removesuffix("-or-later") in KNOWN
 
 
+def foreign(name: str, text: str, end: int, before: str | None) -> bool:
+    """Is this a name that is not known, by its form and by an operator in capitals before it or behind its end in the text?"""
+    formed = _NAME.fullmatch(name) is not None and (name[0].isupper() or any(c in "-." or c.isdigit() for c in name))
+    return formed and (before in ("AND", "OR", "WITH") or _OPERATOR.match(text, end) is not None)
+
+
 def read_expression(text: str, at: int = 0) -> str:
     """The longest run of tokens from `at` on that can be an expression or its beginning, one space apart."""
     out: list[str] = []
@@ -113,9 +124,9 @@ def read_expression(text: str, at: int = 0) -> str:
         elif low in _STRENGTH and not operand_next and not (low == "with" and out[-1] == ")"):
             operand_next = True
         elif operand_next and low not in _STRENGTH and token not in "()":
-            right = known if not out or out[-1].lower() != "with" else lambda x: x.lower() in EXCEPTIONS
             bare = token.rstrip(".:-")  # a full stop, a colon or a comment's end behind a name
-            if not right(bare):
+            right = known(bare) if not out or out[-1].lower() != "with" else bare.lower() in EXCEPTIONS
+            if not right and not foreign(bare, text, m.end() if bare == token else len(text), out[-1] if out else None):
                 break
             ends = bare != token
             token, operand_next = bare, False
@@ -219,8 +230,8 @@ def evaluate(expression: str, allowed: frozenset[str] = ALLOWED) -> tuple[set[st
 
 
 def family(name: str) -> str:
-    """An SPDX name's label: families of the base labels share theirs."""
-    for label in ("mit", "apache", "gpl"):
+    """An SPDX name's label: versions of the base labels' licences share theirs, every other licence has its own."""
+    for label in ("apache", "gpl"):
         if name == label or name.startswith(label + "-"):
             return label
     return name
@@ -247,7 +258,7 @@ def scan(text: str) -> tuple:
                     names, verdict = evaluate(own)
                     expressions.append(own)
                     verdicts.append(verdict)
-                    labels |= {family(n.rstrip("+")) for n in names}
+                    labels |= {family(n.rstrip("+")) for n in names if known(n)}
     evidence = len(base) + len(longest) + 2 * len(expressions)
     allowed = None if not verdicts or None in verdicts else all(verdicts)
     starts = [at for at, _ in base]

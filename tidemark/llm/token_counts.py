@@ -88,10 +88,10 @@ _BLOCKS_DDL = (
 
 
 def scan_blocks(spark: SparkSession, path: str, separator: int = SEPARATOR, block: int = BLOCK, header: int = HEADER) -> DataFrame:
-    """One row per byte range of each file: file, block, lead (the file's first document, in its first block), opened (the
+    """One row per byte range of each file in path, whatever its name: file, block, lead (the file's first document, in its first block), opened (the
     document left open at the block's end, if it began there), first_end (offset of the first separator), n_ends,
     inner (documents that begin after a separator of the block and end in it), file_tokens, damaged."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
     count = F.greatest(F.lit(1), F.ceil(F.col("length") / (2 * block))).cast("int")
     own = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("content"), i * (2 * block) + 1, F.lit(2 * (block + header))))
     ranges = files.select(F.col("path").alias("file"), "length", F.posexplode(own).alias("block", "bytes"))

@@ -12,8 +12,8 @@ either side, equal Last-Modified values decide; without either the revisit is
 'unvalidated'. A resolved revisit gets the response's headers, overlaid by those that
 a 304 answer may update.
 
-Archives are read and written as records between version lines, with Spark's own text source
-and sink, so a large archive is split among tasks.
+Archives are read and written with Spark's own text source and sink: cut where version lines may begin, and put
+together again by the lengths that records state.
 
 Null URLs form no key: such revisits have 'no_response'. Null times are earliest for
 responses and match nothing for revisits. Of responses with equal time the largest
@@ -23,10 +23,16 @@ columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import materialize
+from .common import bound_batches, materialize
 
 #: Headers that a 304 answer may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -57,46 +63,121 @@ def lower_keys(headers: Column) -> Column:
     return first_keys(F.map_keys(headers), F.map_values(headers))
 
 
-def header_lines(block: Column) -> Column:
-    """The map of a block of `Name: value` lines."""
-    lines = F.filter(F.split(block, "\r\n"), lambda x: x.contains(":"))
-    return first_keys(F.transform(lines, lambda x: F.trim(F.substring_index(x, ":", 1))), F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "^[^:]*:", ""))))
-
-
-#: Fixed value: the line that opens a record.
-VERSION = "WARC/1.0\r\n"
+#: Fixed value: what opens every record, whatever the version behind it; the separator at which archives are cut.
+OPENS = "WARC/1."
+RECORD = "record_id string, kind string, url string, date string, status int, headers map<string,string>, payload binary"
+
+
+def header_fields(block: bytes) -> dict[str, str]:
+    """The fields of a block of `Name: value` lines, names in lower case; of names that clash the first counts, and lines that begin with
+    white space go on with the field before."""
+    out: dict[str, str] = {}
+    last = None
+    for line in block.split(b"\r\n"):
+        if line[:1] in (b" ", b"\t") and last is not None:
+            out[last] = f"{out[last]} {line.decode('utf-8', 'replace').strip()}"
+            continue
+        name, colon, value = line.partition(b":")
+        last = name.decode("utf-8", "replace").strip().lower() if colon else None
+        if last is not None:
+            if last in out:
+                last = None
+            else:
+                out[last] = value.decode("utf-8", "replace").strip()
+    return out
+
+
+def asked_bytes(raw: bytes) -> int | None:
+    """How many bytes a record asks for by its fields, which raw begins with from behind OPENS on: -1 for no stated length, None until the
+    fields are whole."""
+    end = raw.find(b"\r\n\r\n")
+    if end < 0:
+        return None
+    size = header_fields(raw[raw.find(b"\r\n") : end]).get("content-length", "")
+    return end + 4 + int(size) if size.isdigit() else -1
+
+
+def parse_record(raw: bytes, asked: int) -> tuple:
+    """The columns of a whole record."""
+    end = raw.find(b"\r\n\r\n")
+    own, body = header_fields(raw[raw.find(b"\r\n") : end]), raw[end + 4 :]
+    body = body.removesuffix(b"\r\n\r\n") if asked < 0 else raw[end + 4 : asked]
+    status, headers, payload = None, {}, body
+    if body.startswith(b"HTTP/"):
+        http, _, payload = body.partition(b"\r\n\r\n")
+        line, _, fields = http.partition(b"\r\n")
+        code = line.split(b" ")[1:2]
+        status, headers = int(code[0]) if code and code[0].isdigit() and len(code[0]) == 3 else None, header_fields(fields)
+    kind = own.get("warc-type")
+    return own.get("warc-record-id"), kind and kind.lower(), own.get("warc-target-uri"), own.get("warc-date"), status, list(headers.items()), payload
+
+
+def _joined(schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of pieces(file, value) in the order of their files: a record goes on over pieces until it has the length it states."""
+    file, raw, asked = None, bytearray(), None
+    rows: list[tuple] = []
+
+    def done() -> None:
+        if asked is not None and (row := parse_record(bytes(raw), asked))[1] is not None:
+            rows.append(row)
+
+    def taken() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        rows.clear()
+        return out
+
+    for batch in batches:
+        for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if name == file and raw and (asked is None or len(raw) < asked):
+                raw += OPENS.encode() + value  # the separator stood within the record
+            else:
+                done()
+                file, raw = name, bytearray(value)
+                asked = None
+            if asked is None:
+                asked = asked_bytes(raw)
+        if rows:
+            yield taken()
+    done()
+    if rows:
+        yield taken()
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of archive files, plain or compressed: record_id, kind, url, ts (seconds), status, etag, last_modified,
-    headers, payload. A file is split at version lines; what follows one within a payload has no type and is left out."""
-    raw = spark.read.option("lineSep", VERSION).text(path).select(F.regexp_extract("value", r"(?s)^(.*?)\r\n\r\n", 1).alias("top"), F.regexp_replace("value", r"(?s)^.*?\r\n\r\n", "").alias("body"))
-    own = raw.withColumn("own", header_lines(F.col("top"))).where(F.map_contains_key("own", F.lit("warc-type")))
-    http = own.withColumn("http", F.regexp_extract("body", r"(?s)^(HTTP/[0-9.]+ .*?)\r\n\r\n", 1)).withColumn("headers", header_lines(F.regexp_replace("http", r"^[^\r]*", "")))
-    get = lambda m, k: F.try_element_at(F.col(m), F.lit(k))
-    return http.select(
-        get("own", "warc-record-id").alias("record_id"),
-        F.lower(get("own", "warc-type")).alias("kind"),
-        get("own", "warc-target-uri").alias("url"),
-        F.unix_seconds(F.try_to_timestamp(get("own", "warc-date"))).alias("ts"),
-        F.regexp_extract("http", r"^HTTP/[0-9.]+ ([0-9]{3})", 1).try_cast("int").alias("status"),
-        get("headers", "etag").alias("etag"),
-        get("headers", "last-modified").alias("last_modified"),
+    """Records of archive files of version 1.0 or 1.1, plain or compressed, of one or many members: record_id, kind, url, ts (seconds),
+    status, etag, last_modified, headers, payload (bytes).
+
+    Spark cuts files where a version line may begin, so that plain files are read by many tasks; the pieces of a file then meet in order, and
+    a record goes on over as many of them as its Content-Length asks for, so a payload may hold version lines. A record
+    without a length ends at the next version line, one that is cut off keeps what there is, one without a type is none."""
+    bound_batches(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = spark.read.option("lineSep", OPENS).text(path)
+    pieces = cut.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    ordered = pieces.repartition(parts, "file").sortWithinPartitions("file", "block", "at").select("file", "value")
+    return ordered.mapInArrow(functools.partial(_joined, to_arrow_schema(StructType.fromDDL(RECORD))), RECORD).select(
+        "record_id",
+        "kind",
+        "url",
+        F.unix_seconds(F.try_to_timestamp("date")).alias("ts"),
+        "status",
+        F.try_element_at("headers", F.lit("etag")).alias("etag"),
+        F.try_element_at("headers", F.lit("last-modified")).alias("last_modified"),
         "headers",
-        F.regexp_replace(F.regexp_replace("body", r"(?s)^HTTP/[0-9.]+ .*?\r\n\r\n", ""), r"\r\n\r\n$", "").alias("payload"),
+        "payload",
     )
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """Write records(record_id, kind, url, ts, status, headers, payload) as archive files; null fields are left out."""
+def write_records(records: DataFrame, path: str, version: str = "1.1") -> None:
+    """Write records(record_id, kind, url, ts, status, headers, payload) as archive files; null fields are left out, payloads are text or bytes."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     headers = F.array_join(F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")), F.lit("\r\n"))), "")
-    body = F.concat(F.lit("HTTP/1.1 "), F.coalesce(F.col("status").cast("string"), F.lit("200")), F.lit("\r\n"), headers, F.lit("\r\n"), F.coalesce("payload", F.lit("")))
-    rows = records.select("*", body.alias("_body"))
+    head = F.concat(F.lit("HTTP/1.1 "), F.coalesce(F.col("status").cast("string"), F.lit("200")), F.lit("\r\n"), headers, F.lit("\r\n"))
+    body = F.concat(head.cast("binary"), F.coalesce(F.col("payload").cast("binary"), F.lit(b"")))
     date = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    fields = [("WARC-Type", F.col("kind")), ("WARC-Record-ID", F.col("record_id").cast("string")), ("WARC-Target-URI", F.col("url")), ("WARC-Date", date), ("Content-Length", F.octet_length("_body").cast("string"))]
-    top = F.concat_ws("", *(line(n, v) for n, v in fields))
-    rows.select(F.concat(F.lit(VERSION), top, F.lit("\r\n"), F.col("_body")).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    fields = [("WARC-Type", F.col("kind")), ("WARC-Record-ID", F.col("record_id").cast("string")), ("WARC-Target-URI", F.col("url")), ("WARC-Date", date), ("Content-Length", F.octet_length(body).cast("string"))]
+    top = F.concat_ws("", F.lit(f"WARC/{version}\r\n"), *(line(n, v) for n, v in fields), F.lit("\r\n"))
+    records.select(F.concat(top.cast("binary"), body).cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
 
 
 def resolve(records: DataFrame) -> DataFrame:
