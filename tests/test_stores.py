@@ -1,12 +1,15 @@
 """Tables of buckets, the log of edits, the relational store and streaming state."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
 from tidemark.operators import bm25, vector
-from tidemark.plans import index, publishing
-from tidemark.sources import relational, tables
+from tidemark.plans import functions as tools
+from tidemark.plans import index, publishing, retrieve
+from tidemark.sources import collection, relational, tables
 from tidemark.sources.tables import Buckets
 from tidemark.streaming import ingest
 from tidemark.streaming.memory import CLEAR, session_memory, state_store
@@ -196,3 +199,68 @@ def test_session_state_over_batches(spark, tmp_path):
         (2, 1): (1, 1, "", 7),
         (2, 2): (1, 1, "", 2),
     }
+
+
+def test_a_collection_of_vectors(spark, tmp_path):
+    root = f"file://{tmp_path}/c"
+    own = collection.create(spark, root, 2, buckets=4)
+    assert own.load(spark).count() == 0 and own.delete_source(spark, "p") == 0
+    kind = "id long, content string, metadata string, embedding array<double>"
+    own.write(spark.createDataFrame([(i, "x", '{"_source": "%s"}' % "pq"[i % 2], [1.0, float(i)]) for i in range(20)], kind))
+    own.write(spark.createDataFrame([(3, "y", None, [0.0, 0.0]), (50, "z", "{", [5.0, 5.0])], kind))
+    with pytest.raises(Exception, match="2 numbers"):
+        own.write(spark.createDataFrame([(4, "w", None, [1.0])], kind))
+    assert own.delete_source(spark, "p") == 10 and own.delete_source(spark, "p") == 0
+    got = {r.id: (r.content, r.embedding) for r in collection.create(spark, root, 2).load(spark).collect()}
+    assert set(got) == {*range(1, 20, 2), 50} and got[3] == ("y", [0.0, 0.0]) and got[5] == ("x", [1.0, 5.0])
+    assert own.delete_source(spark, "q") == 9 and {r.id for r in own.load(spark).collect()} == {3, 50}
+    with pytest.raises(ValueError, match="2 numbers"):
+        collection.create(spark, root, 3)
+
+
+def test_embeddings_have_one_width(spark):
+    def odd(texts):
+        if "bad" in texts:
+            raise ValueError
+        return [[1.0] * (3 if "wide" in texts else 2) for _ in texts]
+
+    got = {}
+    for text in ("good", "bad", "wide"):  # batches of their own
+        df = spark.createDataFrame([(1, text)], "id long, text string")
+        got[text] = vector.embed(df, ["id"], dim=2, embedder=odd).first().embedding
+    assert got["good"] == [1.0, 1.0] and {len(v) for v in got.values()} == {2}
+
+
+def test_sql_functions(spark):
+    tools.register_time(spark)
+    row = spark.sql("SELECT now_text() AS a, now_text('UTC') AS b, now_ms() AS c").first()
+    assert len(row.a) == 19 and row.a[:4] == row.b[:4] and abs(row.c / 1000 - time.time()) < 60
+    logs = spark.createDataFrame([(i, i * 1000, "t" if i % 2 else None, "INFO", f"m{i}") for i in range(10)], "event_id long, ms long, topic string, level string, message string")
+    tools.register_logs(logs.withColumn("ts", F.timestamp_millis("ms")))
+    ask = lambda call: [r.event_id for r in spark.sql(f"SELECT * FROM {call} ORDER BY ts").collect()]
+    assert ask("search_log('t', 1000, 7000, 3)") == [1, 3, 5] and ask("search_log('t', 1001, 7000)") == [3, 5, 7]
+    assert ask("search_log(NULL, 0, 2000)") == [0, 1, 2] and ask("search_log('none', 0, 9000)") == [] == ask("search_log('t', 5000, 1000)")
+    plan = spark.sql("SELECT * FROM search_log('t', 0, 9000, 5)")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=5" in plan
+    points = [("s", "cpu", i * 1000, float(v)) for i, v in enumerate([10, 20, 90, 90, 30])] + [("s", "memory", 0, 50.0)] + [("many", "cpu", i, float(i)) for i in range(1, 21)]
+    tools.register_metrics(spark.createDataFrame(points, "service string, metric string, ms long, value double").withColumn("ts", F.timestamp_millis("ms")))
+    one = lambda *a: spark.sql(f"SELECT * FROM metric_report({', '.join(map(repr, a))})").first()
+    assert tuple(one("cpu", "s", 0, 9000))[:7] == (5, 48.0, 90.0, 10.0, 90.0, 80.0, True) and one("cpu", "many", 0, 9000).p95 == 20.0
+    assert tuple(one("memory", "s", 0, 9000))[:7] == (1, 50.0, 50.0, 50.0, 50.0, 70.0, False) and one("cpu", "none", 0, 9000).n == 0
+    docs = spark.createDataFrame([(1, "red pump pump", "a"), (2, "blue pump", "b"), (3, "gear", None)], "doc_id long, text string, source string")
+    tools.register_search(bm25.build(docs), docs)
+    got = [(r.place, r.doc_id, r.score) for r in spark.sql("SELECT * FROM search_knowledge(:q) ORDER BY place", {"q": "Pump, pump it's red"}).collect()]
+    asked = spark.createDataFrame([(1, 0, "Pump, pump it's red")], "query_id long, ix int, query string")
+    assert got == [(r["rank"], r.doc_id, r.score) for r in bm25.search(docs, asked).orderBy("rank").collect()] and len(got) == 2
+    assert spark.sql("SELECT * FROM search_knowledge('nothing', 5)").count() == 0
+
+
+def test_the_answering_tool(spark):
+    docs = spark.createDataFrame([(1, "E01 spindle overheats check the coolant", "a.md"), (2, "hydraulic pressure low", "b.md")], "doc_id long, text string, source string")
+    asked = spark.createDataFrame([(1, "E01 spindle overheats"), (2, "zzz qqq")], "query_id long, query string")
+    got = {r.query_id: r for r in retrieve.retrieve_knowledge(docs, asked).collect()}
+    lines = got[1].tool_text.split("\n")
+    assert lines[0] == f"检索整体置信度: {got[1].confidence}" and lines[1] == "重排来源: local" and any(x.startswith("置信度统计: top1=") for x in lines)
+    assert "【证据 1】" in got[1].tool_text and "spindle overheats check" in got[1].tool_text and got[1].references[0].score > got[2].references[0].score
+    nothing = retrieve.retrieve_knowledge(docs.limit(0), asked).first()
+    assert nothing.tool_text == "没有找到相关信息。" and nothing.confidence == "low"

@@ -19,7 +19,7 @@ from .plans import functions as tools
 from .plans import publishing, refresh
 from .plans import retrieve as plan
 from .session import Kept, settle, shared_path
-from .sources import files, generators
+from .sources import collection, files, generators, tables
 from .sources.tables import Buckets
 from .streaming import ingest
 from .streaming.memory import CLEAR, session_memory, state_store
@@ -314,7 +314,7 @@ REASON = """CASE WHEN top1 IS NULL THEN '未检索到任何相关片段' WHEN co
     ELSE '证据相关性偏弱: top1=' || printf('%.3f', top1) || ', top2=' || printf('%.3f', top2) || ', support=' || support || ', avg_top3=' || printf('%.3f', avg3) END"""
 
 
-@register(f"WITH {CONFIDENCE} SELECT item_id AS query_id, replace({REASON.replace('support ||', 'cf.support ||')}, 'x', 'x') AS reason FROM benchmark LEFT JOIN (SELECT query_id, c0.top1, c0.top2, c0.avg3, cf.support, cf.confidence FROM cf LEFT JOIN c0 USING (query_id)) cf ON query_id = item_id")
+@register(f"WITH {CONFIDENCE} SELECT item_id AS query_id, {REASON.replace('support ||', 'cf.support ||')} AS reason FROM benchmark LEFT JOIN (SELECT query_id, c0.top1, c0.top2, c0.avg3, cf.support, cf.confidence FROM cf LEFT JOIN c0 USING (query_id)) cf ON query_id = item_id")
 def confidence_reason(spark, d):
     return _confidence(spark, d).select("query_id", "reason")
 
@@ -357,6 +357,30 @@ def rerank_external_join(spark, d):
     return out.select("query_id", "id", "position", F.round("rerank_score", 6).alias("rerank_score"))
 
 
+@register(f"WITH {RERANK} SELECT query_id, position, length(content) AS n, label AS document_confidence, 'local' AS rerank_source, 7 AS keys FROM (SELECT rr.*, coalesce(text, '') AS content FROM rr JOIN documents ON doc_id = id)")
+def candidate_documents(spark, d):
+    """Candidates as documents with their scores as metadata; the file's name, page and section are null here and left out."""
+    rows = ranking.documents(_ranked(spark, d).drop("file_name", "page_number", "section_path"))
+    value = lambda name: F.try_element_at("metadata", F.lit(name)).alias(name)
+    return rows.select("query_id", "position", F.length("content").cast("long").alias("n"), value("document_confidence"), value("rerank_source"), F.size("metadata").alias("keys"))
+
+
+@register(f"""WITH {RERANK},
+    sc AS (SELECT rr.*, CASE WHEN query_id % 3 <> 0 THEN (length(coalesce(text, '')) % 100) / 100.0::DOUBLE END AS s FROM rr JOIN documents ON doc_id = id)
+    SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(s, rs) DESC, rank)::INTEGER AS position, CASE WHEN s IS NULL THEN 'local' ELSE 'online' END AS rerank_source FROM sc""")
+def rerank_online(spark, d):
+    """A reranker that scores texts by their length and fails on every third question, which keeps the local order."""
+    numbered = questions(spark, d).withColumn("query", F.concat(F.when(F.col("query_id") % 3 == 0, "fail ").otherwise("ask "), "query"))
+
+    def reranker(asked: str, texts: list[str]) -> list[float]:
+        if asked.startswith("fail "):
+            raise ValueError(asked)
+        return [len(t) % 100 / 100 for t in texts]
+
+    ranked = _ranked(spark, d).join(numbered.select("query_id", "query"), "query_id").drop("raw_rerank_score", "rerank_score", "rerank_source", "position", "document_confidence")
+    return ranking.rerank_with(ranked, reranker).select("query_id", "id", "position", "rerank_source")
+
+
 HYBRID = f"""{KEYWORD}, {EMBED},
     dv AS (SELECT doc_id AS id, dim, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id))::DOUBLE AS x FROM ev WHERE v <> 0),
     qc AS (SELECT query_id, ix, c, count(*) AS n FROM (SELECT query_id, ix, unnest(string_split(trim(regexp_replace(query, '\\s+', ' ', 'g')), '')) AS c FROM ex) GROUP BY ALL),
@@ -385,15 +409,14 @@ def hybrid_retrieve(spark, d):
 
 
 @register(f"""WITH {HYBRID}
-    SELECT rr.query_id, cf.confidence, string_agg(id || ':' || label || ':' || printf('%.3f', rs), ',' ORDER BY position) AS evidence,
+    SELECT rr.query_id, cf.confidence, string_agg(id || ':' || label, ',' ORDER BY position) AS evidence,
         '检索整体置信度: ' || cf.confidence || ',重排来源: local' || ',置信度统计: support=' || any_value(cf.support) AS said
     FROM rr JOIN cf USING (query_id) WHERE position <= 5 GROUP BY rr.query_id, cf.confidence""")
 def knowledge_tool(spark, d):
     """What the answering tool says of every question: its evidence, and the lines of its head that hold no sum of floats."""
     rows = plan.retrieve_knowledge(retrieval_index(spark, d), questions(spark, d)).where(F.size("references") > 0)
     ids = F.from_json("confidence_debug", "struct<candidates:array<struct<id:string>>>")["candidates"]
-    scored = F.regexp_extract_all("context_text", F.lit(r"重排分数: ([0-9.]+) "), F.lit(1))
-    evidence = F.transform(F.arrays_zip(ids.alias("a"), F.col("references").alias("b"), scored.alias("c")), lambda x: F.concat_ws(":", x["a"]["id"], x["b"]["confidence"], x["c"]))
+    evidence = F.transform(F.arrays_zip(ids.alias("a"), F.col("references").alias("b")), lambda x: F.concat_ws(":", x["a"]["id"], x["b"]["confidence"]))
     head = lambda pattern: F.regexp_extract("tool_text", pattern, 1)
     said = F.concat_ws(",", head("^(检索整体置信度: [a-z]+)"), head("(?m)^(重排来源: [a-z]+)$"), F.concat(F.lit("置信度统计: "), head("(?m)^置信度统计: .*(support=[0-9]+)$")))
     return rows.select("query_id", "confidence", F.array_join(evidence, ",").alias("evidence"), said.alias("said"))
@@ -604,6 +627,19 @@ def bucket_upsert(spark, d):
     return table_.read(spark)
 
 
+@register("""
+    SELECT vec_id AS id, CASE WHEN vec_id % 9 = 0 THEN 'second' ELSE 'first' END AS content, 's' || vec_id % 4 AS source, embedding[1]::DOUBLE * CASE WHEN vec_id % 9 = 0 THEN 2 ELSE 1 END AS first_entry
+    FROM embeddings WHERE vec_id % 4 <> 3""")
+def collection_write(spark, d):
+    """A collection of vectors: two batches are written, one source is deleted, what is left is loaded."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("first").alias("content"), F.to_json(F.struct(F.concat(F.lit("s"), (F.col("vec_id") % 4).cast("string")).alias("_source"))).alias("metadata"), F.col("embedding").cast("array<double>").alias("embedding"))
+    own = collection.create(spark, shared_path(spark, "collection"), rows.select(F.size("embedding")).first()[0], buckets=16)
+    own.write(rows)
+    own.write(rows.where("id % 9 = 0").withColumn("content", F.lit("second")).withColumn("embedding", F.transform("embedding", lambda x: 2 * x)))
+    own.delete_source(spark, "s3")
+    return own.load(spark).select("id", "content", F.get_json_object("metadata", "$._source").alias("source"), F.col("embedding")[0].alias("first_entry"))
+
+
 @register(f"""
     WITH t AS (SELECT doc_id, CASE WHEN lang = 'de' THEN 'replaced ' || left(text, 300) ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'fr'),
     k AS (SELECT doc_id, unnest({toks("coalesce(text, '')")}) AS token FROM t)
@@ -623,6 +659,74 @@ def file_index_refresh(spark, d):
     return held.groupBy("token").agg(F.count_distinct("source_path").alias("files"))
 
 
+@register(f"WITH {PUBLISHED}, k AS (SELECT min(id) AS id FROM pb WHERE fr IS NOT NULL) SELECT id AS chunk_id, 2 AS version_no, fr AS new_text FROM pb JOIN k USING (id)")
+def chunk_history_of_key(spark, d):
+    """The edits of the published chunk with the smallest id, found by its key."""
+    chunks, history = _published(spark, d)
+    first = chunks.join(history.agg(F.min("chunk_id").alias("id")), "id").first()
+    key = first["chunk_key"] if first else chunks.orderBy("id").first()["chunk_key"]
+    return governance.history_of_key(history, chunks, key).select("chunk_id", "version_no", "new_text")
+
+
+@register(f"WITH {PUBLISHED} SELECT id AS chunk_id, v AS version_no, v - 1 AS edit_no FROM pb, (VALUES (2), (3)) t(v) WHERE fr IS NOT NULL")
+def history_append(spark, d):
+    """Two rounds of edits appended to one history, numbered by age."""
+    path, history = shared_path(spark, "history"), _published(spark, d)[1].select("chunk_id", "version_no", "created_at")
+    tables.append(history, path)
+    tables.append(history.withColumn("version_no", F.col("version_no") + 1), path)
+    return governance.audit_versions(spark.read.schema(history.schema).parquet(path)).select("chunk_id", "version_no", "edit_no")
+
+
+@register(f"""WITH {CHUNKS}, f AS (SELECT * FROM ck WHERE id = (SELECT min(doc_id) FROM documents))
+    SELECT 'key' AS found_by, id FROM f UNION ALL SELECT 'id', id FROM f UNION ALL SELECT 'source', id FROM f""")
+def chunk_lookups(spark, d):
+    """One chunk by its key, by its id, and as a document by its path."""
+    chunks = _chunks(spark, d)
+    first = chunks.orderBy("id").select("id", "chunk_key").first()
+    docs = chunks.select("id", F.lit("kb").alias("collection_name"), F.col("chunk_key").alias("source_path"))
+    found = {"key": governance.chunk_by_key(chunks, first["chunk_key"]), "id": governance.chunk_by_id(chunks, first["id"]), "source": governance.document_by_source(docs, "kb", first["chunk_key"])}
+    rows = [df.select(F.lit(name).alias("found_by"), "id") for name, df in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@register("""
+    WITH gone AS (SELECT doc_id FROM documents WHERE lang = 'fr')
+    SELECT 'cascade' AS action, doc_id, toxic FROM labels WHERE doc_id NOT IN (FROM gone) UNION ALL SELECT 'set null', CASE WHEN doc_id NOT IN (FROM gone) THEN doc_id END, toxic FROM labels""")
+def referential_actions(spark, d):
+    """What becomes of labels when the French documents are removed, by either action."""
+    labels, gone = table(spark, d, "labels").select("doc_id", "toxic"), documents(spark, d).where("lang = 'fr'")
+    cascaded, nulled = governance.cascade(labels, gone, "doc_id", "doc_id"), governance.set_null(labels, gone, "doc_id", "doc_id")
+    return cascaded.select(F.lit("cascade").alias("action"), "doc_id", "toxic").unionByName(nulled.select(F.lit("set null").alias("action"), "doc_id", "toxic"))
+
+
+@register("SELECT doc_id::VARCHAR AS chunk_id, source, length(coalesce(text, '')) AS n FROM documents WHERE source IS DISTINCT FROM 'src1'")
+def corpus_files(spark, d):
+    """The corpus as JSON lines, written twice: whole, then without a source, read from what it replaces."""
+    path = shared_path(spark, "corpus") + ".jsonl"
+    rows = documents(spark, d).select(F.col("source").alias("_source"), F.lit(0).alias("chunk_index"), F.col("doc_id").cast("string").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("content"))
+    files.write_corpus(rows, path)
+    files.write_corpus(files.remove_source(files.read_corpus(spark, path), "src1"), path)
+    return files.read_corpus(spark, path).select("chunk_id", F.col("_source").alias("source"), F.length("content").cast("long").alias("n"))
+
+
+@register("SELECT count(*) AS total, count_if(trim(coalesce(text, '')) <> '') AS success, count_if(trim(coalesce(text, '')) = '') AS failed, count_if(trim(coalesce(text, '')) = '') = 0 AS all_good FROM documents")
+def job_counters(spark, d):
+    """Counters of a job in which blank documents fail."""
+    rows = documents(spark, d).select(F.col("doc_id").cast("string").alias("source_path"), (F.trim(F.coalesce("text", F.lit(""))) != "").alias("good"))
+    bad = rows.where("NOT good").select("source_path", F.lit("blank").alias("error"))
+    return files.job_counters(rows.where("good").select("source_path"), bad).select("total", "success", "failed", "all_good")
+
+
+@register("SELECT count(*) AS n_rows, (SELECT count(*) FROM documents) AS n_backup FROM documents WHERE lang = 'en'")
+def table_rebuild(spark, d):
+    """A table of all documents rebuilt from the English ones; the old rows are in the backup."""
+    root, docs = shared_path(spark, "rebuild"), documents(spark, d).select("doc_id", "lang")
+    tables.publish(docs, f"{root}/t")
+    tables.rebuild(spark, f"{root}/t", docs.where("lang = 'en'"), f"{root}/old").collect()
+    backup = tables.read(spark, f"{root}/old").agg(F.count("*").alias("n_backup"))
+    return tables.read(spark, f"{root}/t").agg(F.count("*").alias("n_rows")).join(F.broadcast(backup))  # one row each
+
+
 # --- chunking -----------------------------------------------------------------
 
 
@@ -786,6 +890,14 @@ def session_list(spark, d):
     return memory.session_list(_messages(spark, d))
 
 
+@register("SELECT conv_id AS session_id, count(*) AS n FROM conversations WHERE conv_id <> (SELECT min(conv_id) FROM conversations) GROUP BY conv_id")
+def session_clear(spark, d):
+    """Messages left after the first session is cleared."""
+    messages = _messages(spark, d)
+    left = memory.clear(messages, messages.agg(F.min("session_id")).first()[0])
+    return left.groupBy("session_id").agg(F.count("*").alias("n"))
+
+
 # --- operations ---------------------------------------------------------------
 
 
@@ -876,6 +988,16 @@ def sql_search_knowledge(spark, d):
     return spark.sql("SELECT place, doc_id, round(score, 6) AS score, source FROM tidemark_search_knowledge(:question, 20)", {"question": question})
 
 
+@register("""
+    SELECT event_id, epoch_ms(date_trunc('second', ts)) AS parsed_ms, CASE event_id % 3 WHEN 0 THEN event_id % 90 WHEN 1 THEN event_id % 90 * 60 ELSE 1 END::INTEGER AS minutes, 'kb_legacy_' || strftime(ts, '%Y%m%d%H%M%S') AS backup FROM events""")
+def time_functions(spark, d):
+    """Times read from text, intervals and backup names."""
+    rows = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    spoken = F.concat((F.col("event_id") % 90).cast("string"), F.element_at(F.array(F.lit("m"), F.lit("h"), F.lit("x")), (F.col("event_id") % 3 + 1).cast("int")))
+    parsed = scores.epoch_ms(scores.parse_time(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
+    return rows.select("event_id", parsed.alias("parsed_ms"), scores.interval_minutes(spoken).alias("minutes"), files.backup_name("kb", F.col("ts")).alias("backup"))
+
+
 TOPICS_SQL = ", ".join(str(t) for t in generators.TOPICS)
 ASKED = "(SELECT DISTINCT CASE event_type WHEN 'click' THEN 'SYNC' WHEN 'view' THEN 'the api-gateway-service pods' WHEN 'error' THEN 'data-sync-service' ELSE event_type END AS service_name, CASE event_type WHEN 'error' THEN 'ap-shanghai' WHEN 'view' THEN '' END AS region_code FROM events)"
 
