@@ -145,3 +145,30 @@ def test_of_repeated_rows_one_stays(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, once string")
     kept = sorted((str(r.doc_id), str(r.once)) for r in simhash.keep_one(df).collect())
     assert kept[:2] == [("1", kept[0][1]), ("5", "None")] and kept[2:] == [("None", "e"), ("None", "f")] and kept[0][1] in "ac"
+
+
+def test_pivots_discard_most_pairs_and_no_similar_one():
+    r = np.random.default_rng(2)
+    sets, at = [], {}
+    for n in [2, 3, 4, 5, 6, 8, 12, 13, 16, 25, 60, 200, 900] * 30:  # pairs just at the similarity, of equal and of unequal sizes
+        other = n if r.random() < 0.5 else int(n / 0.7)
+        common = int(np.ceil(0.8 * (n * other) ** 0.5 - 1e-9))
+        if common > n:
+            continue
+        pool = r.integers(0, 2**64, n + other - common, np.uint64)
+        at[len(sets)] = len(sets) + 1
+        sets += [np.unique(pool[:n]), np.unique(pool[n - common :])]
+    size, prints = np.array([len(s) for s in sets]), np.array([simhash.many(s) for s in sets])
+    near = simhash.suspected([size, [p.tobytes() for p in prints]], 0.8)
+    a, b = np.array(list(at)), np.array(list(at.values()))
+    assert len(near(a, b)[0]) >= 0.99 * len(a)
+    big = np.nonzero(size > 100)[0]
+    a, b = big[r.integers(0, len(big), 20000)], big[r.integers(0, len(big), 20000)]
+    apart = a // 2 != b // 2
+    a, b = a[apart], b[apart]
+    assert len(near(a, b)[0]) == 0  # unrelated sets are never suspects
+    for t in range(simhash.TABLES):
+        table = np.bitwise_count(prints[:, t, None] ^ simhash.pivots(simhash.COORDINATES)).astype(np.int8)
+        far = np.abs(table[a] - table[b]).max(axis=1) > 12
+        assert far.mean() > 0.5  # the pivots alone discard most
+        assert (np.bitwise_count(prints[a, t] ^ prints[b, t])[far] > 12).all()  # and none within the radius
