@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import unicodedata
 
 import public_tokenizers
@@ -79,3 +80,32 @@ def test_every_code_point_and_random_neighbours_equal_the_library(name):
     for at in range(0, len(texts), 2000):
         for text, want in zip(texts[at : at + 2000], library.encode_batch(texts[at : at + 2000], add_special_tokens=False)):
             assert own.encode(text) == want.ids, [hex(ord(c)) for c in text][:8]
+
+
+def test_mixed_planes_sigmas_and_white_space_equal_the_library():
+    bits = ["Σ", "ΑΣ", "σ.", "Ünï", "\U00010940", "\U0001d6a8", "\u0301", "\u0898\u0301", "\u2001", "\u2028", "\x1c", "\x85", "’s", "'S", "'", "!'ll", "中", "٣", "\ua7dc", "\u1c89", "\U00010d50", "😀", "a", "Word", " ", " ", "\n"]
+    r = random.Random(11)
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 60))) for _ in range(4000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        library, own = Tokenizer.from_file(path), bpe.Codec(path)
+        for text in texts:
+            ids = library.encode(text, add_special_tokens=False).ids
+            assert own.encode(text) == ids
+            assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_new_case_and_punctuation_of_known_words_cost_little():
+    own = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(7)
+    words = ["".join(r.choices("etaoinshrdlu", k=9)) for _ in range(500)]
+    forms = [f"{o}{w}{c}{e}" for w in words for w in (w, w.title(), w.upper()) for o in ("", "(", '"') for c in ("", ".", ",", "!") for e in ("", ")", '"', "###", "&&&")]
+    r.shuffle(forms)
+    own.encode(" ".join(words))
+    at = time.process_time()
+    for w in words * 40:
+        own.merge(w)
+    merges = time.process_time() - at
+    at = time.process_time()
+    own.encode(" ".join(forms))
+    assert len(set(forms)) == 90_000 and time.process_time() - at < merges  # 90,000 forms: less than 20,000 merges

@@ -5,8 +5,8 @@ pairs with a merge rule in a priority queue ordered by (rank, position). A poppe
 entry whose symbols have meanwhile changed is stale and skipped. Decoding
 concatenates the vocabulary's strings.
 
-Null texts count as empty: no tokens. Long texts are encoded whole; a bounded
-memo of white-space-delimited chunks spares repeated words the merging. Letters,
+Null texts count as empty: no tokens. Texts are normalised and cut into words whole,
+in one pass; a bounded memo spares repeated words the merging. Letters,
 numbers, case pairs and the normal form are those of the library's Unicode version:
 the tables below hold what the installed Python modules see otherwise. Other columns
 of the table are never read, so their names may clash with the result's.
@@ -14,12 +14,16 @@ of the table are never read, so their names may clash with the result's.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
 import unicodedata
 from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -58,9 +62,37 @@ LATER_CASES = [
     (0x16EA0, 0x16EB8, 0x16EBB, 1),
 ]
 _LOWER = {c: low + c - first for first, last, low, step in LATER_CASES for c in range(first, last + 1, step)}
-_LATER = re.compile(f"[{LATER_LETTERS}{LATER_NUMBERS}]")
 _INERT = re.compile(f"([{INERT}])")
-_RARE = re.compile(f"[{INERT}{''.join(map(chr, _LOWER))}]")
+#: Ends of the code points that classes are looked up in: the first plane, which `re` keeps as a table, and all planes.
+PLANE, PLANES = 0x10000, 0x110000
+_OUTER = re.compile("[\U00010000-\U0010ffff]")
+_HIGH = re.compile("[\u07fd-\U0010ffff]")  # all that _rare finds lies here
+
+
+def planes(text: str) -> int:
+    """Where the code points of a text end."""
+    return PLANE if text.isascii() or not _OUTER.search(text) else PLANES
+
+
+@functools.cache
+def members(body: str, end: int) -> str:
+    """The code points below `end` of a class of the regex module, as plain ranges for a class of `re`, which matches faster."""
+    every = "".join(chr(c) for c in range(end) if not 0xD800 <= c < 0xE000)
+    return "".join(f"{re.escape(m[0][0])}-{re.escape(m[0][-1])}" for m in regex.finditer(f"(?V1)[{body}]+", every))
+
+
+@functools.cache
+def _rare(end: int) -> re.Pattern:
+    """Code points that need more than Python's normal form and lower case."""
+    return re.compile(f"[{members(INERT + ''.join(map(chr, _LOWER)), end)}]")
+
+
+def joined(strings: pa.Array, rows: list[np.ndarray], between: bytes) -> list[bytes]:
+    """For each row of ids, their strings one after another."""
+    ends = np.cumsum([0, *map(len, rows)])
+    found = strings.take(pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
+    lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), found)
+    return pc.binary_join(lists, pa.scalar(between, pa.large_binary())).to_pylist()
 
 
 def byte_symbols() -> list[str]:
@@ -74,7 +106,7 @@ def byte_symbols() -> list[str]:
 class Codec:
     """A byte-level BPE vocabulary read from a tokenizers JSON file."""
 
-    def __init__(self, path: str, memo: int = 250_000):
+    def __init__(self, path: str, memo: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -89,21 +121,23 @@ class Codec:
         stand_in = byte_symbols()
         self.inner = [self.vocab[c] for c in stand_in]
         self.final = [self.vocab[c + self.suffix] for c in stand_in]
-        # chunks without later letters and numbers are split by the plain classes, which match faster
-        self.pre = self.split(r"\p{L}", r"\p{N}", rf"[^{SPACE}\p{{L}}\p{{N}}]")
-        self.pre_later = self.split(rf"[\p{{L}}--[{LATER_LETTERS}]]", rf"[\p{{N}}--[{LATER_NUMBERS}]]", rf"[[^{SPACE}\p{{L}}\p{{N}}]||[{LATER_LETTERS}{LATER_NUMBERS}]]")
-        if self.lower:
-            self.chunks = re.compile(f"[^{SPACE}]+")
-        else:
-            self.chunks = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in self.specials) + ")")
-        self.words: dict[str, list[int]] = TwoAges(self.merge, memo)
-
-    def split(self, letter: str, number: str, other: str) -> regex.Pattern:
-        """The vocabulary's pattern over these classes."""
+        # ids of a word as bytes, so that a text's are one join
+        self.words: dict[str, bytes] = TwoAges(lambda word: np.array(self.merge(word), np.int32).tobytes(), memo)
+        self.cuts = functools.cache(self.cut)
+        # what each id stands for in a decoded text, and in digits
+        table = {c: b for b, c in enumerate(byte_symbols())}
+        spell = str.encode if self.suffix else lambda s: s.encode() if s in self.specials else bytes(map(table.__getitem__, s))
+        self.spelled = pa.array([spell(self.strings.get(i, "")) for i in range(max(self.strings) + 1)], pa.large_binary())
+        self.digits = pa.array([str(i).encode() for i in range(len(self.spelled))], pa.large_binary())
+
+    def cut(self, end: int) -> re.Pattern:
+        """The vocabulary's pattern, for texts of code points below `end`."""
+        letters, numbers = members(rf"\p{{L}}--[{LATER_LETTERS}]", end), members(rf"\p{{N}}--[{LATER_NUMBERS}]", end)
+        letter, number, other = f"[{letters}]", f"[{numbers}]", f"[^{SPACE}{letters}{numbers}]"
         if self.lower:
-            return regex.compile(f"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|{other}+")
-        return regex.compile(f"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+            return re.compile(f"{letter}+|{number}|'(?:s|t|re|ve|m|ll|d)|{other}+")
+        return re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?{letter}+| ?{number}+| ?{other}+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token. Queue entries are rank << 32 | position; an entry is stale
@@ -136,50 +170,44 @@ class Codec:
                 heappush(queue, r << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def normalize(self, chunk: str) -> str:
+    def normalize(self, text: str) -> str:
         if not self.lower:
-            return chunk
-        if chunk.isascii():
-            return chunk.lower()
-        if _RARE.search(chunk):
-            parts = [p if i % 2 else unicodedata.normalize("NFC", p) for i, p in enumerate(_INERT.split(chunk))]
-            chunk = "".join(parts).translate(_LOWER)
+            return text
+        if text.isascii():
+            return text.lower()
+        if _HIGH.search(text) and _rare(planes(text)).search(text):
+            parts = [p if i % 2 else unicodedata.normalize("NFC", p) for i, p in enumerate(_INERT.split(text))]
+            text = "".join(parts).translate(_LOWER)
         else:
-            chunk = unicodedata.normalize("NFC", chunk)
-        # lower-case character by character: no rule looks at a character's neighbours
-        return "".join(map(str.lower, chunk)) if "Σ" in chunk else chunk.lower()
-
-    def chunk_ids(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        chunk = self.normalize(chunk)
-        pre = self.pre if chunk.isascii() or not _LATER.search(chunk) else self.pre_later
-        for piece in pre.findall(chunk):
-            out += self.words[piece]
-        return out
-
-    def parts(self, text: str) -> list[tuple[str, int]]:
-        """The text cut at special tokens: (chunk, -1), or (special token, its id)."""
+            text = unicodedata.normalize("NFC", text)
+        # lower-case character by character: the capital sigma is all that looks at its neighbours
+        return text.replace("Σ", "σ").lower()
+
+    def plain(self, text: str) -> bytes:
+        text = self.normalize(text)
+        return b"".join(map(self.words.__getitem__, self.cuts(planes(text)).findall(text)))
+
+    def packed(self, text: str) -> bytes:
+        """The text's ids as 32-bit integers; special tokens cut it."""
         if "<|" not in text:
-            return [(c, -1) for c in self.chunks.findall(text)]
-        out = []
-        for part in self.special.split(text):
-            special = self.specials.get(part)
-            out += [(part, special)] if special is not None else [(c, -1) for c in self.chunks.findall(part)]
-        return out
+            return self.plain(text)
+        parts = self.special.split(text)
+        return b"".join(np.int32(self.specials[p]).tobytes() if p in self.specials else self.plain(p) for p in parts)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for chunk, special in self.parts(text):
-            out += [special] if special >= 0 else self.chunk_ids(chunk)
-        return out
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode_all(self, rows: list[np.ndarray]) -> list[str]:
         """The vocabulary's strings; with an end-of-word suffix and no decoder they stand apart."""
-        if self.suffix:
-            return " ".join(map(self.strings.__getitem__, ids))
-        table = {c: b for b, c in enumerate(byte_symbols())}
-        raw = b"".join(s.encode() if (s := self.strings[i]) in self.specials else bytes(map(table.__getitem__, s)) for i in ids)
-        return raw.decode("utf-8", "replace")
+        return [raw.decode("utf-8", "replace") for raw in joined(self.spelled, rows, b" " if self.suffix else b"")]
+
+    def encode_all(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+        """Ids of every text, and what they decode to."""
+        ids = [np.frombuffer(self.packed(t), np.int32) for t in texts]
+        return ids, self.decode_all(ids)
+
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_all([np.array(ids, np.int32)])[0]
 
 
 @per_worker
@@ -195,8 +223,7 @@ def encode_texts(docs: DataFrame, vocabulary: str) -> DataFrame:
         own = codec(vocabulary)
 
         def run(batch):
-            ids = [own.encode(t) for t in batch["text"]]
-            return [batch["doc_id"], ids, [own.decode(x) for x in ids]]
+            return [batch["doc_id"], *own.encode_all(batch["text"])]
 
         return run
 
@@ -204,7 +231,7 @@ def encode_texts(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode_texts, made without its wide rows.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what encode_texts returns, taken in its task so that wide rows stay there.
 
     Empty and null texts have no tokens and the digests of the empty string. Rows
     with a null doc_id or a repeated one are kept as they are.
@@ -212,28 +239,11 @@ def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def make():
         own = codec(vocabulary)
-        if not hasattr(own, "printed"):
-
-            def printed(chunk: str) -> tuple[bytes, bytes]:
-                ids = own.chunk_ids(chunk)
-                return " ".join(map(str, ids)).encode(), own.decode(ids).encode()
-
-            own.printed = TwoAges(printed)
-        look_up, chunks = own.printed.__getitem__, own.chunks.findall
 
         def run(batch):
-            n, ids, decoded = [], [], []
-            for text in batch["text"]:
-                if "<|" in text:
-                    all_ids = own.encode(text)
-                    a, b = " ".join(map(str, all_ids)).encode(), own.decode(all_ids).encode()
-                else:
-                    found = chunks(text)
-                    a, b = map(b" ".join, zip(*map(look_up, found))) if found else (b"", b"")
-                n.append(a.count(b" ") + bool(a))
-                ids.append(hashlib.sha256(a).hexdigest())
-                decoded.append(hashlib.sha256(b).hexdigest())
-            return [batch["doc_id"], n, ids, decoded]
+            ids, decoded = own.encode_all(batch["text"])
+            printed = joined(own.digits, ids, b" ")
+            return [batch["doc_id"], list(map(len, ids)), [hashlib.sha256(x).hexdigest() for x in printed], [hashlib.sha256(x.encode()).hexdigest() for x in decoded]]
 
         return run
 
